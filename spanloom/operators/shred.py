@@ -220,12 +220,11 @@ class Shredder:
 def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str, levels: tuple[str, ...], only: tuple[str, ...] | None = None) -> DataFrame:
     """One row per accepted object of every body: the supertype table of all roles.
 
-    Columns: the key, `role`, `variant`, for each level of nesting below the root `<level>_no` and
-    `<level>_name`, `copy_no` (which of the equal positions in one body, so that redelivered bodies can
-    be merged while equal siblings stay), and the columns of all roles, null where a role lacks them.
+    Columns: the key, `role`, `variant`, for each level of nesting below the root `<level>_no` (the 0-based
+    place in the collection) and `<level>_name`, and the columns of all roles, null where a role lacks them.
 
-    Null, damaged and non-object bodies give no rows. Redelivered bodies count once: they give equal rows, which are
-    merged with a map-side combine; bodies themselves are never shuffled. Null keys form one group. Further
+    Null, damaged and non-object bodies give no rows. Redelivered bodies count once: their rows have equal keys and
+    places and are merged with a map-side combine; bodies themselves are never shuffled. Null keys form one group. Further
     columns of `df` are ignored, so names can't clash. Children of an object that isn't accepted are not reached.
     """
     columns: dict[str, pa.DataType] = {}
@@ -238,7 +237,7 @@ def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str
     fields = [pa.field(key, arrow_key), pa.field("role", STR), pa.field("variant", STR)]
     for level in levels:
         fields += [pa.field(f"{level}_no", pa.int32()), pa.field(f"{level}_name", STR)]
-    fields += [pa.field("copy_no", pa.int32()), *(pa.field(n, t) for n, t in columns.items())]
+    fields += [pa.field(n, t) for n, t in columns.items()]
     schema = pa.schema(fields)
     names = list(columns)
     places = {r.name: [names.index(c.name) for c in r.columns] for r in roles}
@@ -248,18 +247,16 @@ def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen: dict[tuple, int] = {}
                 for role, variant, path, values in shredder.rows(parse_body(text)):
                     if only is not None and role not in only:
                         continue
-                    copy = seen[role, path] = seen.get((role, path), -1) + 1
                     row = [None] * len(names)
                     for i, v in zip(places[role], values):
                         row[i] = v
                     flat: list = []
                     for i in range(len(levels)):
                         flat += path[i] if i < len(path) else (None, None)
-                    for into, v in zip(out, (k, role, variant, *flat, copy, *row)):
+                    for into, v in zip(out, (k, role, variant, *flat, *row)):
                         into.append(v)
                 if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, schema)], schema=schema)
@@ -269,7 +266,7 @@ def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str
     from pyspark.sql.pandas.types import from_arrow_schema
 
     flat = df.select(key, body).where(F.col(body).isNotNull()).mapInArrow(run, from_arrow_schema(schema))
-    at = [key, "role", *(f"{x}_{y}" for x in levels for y in ("no", "name")), "copy_no"]
+    at = [key, "role", *(f"{x}_{y}" for x in levels for y in ("no", "name"))]
     maps = [n for n, t in columns.items() if pa.types.is_map(t)]
     plain = flat.withColumns({m: F.map_entries(m) for m in maps}) if maps else flat
     merged = plain.dropDuplicates(at)
