@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import canonical
-from spanloom.tables import table
+from spanloom.llm import canonical, frequency, relevance, together, tokenizer
+from spanloom.tables import once, table
 
 P2_FIELDS = {"match.word": ("match.word", "word"), "left.punct": ("left.punct", "punct")}
 
@@ -16,7 +16,125 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hit_id", "field_name", "item_no")
 
 
+P3_FIELDS = {f"match.{x}": f"match.{x}" for x in ("word", "lemma", "pos")}
+
+
+def _p3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts, n = frequency.value_counts(table(spark, sf_dir, "hits"), "hit_id", P3_FIELDS)
+    return frequency.marked(counts.where(F.col("term") != ""), n)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3(spark, sf_dir).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
+
+
+def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3(spark, sf_dir)
+
+
+def _p4_colloc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "colloc").select("colloc_id", F.map_entries("tokenfrequencies").alias("e"), "received_at")
+    rows = once(rows, ["colloc_id"], "received_at").select(F.col("colloc_id").cast("string").alias("record"), F.explode("e").alias("e"))
+    return relevance.score_terms(rows.select("record", F.col("e.key").alias("term"), F.col("e.value").alias("tf")).where(F.col("term") != ""))
+
+
+def _p4_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(table(spark, sf_dir, "hits").select("hit_id", "docpid", F.col("match.lemma").alias("l")), ["hit_id"])
+    rows = rows.select(F.col("docpid").alias("record"), F.explode("l").alias("term"))
+    return relevance.score_terms(rows.where(F.col("term") != "").withColumn("tf", F.lit(1)))
+
+
+def _p4(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
+    parts = []
+    for field, scored in (("tokenfrequencies", _p4_colloc(spark, sf_dir)), ("match.lemma", _p4_lemma(spark, sf_dir))):
+        rows = relevance.distinctive(scored, 6, 2, 4) if found else scored
+        parts.append(rows.withColumn("field_name", F.lit(field)).withColumnRenamed("record", "record_key"))
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4(spark, sf_dir, True).select("field_name", "record_key", "term")
+
+
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4(spark, sf_dir, False).select("field_name", "record_key", "term", "tf", "df", "length", F.round("score", 6).alias("score"))
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    return together.associations(table(spark, sf_dir, "hits"), "hit_id", "concat(left.word, match.word, right.word)", least=10, per_thousand=1)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, n = _p5(spark, sf_dir)
+    exact = lambda c: F.col(c).cast("decimal(18,0)")
+    strong = F.lit(n).cast("decimal(18,0)") * exact("n_ab") >= F.lit(6).cast("decimal(1,0)") * (exact("n_a") * exact("n_b"))
+    return pairs.where(strong).select(F.col("item_a").alias("word_a"), F.col("item_b").alias("word_b"))
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _ = _p5(spark, sf_dir)
+    return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_HITS = """WITH h AS (SELECT DISTINCT ON (hit_id) * FROM hits)"""
+_P3 = (
+    _HITS
+    + """, v AS (
+  SELECT hit_id, 'match.word' AS field_name, unnest("match".word) AS term FROM h
+  UNION ALL SELECT hit_id, 'match.lemma', unnest("match".lemma) FROM h
+  UNION ALL SELECT hit_id, 'match.pos', unnest("match".pos) FROM h
+), c AS (
+  SELECT field_name, term, count(*) AS occurrences, count(DISTINCT hit_id) AS records FROM v WHERE term <> '' GROUP BY ALL
+), m AS (
+  SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 50 > (SELECT count(*) FROM h) THEN 'common' END AS mark FROM c
+) """
+)
+_P4 = (
+    _HITS
+    + """, q AS (
+  SELECT 'tokenfrequencies' AS field_name, CAST(colloc_id AS VARCHAR) AS record_key, unnest(map_keys(tokenfrequencies)) AS term, unnest(map_values(tokenfrequencies)) AS n
+  FROM (SELECT DISTINCT ON (colloc_id) * FROM colloc)
+  UNION ALL SELECT 'match.lemma', docpid, unnest("match".lemma), 1 FROM h
+), tf AS (
+  SELECT field_name, record_key, term, CAST(sum(n) AS BIGINT) AS tf FROM q WHERE term <> '' AND record_key IS NOT NULL AND n > 0 GROUP BY ALL
+), x AS (
+  SELECT *, count(*) OVER (PARTITION BY field_name, term) AS df, CAST(sum(tf) OVER (PARTITION BY field_name, record_key) AS BIGINT) AS length FROM tf
+) """
+)
+_P5 = (
+    _HITS
+    + """, b AS (
+  SELECT DISTINCT hit_id, unnest(list_concat(list_concat("left".word, "match".word), "right".word)) AS w FROM h
+), n AS (SELECT count(*) AS n FROM h), f AS (
+  SELECT w, count(*) AS c FROM b WHERE w IS NOT NULL GROUP BY w HAVING count(*) >= 10 AND 1000 * count(*) >= (SELECT n FROM n)
+), k AS (SELECT hit_id, w, c FROM b JOIN f USING (w)), p AS (
+  SELECT x.w AS item_a, y.w AS item_b, count(*) AS n_ab, any_value(x.c) AS n_a, any_value(y.c) AS n_b
+  FROM k x JOIN k y ON x.hit_id = y.hit_id AND x.w < y.w GROUP BY ALL HAVING count(*) >= 10 AND 1000 * count(*) >= (SELECT n FROM n)
+) """
+)
+
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_frequencies": p3_frequencies,
+    "p4_found": p4_found,
+    "p4_scores": p4_scores,
+    "p5_found": p5_found,
+    "p5_pairs": p5_pairs,
+    "p6_ids": p6_ids,
+}
+SQL: dict[str, str] = {
+    "p3_found": _P3 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
+    "p3_frequencies": _P3 + "SELECT field_name, term, occurrences, records, mark FROM m",
+    "p4_found": _P4 + "SELECT field_name, record_key, term FROM x WHERE tf >= 6 AND df BETWEEN 2 AND 4",
+    "p4_scores": _P4
+    + """, a AS (SELECT field_name, count(*) AS n, avg(length) AS al FROM (SELECT DISTINCT field_name, record_key, length FROM x) GROUP BY ALL)
+SELECT field_name, record_key, term, tf, df, length,
+  round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al)), 6) AS score FROM x JOIN a USING (field_name)""",
+    "p5_found": _P5 + "SELECT item_a AS word_a, item_b AS word_b FROM p, n WHERE n * n_ab >= 6 * n_a * n_b",
+    "p5_pairs": _P5 + "SELECT item_a, item_b, n_ab, n_a, n_b, round(n * n_ab / (n_a * n_b), 6) AS lift FROM p, n",
 }
-SQL: dict[str, str] = {}
