@@ -1,0 +1,115 @@
+"""Exemplars of text structure, made by rule: what lists, tables and junk look like in any collection, and
+the shapes that prose may take. They stand beside hand-labelled documents, of which there may be few."""
+
+from __future__ import annotations
+
+import base64
+import random
+import re
+
+
+def _word(r: random.Random) -> str:
+    return "".join(r.choice("bdfghklmnprstv") + r.choice("aeiou") for _ in range(r.randint(2, 3))) + r.choice(["", "", "n", "r", "s", "k"])
+
+
+class Maker:
+    def __init__(self, common: list[str], seed: int = 7):
+        self.r = random.Random(seed)
+        self.foreign = [w for w in common if not w.isascii()]
+        self.common = [w for w in common if w.isascii()] or ["the", "of", "and", "to", "in", "that", "is", "it"]
+
+    def noun(self) -> str:
+        return _word(self.r)
+
+    def phrase(self, n: int) -> str:
+        return " ".join(self.noun() if self.r.random() < 0.6 else self.r.choice(self.common) for _ in range(n))
+
+    def name(self) -> str:
+        return self.noun().capitalize()
+
+    def lists(self) -> list[str]:
+        r, out = self.r, []
+        marks = [lambda i: "- ", lambda i: "* ", lambda i: "• ", lambda i: "– ", lambda i: f"{i}. ", lambda i: f"{i}) ", lambda i: f"({i}) ", lambda i: "\t", lambda i: ""]
+        items = [
+            self.noun,
+            lambda: self.phrase(2),
+            lambda: self.phrase(4),
+            lambda: f"{self.noun()} {r.choice(':=–')} {self.noun()}",
+            lambda: f"{self.noun()} see {self.noun()}",
+            lambda: f"{self.noun()}: {self.phrase(5)}",
+            lambda: f"{self.name()}, {self.name()}",
+            lambda: f"{self.name()} ({self.noun()[:3]}.) {r.randint(1700, 2000)}",
+            lambda: f"{self.noun()} {', '.join(str(r.randint(1, 400)) for _ in range(r.randint(1, 5)))}",
+            lambda: f"{self.phrase(3)} {r.randint(2, 30)} {self.phrase(3)}",
+        ]
+        for mark in marks:
+            for item in items:
+                end, gap = r.choice(["", ";", ",", "."]), r.choice(["\n", "\n\n", "\r\n"])
+                head = r.choice(["", "Contents\n", "Index\n"])
+                out.append(head + gap.join(mark(i + 1) + item() + end for i in range(r.randint(10, 40))))
+        for head in ("", "Contents\n", "Word list\n", "Index\n"):
+            out += [head + sep.join(self.noun() for _ in range(r.randint(30, 120))) for sep in (", ", "; ", " | ")]
+        return out
+
+    def tables(self) -> list[str]:
+        r, out = self.r, []
+        cells = [
+            self.noun, lambda: str(r.randint(1, 9999)), lambda: f"{r.random():.3f}", lambda: f"{r.random() * 100:.1f}%", lambda: r.choice(["NN", "VVD", "DT", "IN", "JJ", "PP"]),
+            lambda: f"2023-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(0, 23):02}:{r.randint(0, 59):02}", lambda: r.choice(["ok", "n/a", "", "x", "_", "-", "late"]), self.name, lambda: self.phrase(4),
+        ]
+        for sep in ("\t", ",", ";", " | ", "   "):
+            for _ in range(12):
+                columns = [r.choice(cells) for _ in range(r.randint(3, 7))]
+                rows = [sep.join(c() for c in columns) for _ in range(r.randint(8, 40))]
+                head = [sep.join(self.noun() for _ in columns)] if r.random() < 0.5 else []
+                out.append(r.choice(["\n", "\r\n"]).join(head + rows))
+            out.append("\n".join(sep.join([str(i), w := self.noun(), w, r.choice(["NN", "DT", "IN"]), str(r.randint(0, 40)), r.choice(["obj", "det", "root", "_"])]) for i in range(1, 30)))
+            for lead in (lambda: f" {r.randint(1, 9999):4} ", self.name):
+                key = self.noun()
+                out.append("\n".join(f"{lead()}{sep}{self.phrase(7)[-22:]}{sep}{key}{sep}{self.phrase(7)[:22]}" for _ in range(r.randint(15, 40))))
+        for _ in range(6):
+            rule = "-" * 10 + ("+" + "-" * 10) * 3
+            out.append("\n".join([rule, *(f" {self.noun():9}| {r.randint(1, 5000):9} | {r.randint(1, 900):9} | {r.random() * 100:8.1f}%" for _ in range(r.randint(10, 40)))]))
+        return out
+
+    def junk(self, prose: list[str]) -> list[str]:
+        r, out = self.r, []
+        pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+        for _ in range(6):
+            out.append(pick("~+'(@#)a[]%&<?/_¦¬§i!|}^>$±{-3*=;:`.,12 \n", 800))
+            out.append(pick("��������┥╣┳╋═║? x0 \n", 700))
+            out.append("\n".join(base64.b64encode(r.randbytes(57)).decode()[: r.choice([64, 76])] for _ in range(15)))
+            out.append(base64.b64encode(r.randbytes(600)).decode())
+            out.append(" ".join(pick(r.choice(["qwertyuiop", "asdfghjkl", "zxcvbnm"]), r.randint(3, 14)) for _ in range(120)))
+            out.append(pick("abcdefghijklmnopqrstuvwxyz", 700))
+            out.append(r.choice(["x", "e", "=", "~", "-", "a", "!"]) * 900)
+            out.append(r.choice(["ha", "lol", "ab", "na"]) * 400)
+            out.append(f"{r.choice(['test', 'lol', 'yes', self.noun()])} " * 200)
+            for sep in (" > ", "+", ", ", " ", " / ", "#"):
+                out.append(sep.join(self.noun() for _ in range(90)))
+            out.append(" ".join(r.choice(self.common) + r.choice(["", "", "", ".", ",", "?", "\n"]) for _ in range(130)))
+            out.append("".join(r.choice(["</div></td><td id=\"%s\">", "<br/>&lt;%s&gt;", "&nbsp;&amp;%s;", "var %s=[];", "{%s:0;margin:0}", "<div class=\"%s\">"]) % self.noun() for _ in range(50)))
+        for script in ("а", "е", "и", "é", "の"):  # words of another script, read in the wrong encoding
+            words = [w for w in self.foreign if script in w]
+            if words:
+                out += [" ".join(r.choice(words) + r.choice(["", "", "", ",", "."]) for _ in range(120)).encode("utf-8").decode(e, "replace") for e in ("latin-1", "cp1252")]
+        for text in prose:
+            out.append("".join(r.choice("*•·;:!'\\/|_^~»¢1") if r.random() < 0.3 else c for c in text))
+            if sum(c > "\x7f" for c in text) > len(text) / 4:  # else it stays readable
+                out.append(text.encode("utf-8").decode("latin-1"))
+        return [t for t in out if t.strip()]
+
+
+def speech(lines: str) -> str:
+    """A transcript: a speaker's mark and an utterance a line; long sentences are several utterances."""
+    parts = [" ".join(words[i : i + 8]) for words in (x.split(" ") for x in lines.split("\n")) for i in range(0, len(words), 8)]
+    return "\n".join(f"S{i * 7 % 5 + 1}: {p}" for i, p in enumerate(parts) if p)
+
+
+def shapes_of_prose(text: str) -> list[str]:
+    """The same prose in other shapes: in capitals, without punctuation, in one line, a sentence a line, wrapped, indented, as a transcript."""
+    flat = re.sub(r"\s+", " ", text).strip()
+    bare = re.sub(r"\s+", " ", re.sub(r"[^\w\s'’-]", " ", flat)).lower().strip()
+    sentences = re.sub(r"(?<=[.!?。])\s*(?=\S)", "\n", flat)
+    wrapped = re.sub(r"(.{50,62}?) ", r"\1\n", flat)
+    return [text, flat, flat.upper(), bare, sentences, sentences.replace("\n", "\n\n"), wrapped, re.sub(r"(.{50,62}?) ", r"\1\n", bare), "  \n\t" + flat, "  \n\t" + bare, speech(sentences), speech(sentences.lower()), speech(re.sub(r"[^\w\s'’-]", "", sentences).lower())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import canonical, frequency, relevance, together, tokenizer
+from spanloom.llm import canonical, frequency, mixture, quality, relevance, together, tokenizer
 from spanloom.tables import once, table
 
 P2_FIELDS = {"match.word": ("match.word", "word"), "left.punct": ("left.punct", "punct")}
@@ -80,6 +80,33 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixed.report.where("is_short").select("source")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).documents
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    profiles = quality.fit(documents, table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "common_words"))
+    return quality.statistics(documents, "doc_id", "text", profiles)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir).where("kind <> 'prose'").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir)
+
+
 _HITS = """WITH h AS (SELECT DISTINCT ON (hit_id) * FROM hits)"""
 _P3 = (
     _HITS
@@ -126,6 +153,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_mixture": p7_mixture,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 SQL: dict[str, str] = {
     "p3_found": _P3 + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
