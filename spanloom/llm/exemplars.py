@@ -112,4 +112,5 @@ def shapes_of_prose(text: str) -> list[str]:
     bare = re.sub(r"\s+", " ", re.sub(r"[^\w\s'’-]", " ", flat)).lower().strip()
     sentences = re.sub(r"(?<=[.!?。])\s*(?=\S)", "\n", flat)
     wrapped = re.sub(r"(.{50,62}?) ", r"\1\n", flat)
-    return [text, flat, flat.upper(), bare, sentences, sentences.replace("\n", "\n\n"), wrapped, re.sub(r"(.{50,62}?) ", r"\1\n", bare), "  \n\t" + flat, "  \n\t" + bare, speech(sentences), speech(sentences.lower()), speech(re.sub(r"[^\w\s'’-]", "", sentences).lower())]
+    narrow = re.sub(r"(.{28,40}?) ", r"\1\n", flat)
+    return [text, flat, narrow, flat.upper(), bare, sentences, sentences.replace("\n", "\n\n"), wrapped, re.sub(r"(.{50,62}?) ", r"\1\n", bare), "  \n\t" + flat, "  \n\t" + bare, speech(sentences), speech(sentences.lower()), speech(re.sub(r"[^\w\s'’-]", "", sentences).lower())]
