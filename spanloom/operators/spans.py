@@ -99,7 +99,7 @@ def any_tokens(lengths: DataFrame, low: int, high: int) -> DataFrame:
     low = max(low, 1)
     at = lengths.where(F.col("length") >= low).select("doc_id", "length", F.explode(F.sequence(F.lit(0), F.col("length") - low)).alias("start_pos"))
     room = F.least(F.lit(high), F.col("length") - F.col("start_pos"))
-    return at.select("doc_id", "start_pos", (F.col("start_pos") + F.explode(F.sequence(F.lit(low), room))).alias("end_pos"))
+    return at.select("doc_id", "start_pos", F.explode(F.sequence(F.col("start_pos") + low, F.col("start_pos") + room)).alias("end_pos"))
 
 
 def fixed(lengths: DataFrame, start: int, end: int) -> DataFrame:
@@ -164,7 +164,7 @@ def runs(a: DataFrame, low: int, high: int, size: int = 1) -> DataFrame:
     islands = inner.unionByName(outer).where(F.col("e") - F.col("s") >= low)
     starts = islands.select("doc_id", "e", F.explode(F.sequence("s", F.col("e") - low)).alias("start_pos"))
     room = F.least(F.lit(high), F.col("e") - F.col("start_pos"))
-    return starts.select("doc_id", "start_pos", (F.col("start_pos") + F.explode(F.sequence(F.lit(low), room))).alias("end_pos"))
+    return starts.select("doc_id", "start_pos", F.explode(F.sequence(F.col("start_pos") + low, F.col("start_pos") + room)).alias("end_pos"))
 
 
 def repeat(a: DataFrame, low: int, high: int, steps: int = 1000) -> DataFrame:
@@ -259,7 +259,7 @@ def filtered(a: DataFrame, by: DataFrame, operation: str, invert: bool = False,
 
 
 def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The common part of each pair of overlapping hits."""
+    """The common part of each pair of overlapping hits. Hits without tokens overlap nothing."""
     x = a.where("end_pos > start_pos").withColumn("_blk", F.explode(F.sequence(_block("start_pos"), F.floor((F.col("end_pos") - 1) / BLOCK).cast("int"))))
     r = _right(b.where("end_pos > start_pos"))
     r = r.withColumn("_rblk", F.explode(F.sequence(_block("_start_pos"), F.floor((F.col("_end_pos") - 1) / BLOCK).cast("int"))))
