@@ -16,8 +16,10 @@ from spanloom.plans.nodes import Value
 def _accents() -> tuple[str, str]:
     """Letters with accents and their bare letters; combining marks stand at the end, without a counterpart, and so are dropped."""
     src, dst, marks = [], [], []
-    for code in range(0xC0, 0x2000):
+    for code in range(0xC0, 0xFFFF):
         ch = chr(code)
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables and surrogates
+            continue
         if unicodedata.category(ch) == "Mn":
             marks.append(ch)
             continue

@@ -73,7 +73,7 @@ def parse(text: str) -> list[Property]:
 
 
 def with_context(hits: DataFrame, tables: Tables, annotations: list[str], before: int, after: int, hit: bool = True) -> DataFrame:
-    """Adds `_ctx`, the sorted array of structs (pos, one field per annotation) around and in each hit.
+    """Adds `_ctx`, the sorted array of structs (_at, one field per annotation) around and in each hit.
 
     Contexts end at the document's edges. The work is an equi-join of the positions wanted with the tokens and
     a grouping by hit, both spread over all tasks; an array is as long as a hit with its context.
@@ -81,12 +81,13 @@ def with_context(hits: DataFrame, tables: Tables, annotations: list[str], before
     keys = [*sp.KEYS, *sp.captures(hits)]
     first, last = F.greatest(F.lit(0), F.col("start_pos") - before), F.col("end_pos") + after - 1
     ids = hits.withColumn("_h", F.struct(*keys))
-    want = ids.where(first <= last).select("_h", "doc_id", F.explode(F.sequence(first, last)).alias("pos"))
+    want = ids.where(first <= last).select("_h", "doc_id", F.explode(F.sequence(first, last)).alias("_at"))
     if not hit:
-        want = want.where((F.col("pos") < F.col("_h.start_pos")) | (F.col("pos") >= F.col("_h.end_pos")))
-    look = tables.tokens.select("doc_id", "pos", *[F.col(tables.column(a)).alias(a.replace("/", "_")) for a in dict.fromkeys(annotations)])
+        want = want.where((F.col("_at") < F.col("_h.start_pos")) | (F.col("_at") >= F.col("_h.end_pos")))
     names = [a.replace("/", "_") for a in dict.fromkeys(annotations)]
-    got = want.join(look, ["doc_id", "pos"]).groupBy("_h").agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("_ctx"))
+    look = tables.tokens.select("doc_id", F.col("pos").alias("_at"), *[F.col(tables.column(a)).alias(f"_v{i}") for i, a in enumerate(dict.fromkeys(annotations))])
+    word = F.struct("_at", *[F.col(f"_v{i}").alias(a) for i, a in enumerate(names)])
+    got = want.join(look, ["doc_id", "_at"]).groupBy("_h").agg(F.sort_array(F.collect_list(word)).alias("_ctx"))
     empty = F.array().cast(got.schema["_ctx"].dataType)
     return ids.join(got, "_h", "left").withColumn("_ctx", F.coalesce("_ctx", empty)).drop("_h")
 
@@ -96,20 +97,24 @@ def _words(part: Column, name: str, sensitivity: str, backwards: bool = False) -
     return F.reverse(values) if backwards else values
 
 
+def _between(ctx: Column, low: Column, high: Column) -> Column:
+    return F.filter(ctx, lambda t: (t["_at"] >= low) & (t["_at"] < high))
+
+
 def _parts(p: Property, name: str) -> Column:
     """An array of words for a contextual property; words before the hit come nearest first."""
     ctx, s, e = F.col("_ctx"), F.col("start_pos"), F.col("end_pos")
     if p.kind == "hit":
-        return _words(F.filter(ctx, lambda t: (t["pos"] >= s) & (t["pos"] < e)), name, p.sensitivity)
+        return _words(F.filter(ctx, lambda t: (t["_at"] >= s) & (t["_at"] < e)), name, p.sensitivity)
     if p.kind == "before":
         n = int(p.extra or CONTEXT)
-        return _words(F.filter(ctx, lambda t: (t["pos"] < s) & (t["pos"] >= s - n)), name, p.sensitivity, True)
+        return _words(F.filter(ctx, lambda t: (t["_at"] < s) & (t["_at"] >= s - n)), name, p.sensitivity, True)
     if p.kind == "after":
         n = int(p.extra or CONTEXT)
-        return _words(F.filter(ctx, lambda t: (t["pos"] >= e) & (t["pos"] < e + n)), name, p.sensitivity)
+        return _words(F.filter(ctx, lambda t: (t["_at"] >= e) & (t["_at"] < e + n)), name, p.sensitivity)
     if p.kind == "capture":
         cap = F.col(f"c_{(p.extra or '').split(':')[0]}")
-        return _words(F.filter(ctx, lambda t: (t["pos"] >= cap["start"]) & (t["pos"] < cap["end"])), name, p.sensitivity)
+        return _words(F.filter(ctx, lambda t: (t["_at"] >= cap["start"]) & (t["_at"] < cap["end"])), name, p.sensitivity)
     out = []
     for part in (p.extra or "H").split(";"):  # ctx: parts B, A, H, E with word numbers from 1, such as H1-2;B1
         where, numbers = part[0].upper(), part[1:]
@@ -118,16 +123,16 @@ def _parts(p: Property, name: str) -> Column:
         z = int(high) if high else (a if numbers and "-" not in numbers else 1 << 20)
         if where == "H":
             lo, hi = s + a - 1, F.least(e, s + z)
-            out.append(_words(F.filter(ctx, lambda t, lo=lo, hi=hi: (t["pos"] >= lo) & (t["pos"] < hi)), name, p.sensitivity))
+            out.append(_words(_between(ctx, lo, hi), name, p.sensitivity))
         elif where == "E":  # from the end of the hit backwards
             lo, hi = F.greatest(s, e - z), e - a + 1
-            out.append(_words(F.filter(ctx, lambda t, lo=lo, hi=hi: (t["pos"] >= lo) & (t["pos"] < hi)), name, p.sensitivity, True))
+            out.append(_words(_between(ctx, lo, hi), name, p.sensitivity, True))
         elif where in "BL":
             lo, hi = s - z, s - a + 1
-            out.append(_words(F.filter(ctx, lambda t, lo=lo, hi=hi: (t["pos"] >= lo) & (t["pos"] < hi)), name, p.sensitivity, True))
+            out.append(_words(_between(ctx, lo, hi), name, p.sensitivity, True))
         elif where in "AR":
             lo, hi = e + a - 1, e + z
-            out.append(_words(F.filter(ctx, lambda t, lo=lo, hi=hi: (t["pos"] >= lo) & (t["pos"] < hi)), name, p.sensitivity))
+            out.append(_words(_between(ctx, lo, hi), name, p.sensitivity))
         else:
             raise PropertyError(f"unknown context part {part}")
     return F.concat(*out)

@@ -66,13 +66,17 @@ def limited(hits: DataFrame, most: int) -> tuple[DataFrame, bool]:
     return hits.limit(most), hits.limit(most + 1).count() > most
 
 
+def _values(words: Column, name: str) -> Column:
+    return F.transform(words, lambda t: t[name])
+
+
 def kwic(hits: DataFrame, tables: Tables, annotations: list[str] | None = None, before: int = 5, after: int = 5) -> DataFrame:
     """Adds arrays left_<a>, match_<a>, right_<a> of the words around and in each hit, for each annotation."""
     names = annotations or [next(iter(tables.annotations))]
     ctx = pr.with_context(hits, tables, names, before, after)
     s, e = F.col("start_pos"), F.col("end_pos")
-    parts = {"left": lambda t: t["pos"] < s, "match": lambda t: (t["pos"] >= s) & (t["pos"] < e), "right": lambda t: t["pos"] >= e}
-    cols = {f"{k}_{a.replace('/', '_')}": F.transform(F.filter("_ctx", test), lambda t, a=a: t[a.replace("/", "_")]) for k, test in parts.items() for a in names}
+    parts = {"left": lambda t: t["_at"] < s, "match": lambda t: (t["_at"] >= s) & (t["_at"] < e), "right": lambda t: t["_at"] >= e}
+    cols = {f"{k}_{a.replace('/', '_')}": _values(F.filter("_ctx", test), a.replace("/", "_")) for k, test in parts.items() for a in names}
     return ctx.withColumns(cols).drop("_ctx")
 
 
@@ -85,8 +89,8 @@ def kwic_in_span(hits: DataFrame, tables: Tables, tag: str, annotations: list[st
     wide = placed.select("doc_id", F.col("_s").alias("start_pos"), F.least(F.col("_e"), F.col("_s") + most).alias("end_pos"), F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end")).alias("c__hit"))
     ctx = pr.with_context(wide.distinct(), tables, names, 0, 0)
     s, e = F.col("c__hit.start"), F.col("c__hit.end")
-    parts = {"left": lambda t: t["pos"] < s, "match": lambda t: (t["pos"] >= s) & (t["pos"] < e), "right": lambda t: t["pos"] >= e}
-    cols = {f"{k}_{a}": F.transform(F.filter("_ctx", test), lambda t, a=a: t[a]) for k, test in parts.items() for a in names}
+    parts = {"left": lambda t: t["_at"] < s, "match": lambda t: (t["_at"] >= s) & (t["_at"] < e), "right": lambda t: t["_at"] >= e}
+    cols = {f"{k}_{a}": _values(F.filter("_ctx", test), a) for k, test in parts.items() for a in names}
     return ctx.withColumns(cols).select("doc_id", s.alias("start_pos"), e.alias("end_pos"), *cols)
 
 
@@ -98,7 +102,7 @@ def concordance(hits: DataFrame, tables: Tables, before: int = 5, after: int = 5
     s, e = F.col("start_pos"), F.col("end_pos")
     piece = lambda t: F.concat(F.coalesce(t[punct], F.lit("")), F.coalesce(t[main], F.lit(""))) if len(own) > 1 else t[main]
     join = lambda test: F.array_join(F.transform(F.filter("_ctx", test), piece), "" if len(own) > 1 else " ")
-    out = ctx.withColumns({"left_text": join(lambda t: t["pos"] < s), "match_text": join(lambda t: (t["pos"] >= s) & (t["pos"] < e)), "right_text": join(lambda t: t["pos"] >= e)})
+    out = ctx.withColumns({"left_text": join(lambda t: t["_at"] < s), "match_text": join(lambda t: (t["_at"] >= s) & (t["_at"] < e)), "right_text": join(lambda t: t["_at"] >= e)})
     return out.drop("_ctx")
 
 

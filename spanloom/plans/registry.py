@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import core_queries
+from spanloom.operators import results
+from spanloom.plans import core_queries, corpus_queries
+from spanloom.plans.compiler import run
 
 
 def queries() -> dict:
-    return {**core_queries.QUERIES}
+    return core_queries.QUERIES | corpus_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**core_queries.SQL}
+    return core_queries.SQL | corpus_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_queries.p1_found(spark, sf_dir)
+    """A pattern's hits, grouped by their text, the largest groups first."""
+    t = corpus_queries.corpus(spark, sf_dir)
+    hits = run("[pos='JJ'] [pos='NN.*']", t)
+    return results.sort_groups(results.group_hits(hits, t, "hit:word:i"), "size")
