@@ -138,7 +138,7 @@ def associations(df: DataFrame, key: str, items: str, least: int = 10, per_thous
     else:
         # too many to send: a join, hot items apart, after which the baskets are put together again
         ids = with_dense_ids(singles)
-        rows = cut(baskets.select(F.monotonically_increasing_id().alias("_b"), F.explode("_items").alias("term")))
+        rows = cut(baskets.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.explode("_items").alias("term")))
         encoded = join_by_count(rows, ids, ["term"], "n", rows.count()).groupBy("_b").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
     pairs = pair_counts(encoded).where(F.col("n") >= bar)
     left = ids.select(F.col("id").alias("a"), F.col("term").alias("ta"), F.col("n").alias("na"))
