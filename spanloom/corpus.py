@@ -91,7 +91,7 @@ class Corpus:
         if tokens is None:
             raise FileNotFoundError(f"no tokens in {path}")
         structural = ("doc_id", "pos", "field", "char_start", "char_end")
-        names = [c for c in tokens.columns if c not in structural and not c.endswith("_all")]
+        names = [c for c in tokens.columns if c not in structural and not (c.endswith(("_all", "_i")) and c.rpartition("_")[0] in tokens.columns)]
         return Corpus(Tables(tokens, there("spans"), there("relations"), {"pos" if c == "a_pos" else c: c for c in names}), there("docs"), **options)
 
     def parse(self, pattern: str, language: str = "default") -> tuple[Node, str | None]:
@@ -125,7 +125,7 @@ class Corpus:
         for text in (filter, also):
             if text:
                 wanted = docfilter.filter_documents(self.docs, text).select("doc_id")
-                t = Tables(sp.in_documents(t.tokens, wanted), sp.in_documents(t.spans, wanted) if t.spans is not None else None, sp.in_documents(t.relations, wanted) if t.relations is not None else None, t.annotations, None, t.fields, t.name)
+                t = Tables(sp.in_documents(t.tokens, wanted), sp.in_documents(t.spans, wanted) if t.spans is not None else None, sp.in_documents(t.relations, wanted) if t.relations is not None else None, t.annotations, None, t.fields, t.name, sp.in_documents(t.stored, wanted) if t.stored is not None else None)
         hits = Hits(Compiler(t, functions=self.functions).hits(tree), self, tree)
         if keep:
             hits.frame = hits.frame.persist()

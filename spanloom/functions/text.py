@@ -30,9 +30,18 @@ def _accents() -> tuple[str, str]:
     return "".join(src + marks), "".join(dst)
 
 
+#: Characters that insensitive comparison ignores: soft hyphen, zero-width characters.
+_IGNORED = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+
 def strip_accents(c: Column) -> Column:
     src, dst = _accents()
-    return F.translate(c, src, dst)
+    return _unless_ascii(c, c, F.translate(c, src, dst))
+
+
+def _unless_ascii(test: Column, plain: Column, other: Column) -> Column:
+    """Most words are ASCII and need no table: then bytes and characters are as many."""
+    return F.when(F.octet_length(test) == F.char_length(test), plain).otherwise(other)
 
 
 def fold(c: Column, sensitivity: str = "i") -> Column:
@@ -44,7 +53,9 @@ def fold(c: Column, sensitivity: str = "i") -> Column:
         return F.lower(c)
     if sensitivity == "di":
         return strip_accents(c)
-    return F.translate(strip_accents(F.lower(c)), "­​‌‍⁠﻿", "")
+    src, dst = _accents()
+    low = F.lower(c)
+    return _unless_ascii(c, low, F.translate(low, src + _IGNORED, dst))
 
 
 def fold_text(text: str, sensitivity: str = "i") -> str:
@@ -54,7 +65,7 @@ def fold_text(text: str, sensitivity: str = "i") -> str:
     if sensitivity in ("i", "di"):
         src, dst = _accents()
         text = text.translate({ord(c): dst[i] if i < len(dst) else None for i, c in enumerate(src)})
-    return re.sub("[­​‌‍⁠﻿]", "", text) if sensitivity == "i" else text
+    return re.sub(f"[{_IGNORED}]", "", text) if sensitivity == "i" else text
 
 
 def fold_regex(pattern: str, sensitivity: str) -> str:
@@ -112,24 +123,25 @@ def range_regex(low: int, high: int) -> str:
     return "|".join(parts)
 
 
-def matches(c: Column, value: Value, sensitivity: str = "i") -> Column:
-    """Whether a value matches as a whole. A null value never does; the result is never null."""
+def matches(c: Column, value: Value, sensitivity: str = "i", folded: bool = False) -> Column:
+    """Whether a value matches as a whole. A null value never does; the result is never null. folded: c is folded already."""
     how = value.sensitivity or sensitivity
+    v = c if folded else fold(c, how)
     if value.kind == "range":
         test = c.rlike(f"^(?:{range_regex(value.low, value.high)})$")
     elif value.kind == "literal":
-        test = fold(c, how) == F.lit(fold_text(value.text, how))
+        test = v == F.lit(fold_text(value.text, how))
     elif value.kind == "prefix":
-        test = fold(c, how).startswith(fold_text(value.text, how))
+        test = v.startswith(fold_text(value.text, how))
     elif value.kind == "wildcard":
-        test = fold(c, how).rlike(f"^(?:{wildcard_regex(fold_text(value.text, how))})$")
+        test = v.rlike(f"^(?:{wildcard_regex(fold_text(value.text, how))})$")
     elif value.kind == "fuzzy":  # at most `high` edits, the first `low` characters fixed
         text = fold_text(value.text, how)
-        test = F.levenshtein(fold(c, how), F.lit(text), value.high) >= 0
+        test = F.levenshtein(v, F.lit(text), value.high) >= 0
         if value.low:
-            test = test & fold(c, how).startswith(text[: value.low])
+            test = test & v.startswith(text[: value.low])
     elif value.text == ".*":
-        test = c.isNotNull()
+        return c.isNotNull()
     else:
-        test = fold(c, how).rlike(f"^(?:{fold_regex(value.text, how)})$")
-    return F.coalesce(test, F.lit(False))
+        test = v.rlike(f"^(?:{fold_regex(value.text, how)})$")
+    return c.isNotNull() & test if folded else F.coalesce(test, F.lit(False))

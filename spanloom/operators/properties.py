@@ -85,9 +85,9 @@ def with_context(hits: DataFrame, tables: Tables, annotations: list[str], before
     if not hit:
         want = want.where((F.col("_at") < F.col("_h.start_pos")) | (F.col("_at") >= F.col("_h.end_pos")))
     names = [a.replace("/", "_") for a in dict.fromkeys(annotations)]
-    look = tables.tokens.select("doc_id", F.col("pos").alias("_at"), *[F.col(tables.column(a)).alias(f"_v{i}") for i, a in enumerate(dict.fromkeys(annotations))])
+    look = tables.rows().select("doc_id", F.col("pos").alias("_at"), *[F.col(tables.column(a)).alias(f"_v{i}") for i, a in enumerate(dict.fromkeys(annotations))])
     word = F.struct("_at", *[F.col(f"_v{i}").alias(a) for i, a in enumerate(names)])
-    got = want.join(look, ["doc_id", "_at"]).groupBy("_h").agg(F.sort_array(F.collect_list(word)).alias("_ctx"))
+    got = want.join(look, ["doc_id", "_at"]).groupBy("_h").agg(F.sort_array(F.collect_set(word)).alias("_ctx"))
     empty = F.array().cast(got.schema["_ctx"].dataType)
     return ids.join(got, "_h", "left").withColumn("_ctx", F.coalesce("_ctx", empty)).drop("_h")
 

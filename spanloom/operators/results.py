@@ -151,7 +151,9 @@ def collocations(hits: DataFrame, tables: Tables, annotation: str | None = None,
     places = F.concat(F.when((s > 0) & F.lit(before > 0), left).otherwise(F.array().cast("array<int>")), F.sequence(e, e + after - 1) if after else F.array().cast("array<int>"))
     # places are counted before the join, so that hits close to each other bring one row per token
     want = spans.select("doc_id", F.explode(places).alias("pos")).groupBy("doc_id", "pos").agg(F.count("*").alias("n"))
-    words = want.join(tables.tokens.select("doc_id", "pos", fold(F.col(name), sensitivity).alias("term")), ["doc_id", "pos"])
+    words = want.join(tables.rows().select("doc_id", "pos", fold(F.col(name), sensitivity).alias("term")), ["doc_id", "pos"])
+    if tables.stored is not None:
+        words = words.dropDuplicates(["doc_id", "pos"])
     return words.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("n").alias("freq"))
 
 
@@ -305,7 +307,7 @@ def frequency_list(tables: Tables, annotations: list[str], metadata: list[str] |
 def autocomplete(tables: Tables, prefix: str, annotation: str | None = None, most: int = 30, sensitivity: str = "i") -> DataFrame:
     """The first terms with a prefix, in order."""
     term = fold(F.col(tables.column(annotation)), sensitivity).alias("term")
-    return tables.tokens.select(term).where(F.col("term").startswith(fold_text(prefix, sensitivity))).distinct().orderBy("term").limit(most)
+    return tables.rows().select(term).where(F.col("term").startswith(fold_text(prefix, sensitivity))).distinct().orderBy("term").limit(most)
 
 
 def field_values(documents: DataFrame, name: str, most: int = 200) -> DataFrame:

@@ -39,11 +39,17 @@ class Tables:
     lengths: DataFrame | None = None
     fields: dict[str, Tables] = field(default_factory=dict)
     name: str = "contents"
+    #: The tokens as stored, in which rows may be repeated. Conditions are checked there, so that they reach the scan, and
+    #: only what matches is made distinct. Not needed where `tokens` itself is stored without repeats.
+    stored: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        return self.tokens if self.stored is None else self.stored
 
     def length_table(self) -> DataFrame:
         """doc_id, length: the true number of tokens."""
         if self.lengths is None:
-            self.lengths = self.tokens.groupBy("doc_id").agg((F.max("pos") + 1).alias("length"))
+            self.lengths = self.rows().groupBy("doc_id").agg((F.max("pos") + 1).alias("length"))
         return self.lengths
 
     def column(self, annotation: str | None) -> str:
@@ -65,6 +71,8 @@ class Compiler:
     relation_class: str | None = None
     used: set[str] = field(default_factory=set)
     functions: dict = field(default_factory=dict)
+    #: Only the first value at a position counts.
+    first_value: bool = False
 
     # -- conditions on one token
 
@@ -88,15 +96,25 @@ class Compiler:
     def _value(self, annotation: str | None, value: n.Value) -> Column:
         """The first value at the position, or any of all values where there are several."""
         name = self.tables.column(annotation)
-        own = matches(F.col(name), value, self.sensitivity)
+        folded = f"{name}_i"  # written beside the annotation, it lets equality and prefixes reach the scan
+        ready = folded in self.tables.tokens.columns and (value.sensitivity or self.sensitivity) == "i" and value.kind != "range"
+        own = matches(F.col(folded), value, self.sensitivity, folded=True) if ready else matches(F.col(name), value, self.sensitivity)
         several = f"{name}_all"
-        if several not in self.tables.tokens.columns:
+        if self.first_value or several not in self.tables.tokens.columns:
             return own
         return own | F.coalesce(F.exists(F.col(several), lambda x: matches(x, value, self.sensitivity)), F.lit(False))
 
     def tokens_where(self, e: Node) -> DataFrame:
-        t = self.tables.tokens.where(self.condition(e))
-        return t.select("doc_id", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
+        place = ["doc_id", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos")]
+        rows = self.tables.rows()
+        if isinstance(e, n.Is):
+            name = self.tables.column(e.annotation or self.annotation)
+            if f"{name}_i" in rows.columns and f"{name}_all" in rows.columns:
+                # two scans that each push their filter down, instead of one whose OR can't be
+                first = rows.where(replace(self, first_value=True).condition(e)).select(*place)
+                return first.unionByName(rows.where(F.col(f"{name}_all").isNotNull()).where(self.condition(e)).select(*place)).distinct()
+        hits = rows.where(self.condition(e)).select(*place)
+        return hits if self.tables.stored is None else hits.distinct()
 
     # -- everything else
 
@@ -169,7 +187,8 @@ class Compiler:
         if self.tables.spans is None:
             raise CompileError("this corpus has no spans")
         name = n.Value(e.name, "literal" if re.fullmatch(r"[\w-]+", e.name) else "regex")
-        test = matches(F.col("tag"), name)
+        ready = "tag_i" in self.tables.spans.columns
+        test = matches(F.col("tag_i" if ready else "tag"), name, folded=ready)
         for key, value in e.attributes:
             test = test & matches(F.element_at("attrs", F.lit(key)), value)
         return self.tables.spans.where(test).select("doc_id", "start_pos", "end_pos").where("start_pos >= 0 AND end_pos >= start_pos").distinct()
@@ -365,10 +384,10 @@ class Compiler:
             wanted = [(a, col) for (c, a), col in names.items() if c == cap and a]
             if not wanted:
                 continue
-            look = self.tables.tokens.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), *[fold(F.col(self.tables.column(a))).alias(col) for a, col in wanted])
+            look = self.tables.rows().select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), *[fold(F.col(self.tables.column(a))).alias(col) for a, col in wanted])
             hits = hits.join(look, (F.col("doc_id") == F.col("_d")) & (F.col(f"c_{cap}.start") == F.col("_p")), "left").drop("_d", "_p")
         test = _truth(_constraint(e.constraint, names, known))
-        return hits.where(test).select(*sp.KEYS, *known)
+        return sp.distinct(hits.where(test).select(*sp.KEYS, *known))
 
 
 def _tokens_of(c: n.Constraint, names: dict[tuple[str, str], str]) -> None:

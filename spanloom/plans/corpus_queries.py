@@ -21,7 +21,8 @@ SQL: dict[str, str] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(tb.tokens(spark, sf_dir), tb.spans(spark, sf_dir), None, {"word": "word", "lemma": "lemma", "pos": "a_pos", "punct": "punct"})
+    annotations = {"word": "word", "lemma": "lemma", "pos": "a_pos", "punct": "punct"}
+    return Tables(tb.tokens(spark, sf_dir), tb.table(spark, sf_dir, "spans"), None, annotations, stored=tb.table(spark, sf_dir, "tokens"))
 
 
 def derived_relations(t: Tables, field: str = "contents", target: str = "contents") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import fold
 from spanloom.plans import docfilter
 
 
@@ -63,10 +64,17 @@ def export_metadata(docs: DataFrame, path: str) -> None:
     docs.drop("raw").write.mode("overwrite").json(path)
 
 
-def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """The tables as Parquet. Tokens are clustered by document and position, so column statistics skip files; a hot document is spread by blocks."""
+def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite", folded: tuple[str, ...] = ("word", "lemma", "a_pos")) -> None:
+    """The tables as Parquet, tokens once per position. Tokens are clustered by document and position; a hot document is spread by blocks.
+
+    Annotations named in `folded` get a column `<name>_i` without case and accents, and spans `tag_i`: insensitive equality and prefixes
+    then reach the scan, with dictionaries and statistics to skip row groups.
+    """
     for name, df in tables.items():
+        if name == "spans":
+            df = df.withColumn("tag_i", fold(F.col("tag")))
         if name == "tokens":
+            df = df.dropDuplicates(["doc_id", "pos"]).withColumns({f"{c}_i": fold(F.col(c)) for c in folded if c in df.columns})
             df = df.repartition("doc_id", F.floor(F.col("pos") / 65536)).sortWithinPartitions("doc_id", "pos")
         df.write.mode(mode).parquet(f"{path}/{name}.parquet")
 
