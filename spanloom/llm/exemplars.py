@@ -41,6 +41,11 @@ class Maker:
             lambda: f"{self.name()} ({self.noun()[:3]}.) {r.randint(1700, 2000)}",
             lambda: f"{self.noun()} {', '.join(str(r.randint(1, 400)) for _ in range(r.randint(1, 5)))}",
             lambda: f"{self.phrase(3)} {r.randint(2, 30)} {self.phrase(3)}",
+            # things to do, definitions, noun phrases
+            lambda: f"{self.noun()} {r.choice([f'the {self.noun()} with {self.name()}', f'{r.randint(2, 30)} {self.noun()} at the {self.noun()}', f'it if {self.noun()}'])}",
+            lambda: f"{self.noun()}: {r.choice([f'a {self.noun()} that is {self.noun()}', f'to {self.noun()} or to be {self.noun()}', f'the {self.noun()} of a {self.noun()}', f'in {self.name()} also for a {self.noun()}'])}",
+            lambda: r.choice([f"the {self.noun()} {self.noun()} of {self.name()}", f"what is a {self.noun()}", f"a {self.noun()} for the {self.noun()}", f"from {self.name()} to the {self.noun()}", f"the {self.noun()} in the {self.noun()}", f"not to {self.noun()} before the {self.noun()}"]),
+            lambda: r.choice([f"not to {self.noun()} before the {self.noun()}", f"{self.noun()} the {self.noun()} with {self.name()}", f"{self.noun()} it if {self.noun()}"]),
         ]
         for mark in marks:
             for item in items:

@@ -25,10 +25,12 @@ from spanloom.llm import features as ft
 KINDS = ("prose", "list", "table", "junk")
 #: At most so many labelled documents of a kind are used, those with the least hash of their id.
 LABELLED_PER_KIND = 400
+#: So many of the prose documents are also used in other shapes.
+RESHAPED = 120
 #: Profiles per kind.
 PROFILES = {"prose": 24, "list": 20, "table": 18, "junk": 26}
 #: Rounds of correction, profiles that each may add, and by how much a text must be nearer to its own kind.
-CORRECTIONS, PER_CORRECTION, MARGIN = 10, 6, 0.05
+CORRECTIONS, PER_CORRECTION, MARGIN = 12, 6, 0.1
 #: Weights of the distributions in the sum of divergences.
 WEIGHTS = {"chars": 1.0, "steps": 1.0, "word_size": 1.0, "function": 1.0, "line_start": 1.0, "line_end": 1.0, "line_words": 1.0, "cells": 1.0, "repeat": 1.0}
 
@@ -96,7 +98,7 @@ def fit(documents: DataFrame, labels: DataFrame, common_words: DataFrame) -> Pro
     maker = exemplars.Maker(words)
     prose = [t for k, t in sample if k == "prose"]
     texts = {k: [t for kind, t in sample if kind == k] for k in KINDS}
-    texts["prose"] = [s for t in prose for s in exemplars.shapes_of_prose(t)]
+    texts["prose"] = prose + [s for t in prose[:RESHAPED] for s in exemplars.shapes_of_prose(t)[1:]]
     texts["list"] += maker.lists()
     texts["table"] += maker.tables()
     texts["junk"] += maker.junk(prose[:40])
@@ -111,9 +113,9 @@ def fit(documents: DataFrame, labels: DataFrame, common_words: DataFrame) -> Pro
     # what is nearest to another kind's profile becomes a profile of its own, the worst first
     truth = np.concatenate([np.full(len(x), KINDS.index(k)) for k, x in known.items()])
     every = np.concatenate(list(known.values()))
+    d = divergence(every, stack)
     for _ in range(CORRECTIONS):
         label = np.array([KINDS.index(k) for k in kinds])
-        d = divergence(every, stack)
         own = np.where(label[None, :] == truth[:, None], d, np.inf).min(1)
         other = np.where(label[None, :] != truth[:, None], d, np.inf).min(1)
         wrong = np.flatnonzero(own > other - MARGIN)
@@ -122,6 +124,7 @@ def fit(documents: DataFrame, labels: DataFrame, common_words: DataFrame) -> Pro
         worst = wrong[np.argsort((other - own)[wrong], kind="stable")][:PER_CORRECTION]
         kinds += [KINDS[t] for t in truth[worst]]
         stack = np.concatenate([stack, every[worst]])
+        d = np.concatenate([d, divergence(every, every[worst])], 1)
     return Profiles(hashlib.md5(pickle.dumps((kinds, stack.tobytes(), common.tobytes()))).hexdigest(), tuple(kinds), stack, common)
 
 
