@@ -29,43 +29,86 @@ def _table(role: shred.Role, levels: tuple[str, ...]):
     return run
 
 
-P1_SQL = r"""
+P1_PARTS = r"""
 WITH RECURSIVE raw AS (
   SELECT DISTINCT response_id, ltrim(body, chr(65279) || ' ' || chr(10) || chr(13) || chr(9)) AS body
   FROM containing WHERE body IS NOT NULL
 ), one AS (
   SELECT response_id, CASE WHEN json_valid(body) THEN CASE json_type(body) WHEN 'VARCHAR' THEN ltrim(CAST(body AS JSON) ->> '$', chr(65279)) ELSE body END END AS body FROM raw
 ), good AS (
-  SELECT response_id, json_extract(body, '$.hits') AS hits FROM one WHERE json_valid(body) AND json_type(body) = 'OBJECT'
+  SELECT response_id, body, json_extract(body, '$.hits') AS hits FROM one WHERE json_valid(body) AND json_type(body) = 'OBJECT'
 ), hit AS (
   SELECT response_id, unnest(range(CAST(json_array_length(hits) AS BIGINT))) AS hit_no, unnest(CAST(hits AS JSON[])) AS h FROM good WHERE json_type(hits) = 'ARRAY'
   UNION ALL SELECT response_id, 0, hits FROM good WHERE json_type(hits) = 'OBJECT'
 ), part AS (
-  SELECT response_id, hit_no, h -> '$.captureGroups' AS c, h -> '$.matchInfos' AS m FROM hit WHERE json_type(h) = 'OBJECT'
+  SELECT response_id, hit_no, h, h -> '$.captureGroups' AS c, h -> '$.matchInfos' AS m FROM hit WHERE json_type(h) = 'OBJECT'
 ), capture AS (
-  SELECT response_id, hit_no, unnest(CAST(c AS JSON[])) AS o FROM part WHERE json_type(c) = 'ARRAY'
-  UNION ALL SELECT response_id, hit_no, c FROM part WHERE json_type(c) = 'OBJECT'
+  SELECT response_id, hit_no, unnest(range(CAST(json_array_length(c) AS BIGINT))) AS no, unnest(CAST(c AS JSON[])) AS o FROM part WHERE json_type(c) = 'ARRAY'
+  UNION ALL SELECT response_id, hit_no, 0, c FROM part WHERE json_type(c) = 'OBJECT'
 ), info AS (
-  SELECT response_id, hit_no, o ->> '$.name' AS item_name, o FROM (SELECT response_id, hit_no, unnest(CAST(m AS JSON[])) AS o FROM part WHERE json_type(m) = 'ARRAY')
+  SELECT response_id, hit_no, no, o ->> '$.name' AS item_name, o FROM (SELECT response_id, hit_no, unnest(range(CAST(json_array_length(m) AS BIGINT))) AS no, unnest(CAST(m AS JSON[])) AS o FROM part WHERE json_type(m) = 'ARRAY')
   UNION ALL
-  SELECT response_id, hit_no, k, json_extract(m, '$."' || k || '"') FROM (SELECT response_id, hit_no, m, unnest(json_keys(m)) AS k FROM part WHERE json_type(m) = 'OBJECT')
+  SELECT response_id, hit_no, no, k, json_extract(m, '$."' || k || '"') FROM (SELECT response_id, hit_no, m, unnest(range(len(json_keys(m)))) AS no, unnest(json_keys(m)) AS k FROM part WHERE json_type(m) = 'OBJECT')
 ), relation AS (
-  SELECT response_id, hit_no, item_name, unnest(range(CAST(json_array_length(o -> '$.infos') AS BIGINT))) AS item_no, unnest(CAST(o -> '$.infos' AS JSON[])) AS r
+  SELECT response_id, hit_no, no, item_name, unnest(range(CAST(json_array_length(o -> '$.infos') AS BIGINT))) AS item_no, unnest(CAST(o -> '$.infos' AS JSON[])) AS r
   FROM info WHERE json_type(o -> '$.infos') = 'ARRAY'
 )
+"""
+_INT = "TRY_CAST({0} ->> '$.{1}' AS BIGINT) AS {2}"
+P1_SQL = (
+    P1_PARTS
+    + """
 SELECT response_id, CAST(hit_no AS INTEGER) AS hit_no, 'capture' AS kind, o ->> '$.name' AS item_name, 0 AS item_no FROM capture WHERE json_type(o) = 'OBJECT'
 UNION ALL
 SELECT response_id, CAST(hit_no AS INTEGER), 'info', item_name, 0 FROM info WHERE json_type(o) = 'OBJECT'
 UNION ALL
 SELECT response_id, CAST(hit_no AS INTEGER), 'relation', item_name, CAST(item_no AS INTEGER) FROM relation WHERE json_type(r) = 'OBJECT'
 """
+)
+P1_CAPTURES = P1_PARTS + f"""SELECT response_id, 'plain' AS variant, CAST(hit_no AS INTEGER) AS hit_no, CAST(NULL AS VARCHAR) AS hit_name, CAST(no AS INTEGER) AS item_no, o ->> '$.name' AS item_name,
+  {_INT.format('o', 'start', 'start_pos')}, {_INT.format('o', 'end', 'end_pos')} FROM capture WHERE json_type(o) = 'OBJECT'"""
+P1_INFOS = P1_PARTS + f""", x AS (SELECT *, CASE WHEN json_exists(o, '$.infos') THEN 'list' WHEN json_exists(o, '$.relType') THEN 'relation' WHEN json_exists(o, '$.tagName') OR json_exists(o, '$.attributes') THEN 'tag' ELSE 'span' END AS variant FROM info WHERE json_type(o) = 'OBJECT')
+SELECT response_id, variant, CAST(hit_no AS INTEGER) AS hit_no, item_name, o ->> '$.type' AS kind_type, o ->> '$.relType' AS rel_type, o ->> '$.tagName' AS tag_name, o -> '$.attributes' ->> '$.who[0]' AS who,
+  {_INT.format('o', 'start', 'start_pos')}, {_INT.format('o', 'end', 'end_pos')}, {_INT.format('o', 'sourceStart', 'source_start')}, {_INT.format('o', 'targetEnd', 'target_end')} FROM x"""
+P1_RELATIONS = P1_PARTS + f"""SELECT response_id, 'target_only' AS variant, CAST(hit_no AS INTEGER) AS hit_no, item_name, CAST(item_no AS INTEGER) AS nested_no, r ->> '$.type' AS kind_type, r ->> '$.relType' AS rel_type,
+  {_INT.format('r', 'targetStart', 'target_start')}, {_INT.format('r', 'targetEnd', 'target_end')}, CAST(r ->> '$.isRoot' AS BOOLEAN) AS is_root FROM relation WHERE json_type(r) = 'OBJECT'"""
+P1_HITS = P1_PARTS + f"""SELECT response_id, CAST(hit_no AS INTEGER) AS hit_no, h ->> '$.docPid' AS doc_pid, {_INT.format('h', 'start', 'start_pos')}, {_INT.format('h', 'end', 'end_pos')},
+  array_to_string(CAST(h -> '$.match' -> '$.word' AS VARCHAR[]), ' ') AS match_words, array_to_string(CAST(h -> '$.left' -> '$.punct' AS VARCHAR[]), '|') AS left_punct FROM part"""
+P1_RESPONSES = P1_PARTS + "SELECT response_id, json_extract_string(body, '$.summary.searchParam.patt') AS pattern, TRY_CAST(json_extract_string(body, '$.summary.numberOfHits') AS BIGINT) AS number_of_hits FROM good"
+
+
+def p1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(shred.RESPONSE, ())(spark, sf_dir).drop("variant")
+
+
+def p1_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(shred.HIT, ("hit",))(spark, sf_dir)
+    return rows.select("response_id", "hit_no", "doc_pid", "start_pos", "end_pos", F.array_join("match_word", " ").alias("match_words"), F.array_join("left_punct", "|").alias("left_punct"))
+
+
+def p1_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(shred.INFO, ("hit", "item"))(spark, sf_dir)
+    who = F.element_at(F.col("attributes")["who"], 1)
+    return rows.select("response_id", "variant", "hit_no", "item_name", "kind_type", "rel_type", "tag_name", who.alias("who"), "start_pos", "end_pos", "source_start", "target_end")
+
+
+def p1_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(shred.RELATION, shred.RESPONSE_LEVELS)(spark, sf_dir)
+    return rows.select("response_id", "variant", "hit_no", "item_name", "nested_no", "kind_type", "rel_type", "target_start", "target_end", "is_root")
+
+
+def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects of each role and variant there are."""
+    return shred.shred_responses(table(spark, sf_dir, "containing")).groupBy("role", "variant").agg(F.count("*").alias("n"))
+
 
 QUERIES = {
     "p1_found": p1_found,
-    "p1_responses": _table(shred.RESPONSE, ()),
-    "p1_hits": _table(shred.HIT, ("hit",)),
+    "p1_responses": p1_responses,
+    "p1_hits": p1_hits,
     "p1_captures": _table(shred.CAPTURE, ("hit", "item")),
-    "p1_infos": _table(shred.INFO, ("hit", "item")),
-    "p1_relations": _table(shred.RELATION, shred.RESPONSE_LEVELS),
+    "p1_infos": p1_infos,
+    "p1_relations": p1_relations,
+    "p1_variants": p1_variants,
 }
-SQL = {"p1_found": P1_SQL}
+SQL = {"p1_found": P1_SQL, "p1_responses": P1_RESPONSES, "p1_hits": P1_HITS, "p1_captures": P1_CAPTURES, "p1_infos": P1_INFOS, "p1_relations": P1_RELATIONS}
