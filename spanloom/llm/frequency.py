@@ -1,6 +1,6 @@
 """Frequencies of every distinct value, by a global integer dictionary and blockwise count arrays.
 
-1. Records are hashed into blocks by their key. A block counts occurrences and record presence of its own values
+1. Records are hashed into blocks by their key, redelivered ones merged before and after the shuffle. A block counts occurrences and record presence of its own values
    in arrays over a local dictionary; a value that is in a third of all rows leaves a block as one entry.
 2. All distinct (field, value) pairs get dense integer ids: the global dictionary.
 3. Block entries are encoded with those ids and sent to the task of their identifier range, which sums
@@ -79,32 +79,11 @@ BLOCK_SCHEMA = "field_no int, term string, occurrences bigint, records bigint"
 
 def _count_blocks(n_fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen, null_seen, n_records = _Block(n_fields), np.zeros(0, np.int64), False, 0
+        block, n_records = _Block(n_fields), 0
         for batch in batches:
-            keys = batch.column(0)
-            # redelivered records of a key are in the same block, as blocks are hashed by key
-            if pa.types.is_integer(keys.type):
-                nulls = keys.is_null().to_numpy(zero_copy_only=False)
-                ids = keys.fill_null(0).to_numpy()
-                order, first = np.unique(np.where(nulls, np.iinfo(np.int64).min, ids), return_index=True)
-                fresh = ~np.isin(order, seen)
-                seen = np.concatenate([seen, order[fresh]])
-                keep = first[fresh]
-            else:
-                if not isinstance(seen, set):
-                    seen = set()
-                keep = []
-                for i, k in enumerate(keys.to_pylist()):
-                    if k not in seen:
-                        seen.add(k)
-                        keep.append(i)
-                keep = np.array(keep, np.int64)
-            if not len(keep):
-                continue
-            rows = batch.take(pa.array(np.sort(keep)))
-            n_records += len(keep)
+            n_records += batch.num_rows
             for i in range(n_fields):
-                block.add(i, rows.column(i + 1))
+                block.add(i, batch.column(i))
             if block.size() > LOCAL_VALUES:
                 yield block.emit(n_records)
                 block, n_records = _Block(n_fields), 0
@@ -139,8 +118,9 @@ def value_counts(df: DataFrame, key: str, fields: dict[str, str]) -> tuple[DataF
     names = list(fields)
     rows = df.select(F.col(key), *[F.expr(e).alias(f"_{i}") for i, e in enumerate(fields.values())])
     # Arrow lists keep their offsets only without nulls among the lists
-    rows = rows.select(key, *[F.coalesce(F.col(f"_{i}"), F.array().cast("array<string>")).alias(f"_{i}") for i in range(len(names))])
-    blocks = cut(rows.repartition(key).mapInArrow(_count_blocks(len(names)), BLOCK_SCHEMA))
+    rows = rows.withColumnRenamed(key, "_key").dropDuplicates(["_key"])
+    rows = rows.select(*[F.coalesce(F.col(f"_{i}"), F.array().cast("array<string>")).alias(f"_{i}") for i in range(len(names))])
+    blocks = cut(rows.mapInArrow(_count_blocks(len(names)), BLOCK_SCHEMA))
     n = blocks.where("field_no = -1").agg(F.sum("records")).first()[0] or 0
     ids = with_dense_ids(blocks.where("field_no >= 0").select("field_no", "term").distinct())
     encoded = blocks.where("field_no >= 0").join(ids, ["field_no", "term"]).select("id", "occurrences", "records")

@@ -16,6 +16,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hit_id", "field_name", "item_no")
 
 
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct value of the two fields with its one form: the accepted form of the same look, or else the form that equal looks share."""
+    hits, forms = table(spark, sf_dir, "hits"), table(spark, sf_dir, "canonical_forms")
+    parts = []
+    for name, (expression, kind) in P2_FIELDS.items():
+        accepted = [r["form"] for r in forms.where((F.col("kind") == kind) & F.col("form").isNotNull()).select("form").distinct().limit(canonical.MAX_FORMS).collect()]
+        own = forms.where(F.col("kind") == kind).select(F.col("form").alias("accepted")).where("accepted IS NOT NULL").distinct()
+        looks = canonical.unify(own, "accepted", "look", accepted)
+        values = hits.select(F.explode(expression).alias("value")).where("value IS NOT NULL").distinct()
+        one = canonical.unify(values, "value", "look", accepted).join(F.broadcast(looks), "look", "left")
+        parts.append(one.select(F.lit(name).alias("field_name"), "value", F.coalesce("accepted", "look").alias("form")))
+    return parts[0].unionByName(parts[1])
+
+
 P3_FIELDS = {f"match.{x}": f"match.{x}" for x in ("word", "lemma", "pos")}
 
 
@@ -146,6 +160,7 @@ _P5 = (
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_frequencies": p3_frequencies,
     "p4_found": p4_found,
