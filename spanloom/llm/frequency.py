@@ -131,8 +131,8 @@ def value_counts(df: DataFrame, key: str, fields: dict[str, str]) -> tuple[DataF
     return out, int(n)
 
 
-def marked(counts: DataFrame, n_records: int, rare_below: int = 3, common_share: float = 0.02) -> DataFrame:
-    """Adds `mark`: `rare` for values in fewer than `rare_below` records, `common` for others in more than
-    `common_share` of all records, null for the useful rest."""
-    common = F.col("records") / F.lit(common_share) > F.lit(n_records)
+def marked(counts: DataFrame, n_records: int, rare_below: int = 3, common_one_in: int = 50) -> DataFrame:
+    """Adds `mark`: `rare` for values in fewer than `rare_below` records, `common` for others in more than one of
+    `common_one_in` records, null for the useful rest. Compared in whole numbers."""
+    common = F.col("records") * common_one_in > F.lit(n_records)
     return counts.withColumn("mark", F.when(F.col("records") < rare_below, "rare").when(common, "common"))
