@@ -573,3 +573,108 @@ def value_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         one("title", {"action": "strip", "chars": " lt"}).alias("stripped"),
         process.map_values(F.col("lang"), {"en": "English", "nl": "Dutch"}).alias("mapped"),
     )
+
+
+# -- languages and settings ----------------------------------------------------------------------------
+
+_SEQ = PRE + tok("a", is_word("the")) + tok("b", "p = 'nn'") + ", c AS (SELECT a.doc_id, a.s, b.e FROM a JOIN b ON a.doc_id = b.doc_id AND a.e = b.s)"
+hits_query("forced_first_clause", "_FI1('the', [pos='NN'])", _SEQ + out("c"))
+hits_query("forced_second_clause", "_FI2('the', [pos='NN'])", _SEQ + out("c"))
+hits_query("identity_function", "_ident('the' [pos='NN'])", _SEQ + out("c"))
+hits_query("double_negation", "!!'the'", PRE + tok("a", is_word("the")) + out("a"))
+hits_query("negated_repetition", "'the' !'of'{2} 'the'", PRE + tok("a", is_word("the")) + ", f AS (SELECT doc_id, pos FROM T WHERE NOT " + is_word("of") + "), o AS (SELECT x.doc_id, x.pos FROM T x JOIN T y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE list_contains(x.ws, 'of') AND list_contains(y.ws, 'of')), k AS (SELECT doc_id, pos FROM T WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = T.doc_id AND T.pos IN (o.pos, o.pos + 1))), c AS (SELECT a.doc_id, a.s, b.e FROM a JOIN k ON k.doc_id = a.doc_id AND k.pos = a.e JOIN a b ON b.doc_id = a.doc_id AND b.s = k.pos + 1)" + out("c"))
+hits_query("overlap_of_patterns", "([pos='JJ'] [pos='NN']) overlap ([] [pos='JJ'])", PRE + _AN + ", x AS (SELECT a.doc_id, a.s, b.e FROM a JOIN b ON a.doc_id = b.doc_id AND a.e = b.s), y AS (SELECT doc_id, s - 1 AS s, e FROM a WHERE s > 0), c AS (SELECT x.doc_id, greatest(x.s, y.s) AS s, least(x.e, y.e) AS e FROM x JOIN y ON x.doc_id = y.doc_id AND x.s < y.e AND y.s < x.e)" + out("c"))
+hits_query("spans_within_spans", "<u/> within <s/>", PRE + ", c AS (SELECT a.doc_id, a.s, a.e FROM S a JOIN S b ON a.doc_id = b.doc_id AND b.s <= a.s AND b.e >= a.e WHERE a.tag = 'u' AND b.tag = 's')" + out("c"))
+hits_query("span_by_speaker_containing", "<u who='#S1'/> containing ('yeah' 'yeah')", PRE + tok("a", is_word("yeah")) + ", y AS (SELECT x.doc_id, x.s, z.e FROM a x JOIN a z ON x.doc_id = z.doc_id AND x.e = z.s), c AS (SELECT S.doc_id, S.s, S.e FROM S WHERE tag = 'u' AND lower(attrs['who']) = '#s1' AND EXISTS (SELECT 1 FROM y WHERE y.doc_id = S.doc_id AND y.s >= S.s AND y.e <= S.e))" + out("c"))
+hits_query("start_of_span", "<u> 'yeah'", PRE + tok("a", is_word("yeah")) + ", c AS (SELECT a.* FROM a JOIN S ON S.doc_id = a.doc_id AND S.s = a.s AND tag = 'u')" + out("c"))
+hits_query("end_of_span", "'know' </u>", PRE + tok("a", is_word("know")) + ", c AS (SELECT a.* FROM a JOIN S ON S.doc_id = a.doc_id AND S.e = a.e AND tag = 'u')" + out("c"))
+
+
+@query("pattern_from_json", _SEQ + out("c"))
+def pattern_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.plans.parser import parse
+    from spanloom.plans.serialise import from_json, to_json
+
+    return run(from_json(to_json(parse("'the' [pos='NN']"))), corpus(spark, sf_dir)).select(*sp.KEYS).distinct()
+
+
+def _handle(spark: SparkSession, sf_dir: str):
+    from spanloom.corpus import Corpus
+
+    return Corpus(corpus(spark, sf_dir), tb.docs(spark, sf_dir))
+
+
+@query("contextual_query", PRE + tok("a", "l = 'be'") + ", c AS (SELECT a.* FROM a JOIN D USING (doc_id) WHERE lower(title) LIKE '%letter%')" + out("c"))
+def contextual_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handle(spark, sf_dir).search('lemma="be" and metadata.title=letter', language="contextql").frame.select(*sp.KEYS).distinct()
+
+
+@query("pattern_template", PRE + tok("a", is_word("kitchen") + " OR " + is_word("letter")) + out("a"))
+def pattern_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handle(spark, sf_dir).search("'@@'", gaps="kitchen\nletter\n").frame.select(*sp.KEYS).distinct()
+
+
+@query("search_in_filtered_documents", PRE + _AN + ", c AS (SELECT a.doc_id, a.s, b.e FROM a JOIN b ON a.doc_id = b.doc_id AND a.e = b.s JOIN D ON D.doc_id = a.doc_id WHERE lower(lang) LIKE 'en%')" + out("c"))
+def search_in_filtered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handle(spark, sf_dir).search("[pos='JJ'] [pos='NN']", "lang:en*").frame.select(*sp.KEYS).distinct()
+
+
+@query("documents_of_hits", _JN + " SELECT D.doc_id, pid, count(*) AS n_hits FROM h JOIN D USING (doc_id) GROUP BY ALL")
+def documents_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handle(spark, sf_dir).search("[pos='JJ'] [pos='NN']").docs().select("doc_id", "pid", "n_hits")
+
+
+@query("relation_captures_in_capture", REL + ", c AS (SELECT t.doc_id, t.pos AS s, j.pos + 2 AS e, j.pos AS a FROM T t JOIN T j ON j.doc_id = t.doc_id AND j.pos = t.pos + 1 JOIN T k ON k.doc_id = t.doc_id AND k.pos = j.pos + 1 WHERE t.p = 'dt' AND j.p = 'jj' AND k.p = 'nn') SELECT c.doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, count(rel_id) AS n FROM c LEFT JOIN R ON R.doc_id = c.doc_id AND least(h, d) >= a AND h + 1 <= e GROUP BY ALL")
+def relation_captures_in_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = run("rcapture2([pos='DT'] A:([pos='JJ'] [pos='NN']), 'A', 'rels')", with_relations(spark, sf_dir))
+    return h.select(*sp.KEYS, F.greatest(F.lit(0), F.coalesce(F.size("c_rels"), F.lit(0))).cast("bigint").alias("n"))
+
+
+@query("context_setting", PRE + tok("a", is_word("kitchen")) + ", c AS (SELECT a.* FROM a WHERE EXISTS (SELECT 1 FROM S WHERE tag = 'entity' AND S.doc_id = a.doc_id AND S.s <= a.s AND S.e >= a.e))" + out("c"))
+def context_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run("@context=entity 'kitchen'", with_relations(spark, sf_dir)).select(*sp.KEYS).distinct()
+
+
+@query("collocations_most_frequent", PRE + tok("h", "l = 'letter'") + " SELECT lemma AS term, count(*) AS freq FROM h JOIN T ON T.doc_id = h.doc_id AND ((pos >= s - 3 AND pos < s) OR (pos >= e AND pos < e + 3)) WHERE lemma IS NOT NULL GROUP BY 1 ORDER BY freq DESC, term LIMIT 20")
+def collocations_most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = corpus(spark, sf_dir)
+    c = rs.collocations(run("[lemma='letter']", t), t, "lemma", 3, 3, "s")
+    return rs.window(c.orderBy(F.desc("freq"), "term"), 0, 20)
+
+
+@query("group_sizes", _JN + ", g AS (SELECT t, count(*) AS size FROM h GROUP BY 1) SELECT CAST(sum(size) AS BIGINT) AS total, max(size) AS largest, count(*) AS n FROM g")
+def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, t = _jn(spark, sf_dir)
+    return rs.total(rs.group_hits(h, t, "hit:word:i"), "size")
+
+
+@query("groups_sampled")
+def groups_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, t = _jn(spark, sf_dir)
+    return rs.sample(rs.group_hits(h, t, "hit:word:i"), number=20, keys=["g0"])
+
+
+@query("documents_sampled")
+def documents_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.sample(tb.docs(spark, sf_dir), fraction=0.1, keys=["doc_id"]).select("doc_id", "pid")
+
+
+@query("documents_grouped_by_two_fields", PRE + " SELECT coalesce(lang, '') AS g0, CAST(coalesce(year(recorded_at) - year(recorded_at) % 10, 10000000) AS INTEGER) AS g1, count(*) AS docs, CAST(sum(coalesce(length_tokens, 0)) AS BIGINT) AS tokens FROM D GROUP BY ALL")
+def documents_grouped_by_two_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.group_docs(tb.docs(spark, sf_dir), "field:lang,decade:recorded_at")
+
+
+@query("spans_per_speaker", PRE + " SELECT coalesce(attrs['who'], '') AS who, count(*) AS spans, CAST(sum(e - s) AS BIGINT) AS tokens FROM S WHERE tag = 'u' GROUP BY 1")
+def spans_per_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.spans(spark, sf_dir).where("tag = 'u'")
+    return rows.groupBy(F.coalesce(F.col("attrs")["who"], F.lit("")).alias("who")).agg(F.count("*").alias("spans"), F.sum(F.col("end_pos") - F.col("start_pos")).cast("bigint").alias("tokens"))
+
+
+@query("text_tokens_with_offsets", r"WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(ws) AS n, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS letters, CAST(0 AS BIGINT) AS misplaced FROM w WHERE len(ws) > 0")
+def text_tokens_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.sources import text
+
+    d = tb.table(spark, sf_dir, "documents")
+    t = text.tokens_with_offsets(d, "doc_id", "text").join(d.select("doc_id", "text"), "doc_id")
+    wrong = F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("word")
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("word")).cast("bigint").alias("letters"), F.sum(wrong.cast("bigint")).alias("misplaced"))
