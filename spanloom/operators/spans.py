@@ -28,8 +28,9 @@ def captures(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("c_")]
 
 
-def distinct(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+def distinct(df: DataFrame, known: bool = False) -> DataFrame:
+    """Hits without repeats; `known` when the inputs and the lengths of their hits already see to that, which saves a shuffle."""
+    return df if known else df.dropDuplicates()
 
 
 def _right(df: DataFrame) -> DataFrame:
@@ -48,7 +49,9 @@ def both(a: DataFrame, b: DataFrame) -> DataFrame:
     """AND: hits of equal span; all combinations of their captures."""
     r = _right(b)
     on = [F.col(k) == F.col(f"_{k}") for k in KEYS]
-    return distinct(a.join(r, reduce(Column.__and__, on)).select(*KEYS, *_merged(a, b)))
+    # rows of both sides are distinct, so pairs are, unless captures of one name are merged
+    known = not set(captures(a)) & set(captures(b))
+    return distinct(a.join(r, reduce(Column.__and__, on)).select(*KEYS, *_merged(a, b)), known)
 
 
 def but_not(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,18 +64,20 @@ def either(parts: list[DataFrame]) -> DataFrame:
     return distinct(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts))
 
 
-def followed_by(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Sequence: b starts where a ends."""
+def followed_by(a: DataFrame, b: DataFrame, fixed: bool = False) -> DataFrame:
+    """Sequence: b starts where a ends. fixed: all hits of a, or all of b, have one length, so no two pairs cover the same span."""
     r = _right(b)
     joined = a.join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("end_pos") == F.col("_start_pos")))
-    return distinct(joined.select("doc_id", "start_pos", F.col("_end_pos").alias("end_pos"), *_merged(a, b)))
+    known = fixed and not set(captures(a)) & set(captures(b))
+    return distinct(joined.select("doc_id", "start_pos", F.col("_end_pos").alias("end_pos"), *_merged(a, b)), known)
 
 
-def with_gap(a: DataFrame, b: DataFrame, low: int, high: int) -> DataFrame:
-    """b starts low to high tokens after the end of a."""
+def with_gap(a: DataFrame, b: DataFrame, low: int, high: int, fixed: bool = False) -> DataFrame:
+    """b starts low to high tokens after the end of a. fixed: all hits of a and all of b have one length each."""
     r = _right(b)
     if low == high == 0:
-        return followed_by(a, b)
+        return followed_by(a, b, fixed)
+    known = fixed and not set(captures(a)) & set(captures(b))
     if high - low <= NARROW:
         steps = a.withColumn("_at", F.explode(F.sequence(F.col("end_pos") + low, F.col("end_pos") + high)))
         joined = steps.join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_at") == F.col("_start_pos")))
@@ -84,7 +89,7 @@ def with_gap(a: DataFrame, b: DataFrame, low: int, high: int) -> DataFrame:
         wide = wide.withColumn("_block", F.explode(F.sequence(_block("_from"), _block("_to"))))
         r = r.withColumn("_b", _block("_start_pos"))
         joined = wide.join(r, (F.col("doc_id") == F.col("_doc_id")) & (F.col("_block") == F.col("_b")) & F.col("_start_pos").between(F.col("_from"), F.col("_to")))
-    return distinct(joined.select("doc_id", "start_pos", F.col("_end_pos").alias("end_pos"), *_merged(a, b)))
+    return distinct(joined.select("doc_id", "start_pos", F.col("_end_pos").alias("end_pos"), *_merged(a, b)), known)
 
 
 def _block(c: str) -> Column:
@@ -113,16 +118,17 @@ def uncovered(tokens: DataFrame, a: DataFrame) -> DataFrame:
     return free.select("doc_id", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
 
 
-def expand(a: DataFrame, direction: str, low: int, high: int, lengths: DataFrame | None) -> DataFrame:
-    """Hits longer by low to high tokens on one side, within the document."""
+def expand(a: DataFrame, direction: str, low: int, high: int, lengths: DataFrame | None, fixed: bool = False) -> DataFrame:
+    """Hits longer by low to high tokens on one side, within the document. fixed: all hits of a have one length."""
+    known = fixed or low == high
     if direction == "left":
         room = F.least(F.lit(high), F.col("start_pos"))
         out = a.where(F.col("start_pos") >= low).withColumn("_k", F.explode(F.sequence(F.lit(low), room)))
         out = out.withColumn("start_pos", F.col("start_pos") - F.col("_k"))
-        return distinct(out.drop("_k"))
+        return distinct(out.drop("_k"), known)
     room = F.least(F.lit(high), F.col("length") - F.col("end_pos"))
     out = a.join(lengths, "doc_id").where(F.col("length") - F.col("end_pos") >= low).withColumn("_k", F.explode(F.sequence(F.lit(low), room)))
-    return distinct(out.withColumn("end_pos", F.col("end_pos") + F.col("_k")).drop("_k", "length"))
+    return distinct(out.withColumn("end_pos", F.col("end_pos") + F.col("_k")).drop("_k", "length"), known)
 
 
 def of_length(a: DataFrame, low: int, high: int) -> DataFrame:

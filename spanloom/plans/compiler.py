@@ -154,10 +154,15 @@ class Compiler:
         return sp.uncovered(self.tables.tokens, self.hits(e.part))
 
     def _seq(self, e: n.Seq) -> DataFrame:
-        return reduce(sp.followed_by, map(self.hits, e.parts))
+        out, so_far = self.hits(e.parts[0]), n.extent(e.parts[0])
+        for p in e.parts[1:]:
+            size = n.extent(p)
+            out = sp.followed_by(out, self.hits(p), so_far.fixed or size.fixed)
+            so_far = n.Extent(so_far.low + size.low, min(so_far.high + size.high, n.MANY))
+        return out
 
     def _gap(self, e: n.Gap) -> DataFrame:
-        return sp.with_gap(self.hits(e.left), self.hits(e.right), e.low, e.high)
+        return sp.with_gap(self.hits(e.left), self.hits(e.right), e.low, e.high, n.extent(e.left).fixed and n.extent(e.right).fixed)
 
     def _repeat(self, e: n.Repeat) -> DataFrame:
         part = self.hits(e.part)
@@ -168,7 +173,7 @@ class Compiler:
 
     def _expand(self, e: n.Expand) -> DataFrame:
         lengths = self.tables.length_table() if e.direction == "right" else None
-        return sp.expand(self.hits(e.part), e.direction, e.low, e.high, lengths)
+        return sp.expand(self.hits(e.part), e.direction, e.low, e.high, lengths, n.extent(e.part).fixed)
 
     def _capture(self, e: n.Capture) -> DataFrame:
         self.used.add(e.name)

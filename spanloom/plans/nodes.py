@@ -374,8 +374,8 @@ class Extent:
     high: int
 
     @property
-    def empty(self) -> bool:
-        return self.low == 0
+    def fixed(self) -> bool:
+        return self.low == self.high
 
 
 def _plus(a: int, b: int) -> int:
@@ -421,11 +421,13 @@ def extent(n: Node) -> Extent:
         return Extent(max(e.low, n.low), min(e.high, n.high))
     if isinstance(n, Edge) or isinstance(n, Tag) and n.edge != "full":
         return Extent(0, 0)
+    if isinstance(n, Settings) and dict(n.values).keys() & {"adjusthits", "context"}:
+        return Extent(0, MANY)
     if isinstance(n, (Capture, Filter, Constrained, Settings, Sensitive, OnAnnotation, InField, CaptureRelations)):
         return extent(n.part)
     if isinstance(n, Fixed):
         return Extent(n.end - n.start, n.end - n.start)
-    if isinstance(n, Relations) and n.parent is not None:
+    if isinstance(n, Relations) and n.parent is not None and not any(c.relation.alignment for c in n.children_):
         return extent(n.parent)
     return Extent(1, MANY) if isinstance(n, Tag) else Extent(0, MANY)
 
