@@ -24,8 +24,8 @@ from spanloom.session import cut
 LANGUAGES, TOPICS = 40, 40
 #: Rounds of fitting and when it has settled, as a share of all tokens.
 ROUNDS, SETTLED = 200, 1e-9
-#: Bins of the draw's histogram, per source.
-BINS = 1 << 16
+#: Bins of each of the two histograms of the draw; so many rows per listed source come to the driver at most.
+BINS = 512
 
 
 @dataclass
@@ -131,24 +131,43 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, seed:
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.join(weights, ["source", "l", "g"]).withColumn("whole", F.floor("weight")).withColumn("part", F.col("weight") - F.col("whole"))
     drawn = drawn.withColumn("rank", F.when(F.col("part") > 0, uniform / F.col("part")))
+    # the threshold is found on a coarse histogram of ranks, and then on a fine one within the bin that meets the target
     # ranks beyond 2 can't be needed but for tiny sources; they share the last bin
-    bin_of = F.least(F.floor(F.col("rank") * (BINS / 2)), F.lit(BINS - 1)).cast("int")
-    histogram = drawn.groupBy("source", bin_of.alias("bin")).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("whole")).alias("sure"))
+    scaled = F.col("rank") * (BINS / 2)
+    coarse = F.least(F.floor(scaled), F.lit(BINS - 1)).cast("int")
+    fine = F.least(F.floor((scaled - coarse) * BINS), F.lit(BINS - 1)).cast("int")
+    drawn = drawn.withColumn("bin", coarse).withColumn("cell", fine)
+    missing = dict(zip(names, wanted))
+    totals: dict[str, list] = {}
+    for r in drawn.groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("whole")).alias("sure")).collect():
+        missing[r["source"]] -= float(r["sure"])
+        if r["bin"] is not None:
+            totals.setdefault(r["source"], []).append((r["bin"], r["n"]))
+    crossing, before = {}, {}
+    for source, bins in totals.items():
+        run = 0.0
+        for b, n in sorted(bins):
+            crossing[source], before[source] = b, run
+            run += n
+            if run >= missing[source]:
+                break
+    at = F.broadcast(spark.createDataFrame(list(crossing.items()), "source string, edge int"))
+    inner: dict[str, list] = {}
+    for r in drawn.join(at, "source").where("bin = edge").groupBy("source", "cell").agg(F.sum("n_tokens").alias("n")).collect():
+        inner.setdefault(r["source"], []).append((r["cell"], r["n"]))
     limits = []
-    by_source: dict[str, list] = {}
-    for r in histogram.collect():  # at most BINS + 1 rows per listed source
-        by_source.setdefault(r["source"], []).append(r)
-    for s, bins in by_source.items():
-        missing = wanted[at_s[s]] - sum(float(r["sure"]) for r in bins)
-        best, cut_at, total_n = abs(missing), -1, 0.0
-        for r in sorted((r for r in bins if r["bin"] is not None), key=lambda r: r["bin"]):
-            total_n += r["n"]
-            if abs(missing - total_n) < best:
-                best, cut_at = abs(missing - total_n), r["bin"]
-        limits.append((s, cut_at))
-    edges = F.broadcast(spark.createDataFrame(limits, "source string, last_bin int"))
-    copies = (F.col("whole") + F.when(bin_of <= F.col("last_bin"), 1).otherwise(0)).cast("int")
-    chosen = drawn.join(edges, "source").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
+    for source, b in crossing.items():
+        run = before[source]
+        best, last = abs(missing[source] - run), -1
+        for c, n in sorted(inner.get(source, [])):
+            run += n
+            if abs(missing[source] - run) < best:
+                best, last = abs(missing[source] - run), c
+        limits.append((source, b, last))
+    edges = F.broadcast(spark.createDataFrame(limits, "source string, edge int, last_cell int"))
+    taken = (F.col("bin") < F.col("edge")) | (F.col("bin") == F.col("edge")) & (F.col("cell") <= F.col("last_cell"))
+    copies = (F.col("whole") + F.when(taken, 1).otherwise(0)).cast("int")
+    chosen = drawn.join(edges, "source", "left").select("doc_id", "source", "n_tokens", copies.alias("copies")).where("copies > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").cast("bigint").alias("copies"), F.max("copies").alias("most_repeats"))
     joined = per_source.join(F.broadcast(got), "source", "left")
     mixed_total = got.agg(F.sum("mixed_tokens")).first()[0] or 1
