@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import process
 from spanloom.plans.compiler import Tables
+from spanloom.session import importable
 from spanloom.sources import parsers
 from spanloom.sources.descriptor import BUNDLED, Format, FormatError
 
@@ -178,6 +179,7 @@ def _processed(values, steps: list[dict]):
 
 def load(spark: SparkSession, path: str | list[str], form: str | Format, glob: str = "*", converter: str = "none") -> Loaded:
     """Loads files in a format given by name or descriptor."""
+    importable(spark)
     if isinstance(form, str):
         if form not in FORMATS:
             raise FormatError(f"unknown format {form}")

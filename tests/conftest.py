@@ -8,9 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from spanloom.session import local_session
+    from spanloom.session import importable, local_session
 
     s = local_session(4, 4, "4g")
+    importable(s)
     s.sparkContext.setLogLevel("ERROR")
     return s
 
