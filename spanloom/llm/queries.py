@@ -90,6 +90,13 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair, however rare; p5_pairs has those that reach the bar of p5_found."""
+    words = "concat({})".format(", ".join(f"coalesce({side}.word, array())" for side in ("left", "match", "right")))
+    pairs, _ = together.associations(table(spark, sf_dir, "hits"), "hit_id", words, least=1, per_thousand=0)
+    return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -157,6 +164,14 @@ _P5 = (
   FROM k x JOIN k y ON x.hit_id = y.hit_id AND x.w < y.w GROUP BY ALL HAVING count(*) >= 10 AND 1000 * count(*) >= (SELECT n FROM n)
 ) """
 )
+_P5_ALL = (
+    _HITS
+    + """, b AS (
+  SELECT DISTINCT hit_id, unnest(list_concat(list_concat("left".word, "match".word), "right".word)) AS w FROM h
+), n AS (SELECT count(*) AS n FROM h), f AS (SELECT w, count(*) AS c FROM b WHERE w IS NOT NULL GROUP BY w), k AS (SELECT hit_id, w, c FROM b JOIN f USING (w)), p AS (
+  SELECT x.w AS item_a, y.w AS item_b, count(*) AS n_ab, any_value(x.c) AS n_a, any_value(y.c) AS n_b FROM k x JOIN k y ON x.hit_id = y.hit_id AND x.w < y.w GROUP BY ALL
+) """
+)
 
 QUERIES = {
     "p2_found": p2_found,
@@ -167,6 +182,7 @@ QUERIES = {
     "p4_scores": p4_scores,
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
+    "p5_all_pairs": p5_all_pairs,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_report": p7_report,
@@ -184,4 +200,5 @@ SELECT field_name, record_key, term, tf, df, length,
   round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al)), 6) AS score FROM x JOIN a USING (field_name)""",
     "p5_found": _P5 + "SELECT item_a AS word_a, item_b AS word_b FROM p, n WHERE n * n_ab >= 6 * n_a * n_b",
     "p5_pairs": _P5 + "SELECT item_a, item_b, n_ab, n_a, n_b, round(n * n_ab / (n_a * n_b), 6) AS lift FROM p, n",
+    "p5_all_pairs": _P5_ALL + "SELECT item_a, item_b, n_ab, n_a, n_b, round(n * n_ab / (n_a * n_b), 6) AS lift FROM p, n",
 }

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import dense, frequency, relevance, together
+from spanloom.llm import dense, frequency, queries, relevance, together
 
 
 def make(seed=1, n=300):
@@ -94,6 +94,16 @@ def test_pairs(spark, monkeypatch, chunk, sent):
         assert r.lift == pytest.approx(n * r.n_ab / (r.n_a * r.n_b))
 
 
+def test_every_pair_has_a_row(spark, tmp_path):
+    rows = make(7)
+    part = "struct<word: array<string>>"
+    hits = spark.createDataFrame([(k, (w,), (["m"],), (None,)) for k, w in rows], f"hit_id bigint, left {part}, match {part}, right {part}")
+    hits.write.parquet(str(tmp_path / "hits.parquet"))
+    want, _ = brute([(k, [*(w or []), "m"]) for k, w in rows], 1, 0)  # a null side leaves the other sides' words
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in queries.QUERIES["p5_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got == want and min(c[0] for c in got.values()) == 1
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, w array<string>")
     out, n = together.associations(df, "id", "w", least=1)
