@@ -76,6 +76,16 @@ P1_HITS = P1_PARTS + f"""SELECT response_id, CAST(hit_no AS INTEGER) AS hit_no,
   array_to_string(CAST(h -> '$.match' -> '$.word' AS VARCHAR[]), ' ') AS match_words, array_to_string(CAST(h -> '$.left' -> '$.punct' AS VARCHAR[]), '|') AS left_punct FROM part"""
 P1_RESPONSES = P1_PARTS + "SELECT response_id, json_extract_string(body, '$.summary.searchParam.patt') AS pattern, TRY_CAST(json_extract_string(body, '$.summary.numberOfHits') AS BIGINT) AS number_of_hits FROM good"
 
+_TEXTS = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS VARCHAR[]) WHEN 'NULL' THEN NULL ELSE CASE WHEN {0} IS NOT NULL THEN [{0} ->> '$'] END END"
+_CONTEXT = ", ".join(_TEXTS.format(f"(h -> '$.{p}' -> '$.{a}')") + f" AS {p}_{a}" for p in ("left", "match", "right") for a in ("word", "lemma", "pos", "punct"))
+P1_WHOLE_HITS = P1_PARTS + f"""SELECT response_id, CAST(hit_no AS INTEGER) AS hit_no, CAST(NULL AS VARCHAR) AS hit_name, h ->> '$.docPid' AS doc_pid, {_INT.format('h', 'start', 'start_pos')}, {_INT.format('h', 'end', 'end_pos')},
+  {_CONTEXT} FROM part"""
+P1_WHOLE_INFOS = P1_PARTS + f""", x AS (SELECT *, CASE WHEN json_exists(o, '$.infos') THEN 'list' WHEN json_exists(o, '$.relType') OR json_exists(o, '$.targetStart') OR json_exists(o, '$.sourceStart') THEN 'relation'
+  WHEN json_exists(o, '$.tagName') OR json_exists(o, '$.attributes') THEN 'tag' WHEN json_exists(o, '$.start') OR json_exists(o, '$.end') OR json_exists(o, '$.type') THEN 'span' ELSE 'plain' END AS variant FROM info WHERE json_type(o) = 'OBJECT')
+SELECT response_id, variant, CAST(hit_no AS INTEGER) AS hit_no, CAST(NULL AS VARCHAR) AS hit_name, CAST(no AS INTEGER) AS item_no, item_name, o ->> '$.type' AS kind_type, o ->> '$.relType' AS rel_type, o ->> '$.tagName' AS tag_name,
+  CASE WHEN json_type(o -> '$.attributes') = 'OBJECT' THEN list_sort(list_transform(map_entries(CAST(o -> '$.attributes' AS MAP(VARCHAR, JSON))), lambda e: {{'key': e.key, 'value': coalesce({_TEXTS.format('e.value')}, [])}})) END AS attributes,
+  {', '.join(_INT.format('o', f, c) for f, c in (('start', 'start_pos'), ('end', 'end_pos'), ('sourceStart', 'source_start'), ('sourceEnd', 'source_end'), ('targetStart', 'target_start'), ('targetEnd', 'target_end')))} FROM x"""
+
 
 def p1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(shred.RESPONSE, ())(spark, sf_dir).drop("variant")
@@ -92,6 +102,17 @@ def p1_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("response_id", "variant", "hit_no", "item_name", "kind_type", "rel_type", "tag_name", who.alias("who"), "start_pos", "end_pos", "source_start", "target_end")
 
 
+def p1_whole_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with all their columns, the twelve context arrays element by element."""
+    return _table(shred.HIT, ("hit",))(spark, sf_dir).drop("variant")
+
+
+def p1_whole_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match infos with all their columns; all values of all attributes, as entries sorted by key."""
+    rows = _table(shred.INFO, ("hit", "item"))(spark, sf_dir)
+    return rows.withColumn("attributes", F.sort_array(F.map_entries("attributes")))
+
+
 def p1_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(shred.RELATION, shred.RESPONSE_LEVELS)(spark, sf_dir)
     return rows.select("response_id", "variant", "hit_no", "item_name", "nested_no", "kind_type", "rel_type", "target_start", "target_end", "is_root")
@@ -106,9 +127,11 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_responses": p1_responses,
     "p1_hits": p1_hits,
+    "p1_whole_hits": p1_whole_hits,
+    "p1_whole_infos": p1_whole_infos,
     "p1_captures": _table(shred.CAPTURE, ("hit", "item")),
     "p1_infos": p1_infos,
     "p1_relations": p1_relations,
     "p1_variants": p1_variants,
 }
-SQL = {"p1_found": P1_SQL, "p1_responses": P1_RESPONSES, "p1_hits": P1_HITS, "p1_captures": P1_CAPTURES, "p1_infos": P1_INFOS, "p1_relations": P1_RELATIONS}
+SQL = {"p1_found": P1_SQL, "p1_responses": P1_RESPONSES, "p1_hits": P1_HITS, "p1_captures": P1_CAPTURES, "p1_infos": P1_INFOS, "p1_relations": P1_RELATIONS, "p1_whole_hits": P1_WHOLE_HITS, "p1_whole_infos": P1_WHOLE_INFOS}

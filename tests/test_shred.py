@@ -2,7 +2,10 @@
 
 import json
 
+import duckdb
+
 from spanloom.operators import shred
+from spanloom.plans import core_queries
 
 HIT = {"docPid": "d", "start": 1, "end": 3, "captureGroups": [{"name": "u", "start": "1", "end": 2}, None, {"name": None}], "matchInfos": {"u": {"type": "tag", "tagName": "u", "start": 1, "end": 2}, "void": None, "r": {"type": "list", "infos": [None, {"relType": "det", "targetStart": 1, "isRoot": False}]}}}
 SCHEMA = "response_id bigint, body string, role string, item_name string"
@@ -56,6 +59,22 @@ def test_subtypes_and_types(spark):
     assert shred.subtype(all_rows, "response_id", shred.RESPONSE, ()).first().number_of_hits == 7
 
 
+def test_whole_hits_and_infos(spark, tmp_path):
+    info = {"type": "relation", "attributes": {"who": ["a", "b"], "mood": "calm", "no": None}, "sourceStart": 1, "sourceEnd": "2", "targetStart": 3, "targetEnd": 4}
+    hit = {"docPid": "d", "start": 1, "left": {"word": ["a b", "c"], "lemma": [None, "c"]}, "right": {"pos": [""], "punct": "lone"}, "matchInfos": {"r": info}}
+    spark.createDataFrame([(1, json.dumps({"hits": [hit]}))], "response_id bigint, body string").write.parquet(str(tmp_path / "containing.parquet"))
+    q = core_queries.QUERIES
+    h = q["p1_whole_hits"](spark, str(tmp_path)).first()
+    assert (h.left_word, h.left_lemma, h.right_pos, h.right_punct, h.match_word) == (["a b", "c"], [None, "c"], [""], ["lone"], None)
+    i = q["p1_whole_infos"](spark, str(tmp_path)).first()
+    assert [(e.key, e.value) for e in i.attributes] == [("mood", ["calm"]), ("no", []), ("who", ["a", "b"])]
+    assert (i.hit_no, i.item_no, i.item_name, i.source_start, i.source_end, i.target_start, i.target_end) == (0, 0, "r", 1, 2, 3, 4)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW containing AS SELECT * FROM '{tmp_path}/containing.parquet/*.parquet'")
+    assert con.execute(core_queries.SQL["p1_whole_hits"]).fetchall() == [tuple(h)]
+    assert con.execute(f"SELECT source_end, target_start, len(attributes), attributes[3].value FROM ({core_queries.SQL['p1_whole_infos']})").fetchall() == [(2, 3, 3, ["a", "b"])]
+
+
 def test_automaton_is_finite():
     s = shred.Shredder(shred.RESPONSE_ROLES, "response")
     for i in range(200):
