@@ -56,6 +56,16 @@ class Role:
         own = {c.path[0] for c in self.columns} | {f for f, _ in self.children}
         return frozenset(own | ({self.name_field} if self.name_field else set()))
 
+    def columns_of(self, variant: str | None = None) -> tuple[Column, ...]:
+        """The columns an object of the variant can have: all but those whose field would have made it an earlier variant."""
+        names = [*(v for v, _ in self.variants), "plain"]
+        if variant is None:
+            return self.columns
+        if variant not in names:
+            raise ValueError(f"{self.name} has no variant {variant}")
+        earlier = {f for _, wanted in self.variants[: names.index(variant)] for f in wanted}
+        return tuple(c for c in self.columns if c.path[0] not in earlier)
+
 
 @dataclass
 class TreeAutomaton:
@@ -274,12 +284,12 @@ def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str
 
 
 def subtype(shredded: DataFrame, key: str, role: Role, levels: tuple[str, ...], variant: str | None = None) -> DataFrame:
-    """The flat table of a role, or of one variant of it: parents' keys and the role's own columns."""
+    """The flat table of a role, or of one variant of it: parents' keys and the columns that the role or the variant has."""
     rows = shredded.where(F.col("role") == role.name)
     if variant is not None:
         rows = rows.where(F.col("variant") == variant)
     own = [f"{x}_{y}" for x in levels for y in ("no", "name")]
-    return rows.select(key, "variant", *own, *(c.name for c in role.columns))
+    return rows.select(key, "variant", *own, *(c.name for c in role.columns_of(variant)))
 
 
 # The roles of a response to a "containing" query, in the project's terms.
@@ -306,7 +316,7 @@ INFO = Role(
     (("list", ("infos",)), ("relation", ("relType", "targetStart", "sourceStart")), ("tag", ("tagName", "attributes")), ("span", ("start", "end", "type"))),
     "name",
 )
-RELATION = Role("relation", (*_REL, *_SOURCE, *_TARGET, Column("is_root", ("isRoot",), BOOL)), name_field="name", variants=(("root", ()), ("edge", ("sourceStart",)), ("target_only", ("targetStart",))))
+RELATION = Role("relation", (*_REL, *_SOURCE, *_TARGET, Column("is_root", ("isRoot",), BOOL)), name_field="name", variants=(("edge", ("sourceStart",)), ("target_only", ("targetStart",))))
 RESPONSE_ROLES = (RESPONSE, HIT, DOC, CAPTURE, INFO, RELATION)
 RESPONSE_LEVELS = ("hit", "item", "nested")
 

@@ -21,10 +21,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _table(role: shred.Role, levels: tuple[str, ...]):
+def _table(role: shred.Role, levels: tuple[str, ...], variant: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = shred.shred_responses(table(spark, sf_dir, "containing"), only=(role.name,))
-        return shred.subtype(rows, "response_id", role, levels)
+        rows = shred.subtype(rows, "response_id", role, levels, variant)
+        return rows.withColumn("attributes", F.sort_array(F.map_entries("attributes"))) if variant and "attributes" in rows.columns else rows
 
     return run
 
@@ -86,6 +87,11 @@ SELECT response_id, variant, CAST(hit_no AS INTEGER) AS hit_no, CAST(NULL AS VAR
   CASE WHEN json_type(o -> '$.attributes') = 'OBJECT' THEN list_sort(list_transform(map_entries(CAST(o -> '$.attributes' AS MAP(VARCHAR, JSON))), lambda e: {{'key': e.key, 'value': coalesce({_TEXTS.format('e.value')}, [])}})) END AS attributes,
   {', '.join(_INT.format('o', f, c) for f, c in (('start', 'start_pos'), ('end', 'end_pos'), ('sourceStart', 'source_start'), ('sourceEnd', 'source_end'), ('targetStart', 'target_start'), ('targetEnd', 'target_end')))} FROM x"""
 
+P1_WHOLE_RELATIONS = P1_PARTS + f"""SELECT response_id, CASE WHEN json_exists(r, '$.sourceStart') THEN 'edge' WHEN json_exists(r, '$.targetStart') THEN 'target_only' ELSE 'plain' END AS variant, CAST(hit_no AS INTEGER) AS hit_no,
+  CAST(NULL AS VARCHAR) AS hit_name, CAST(no AS INTEGER) AS item_no, item_name, CAST(item_no AS INTEGER) AS nested_no, r ->> '$.name' AS nested_name, r ->> '$.type' AS kind_type, r ->> '$.relType' AS rel_type,
+  {', '.join(_INT.format('r', f, c) for f, c in (('sourceStart', 'source_start'), ('sourceEnd', 'source_end'), ('targetStart', 'target_start'), ('targetEnd', 'target_end')))},
+  CAST(r ->> '$.isRoot' AS BOOLEAN) AS is_root FROM relation WHERE json_type(r) = 'OBJECT'"""
+
 
 def p1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(shred.RESPONSE, ())(spark, sf_dir).drop("variant")
@@ -135,3 +141,9 @@ QUERIES = {
     "p1_variants": p1_variants,
 }
 SQL = {"p1_found": P1_SQL, "p1_responses": P1_RESPONSES, "p1_hits": P1_HITS, "p1_captures": P1_CAPTURES, "p1_infos": P1_INFOS, "p1_relations": P1_RELATIONS, "p1_whole_hits": P1_WHOLE_HITS, "p1_whole_infos": P1_WHOLE_INFOS}
+# one table per variant, with the columns that it can have
+for _name, _role, _levels, _sql in (("infos", shred.INFO, ("hit", "item"), P1_WHOLE_INFOS), ("relations", shred.RELATION, shred.RESPONSE_LEVELS, P1_WHOLE_RELATIONS)):
+    for _variant in (*(v for v, _ in _role.variants), "plain"):
+        _columns = ["response_id", "variant", *(f"{x}_{y}" for x in _levels for y in ("no", "name")), *(c.name for c in _role.columns_of(_variant))]
+        QUERIES[f"p1_{_name}_{_variant}"] = _table(_role, _levels, _variant)
+        SQL[f"p1_{_name}_{_variant}"] = f"SELECT {', '.join(_columns)} FROM ({_sql}) WHERE variant = '{_variant}'"

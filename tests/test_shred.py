@@ -75,6 +75,18 @@ def test_whole_hits_and_infos(spark, tmp_path):
     assert con.execute(f"SELECT source_end, target_start, len(attributes), attributes[3].value FROM ({core_queries.SQL['p1_whole_infos']})").fetchall() == [(2, 3, 3, ["a", "b"])]
 
 
+def test_a_table_per_variant(spark, tmp_path):
+    infos = {"t": {"tagName": "u", "start": 1}, "r": {"relType": "det", "sourceStart": 1}, "s": {"start": 1}, "p": {"targetEnd": 2}}
+    infos["l"] = {"infos": [{"sourceStart": 1, "targetStart": 2}, {"targetStart": 1, "isRoot": True}, {"isRoot": True, "targetEnd": 5}]}
+    spark.createDataFrame([(1, json.dumps({"hits": [{"docPid": "d", "matchInfos": infos}]}))], "response_id bigint, body string").write.parquet(str(tmp_path / "containing.parquet"))
+    get = {q: f(spark, str(tmp_path)) for q, f in core_queries.QUERIES.items() if q.startswith(("p1_infos_", "p1_relations_"))}
+    assert {q: d.count() for q, d in get.items()} == {"p1_infos_list": 1, "p1_infos_relation": 1, "p1_infos_tag": 1, "p1_infos_span": 1, "p1_infos_plain": 1, "p1_relations_edge": 1, "p1_relations_target_only": 1, "p1_relations_plain": 1}
+    assert all(v for role in shred.RESPONSE_ROLES for _, v in role.variants)  # each variant can be chosen
+    assert "source_start" not in get["p1_relations_target_only"].columns and get["p1_relations_target_only"].first().is_root
+    assert "tag_name" not in get["p1_infos_span"].columns and get["p1_infos_tag"].first().tag_name == "u"
+    assert get["p1_infos_plain"].first().target_end == 2 and get["p1_relations_plain"].first().target_end == 5
+
+
 def test_automaton_is_finite():
     s = shred.Shredder(shred.RESPONSE_ROLES, "response")
     for i in range(200):
