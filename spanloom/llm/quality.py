@@ -79,7 +79,10 @@ class Profiles:
 
 
 def _sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, str]]:
-    """(kind, text) of the labelled sample: at most LABELLED_PER_KIND per kind, short enough to send."""
+    """(kind, text) of the labelled sample: at most LABELLED_PER_KIND per kind, short enough to send.
+
+    In the order of a hash of the identifier, so the first texts of a kind are like all of them, at every size.
+    """
     marks = labels.where(F.col("kind").isin(*KINDS) & F.col("doc_id").isNotNull()).select("doc_id", "kind").distinct()
     few = None
     for kind in KINDS:
@@ -87,7 +90,8 @@ def _sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, str]]:
         few = part if few is None else few.unionByName(part)
     texts = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     texts = texts.where((F.trim("text") != "") & (F.length("text") <= 50_000))  # of the sample only, which is sent to the driver
-    return sorted((r["kind"], r["text"]) for r in texts.select("kind", "text").collect())
+    rows = texts.select("kind", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect()
+    return [(r["kind"], r["text"]) for r in sorted(rows, key=lambda r: (r["kind"], r["h"], r["doc_id"]))]
 
 
 def fit(documents: DataFrame, labels: DataFrame, common_words: DataFrame) -> Profiles:

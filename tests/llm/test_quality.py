@@ -55,6 +55,16 @@ def test_fit_without_labels(spark):
     assert quality.statistics(one, "doc_id", "text", p).first().from_prose != 0
 
 
+def test_first_texts_of_the_sample_are_of_all_scripts(spark):
+    texts = [f"A house {i}" for i in range(200)] + [f"Дом {i}" for i in range(40)] + [f"家 {i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, "prose") for i in range(len(texts))], "doc_id bigint, kind string")
+    first = [t for _, t in quality._sample(docs, labels)[: quality.RESHAPED]]
+    for start in "AД家":
+        share = sum(t[0] == start for t in first) / len(first)
+        assert share == pytest.approx(sum(t[0] == start for t in texts) / len(texts), abs=0.1)
+
+
 def test_slices_make_no_difference(monkeypatch):
     common = features.list_hashes(COMMON)
     texts = pa.array([*PROSE, None, "", *exemplars.Maker(COMMON).tables()[:20]], pa.string())
