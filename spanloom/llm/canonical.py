@@ -217,6 +217,17 @@ def unify(df: DataFrame, column: str, into: str, keep: Iterable[str] = ()) -> Da
 MAX_FORMS = 500_000
 
 
+def accepted_forms(forms: DataFrame) -> dict[str, list[str]]:
+    """The accepted forms of each kind, on the driver; more than MAX_FORMS are an error."""
+    accepted = forms.where(F.col("form").isNotNull()).select("kind", "form").distinct().limit(MAX_FORMS + 1).collect()
+    if len(accepted) > MAX_FORMS:
+        raise ValueError(f"more than {MAX_FORMS} accepted forms; they must be a small fixed table")
+    by_kind: dict[str, list[str]] = {}
+    for r in accepted:
+        by_kind.setdefault(r["kind"], []).append(r["form"])
+    return by_kind
+
+
 def disguised(df: DataFrame, key: str, fields: dict[str, tuple[str, str]], forms: DataFrame) -> DataFrame:
     """Elements of array columns that look like an accepted form of their kind but aren't one.
 
@@ -226,12 +237,7 @@ def disguised(df: DataFrame, key: str, fields: dict[str, tuple[str, str]], forms
     elements give nothing; an empty element is compared like any other.
     """
     spark = df.sparkSession
-    accepted = forms.where(F.col("form").isNotNull()).select("kind", "form").distinct().limit(MAX_FORMS + 1).collect()
-    if len(accepted) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} accepted forms; they must be a small fixed table")
-    by_kind: dict[str, list[str]] = {}
-    for r in accepted:
-        by_kind.setdefault(r["kind"], []).append(r["form"])
+    by_kind = accepted_forms(forms)
     classes = confusable_classes(spark)
     specs = {k: Spec.of(classes, v) for k, v in by_kind.items()}
     names = list(fields)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +18,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hit_id", "field_name", "item_no")
 
 
+#: Wherever the words and separators of the corpus occur: name in the result to (table, expression of array<string>, kind).
+P2_PLACES = {f"{side}.{kind}": ("hits", f"{side}.{kind}", kind) for side in ("left", "match", "right") for kind in ("word", "punct")} | {
+    "tokens.word": ("tokens", "array(word)", "word"),
+    "tokens.word_all": ("tokens", "word_all", "word"),
+    "tokens.punct": ("tokens", "array(punct)", "punct"),
+}
+
+
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct value of the two fields with its one form: the accepted form of the same look, or else the form that equal looks share."""
-    hits, forms = table(spark, sf_dir, "hits"), table(spark, sf_dir, "canonical_forms")
+    """Every distinct value of each place with its one form: the accepted form of the same look, or else the form that equal looks share."""
+    forms = table(spark, sf_dir, "canonical_forms")
+    by_kind = canonical.accepted_forms(forms)
     parts = []
-    for name, (expression, kind) in P2_FIELDS.items():
-        accepted = [r["form"] for r in forms.where((F.col("kind") == kind) & F.col("form").isNotNull()).select("form").distinct().limit(canonical.MAX_FORMS).collect()]
+    for kind in ("word", "punct"):
+        accepted = by_kind.get(kind, [])
         own = forms.where(F.col("kind") == kind).select(F.col("form").alias("accepted")).where("accepted IS NOT NULL").distinct()
         looks = canonical.unify(own, "accepted", "look", accepted)
-        values = hits.select(F.explode(expression).alias("value")).where("value IS NOT NULL").distinct()
+        places = [table(spark, sf_dir, t).select(F.lit(name).alias("field_name"), F.explode(F.expr(e)).alias("value")) for name, (t, e, k) in P2_PLACES.items() if k == kind]
+        values = reduce(DataFrame.unionByName, places).where("value IS NOT NULL").distinct()
         one = canonical.unify(values, "value", "look", accepted).join(F.broadcast(looks), "look", "left")
-        parts.append(one.select(F.lit(name).alias("field_name"), "value", F.coalesce("accepted", "look").alias("form")))
+        parts.append(one.select("field_name", "value", F.coalesce("accepted", "look").alias("form")))
     return parts[0].unionByName(parts[1])
 
 

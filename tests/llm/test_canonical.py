@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from spanloom.llm import canonical as cn
 from spanloom.llm import codepoints as cp
+from spanloom.llm import queries
 
 
 @given(st.lists(st.one_of(st.none(), st.text(max_size=12), st.text("aeouAȨ̣́̈각가", max_size=8)), max_size=12))
@@ -69,3 +70,19 @@ def test_disguised(spark):
     assert got == [("1", "p", 1, " "), ("1", "w", 1, "the"), ("3", "p", 1, "-"), ("None", "w", 0, "of")]
     assert cn.disguised(hits.limit(0), "hit_id", {"w": ("w", "word")}, forms).count() == 0
     assert cn.disguised(hits, "hit_id", {"w": ("w", "word")}, forms.limit(0)).count() == 0
+
+
+def test_forms_wherever_tokens_occur(spark, tmp_path, monkeypatch):
+    part = "struct<word: array<string>, punct: array<string>>"
+    side = lambda w, p: ([w], [p])
+    spark.createDataFrame([(1, side("dog", ","), side("dоg", " "), side("dog​", "，"))], f"hit_id bigint, left {part}, match {part}, right {part}").write.parquet(str(tmp_path / "hits.parquet"))
+    spark.createDataFrame([(1, 0, "ｄog", ["dog", "dоg", None], "，"), (1, 1, None, None, None)], "doc_id bigint, pos int, word string, word_all array<string>, punct string").write.parquet(str(tmp_path / "tokens.parquet"))
+    spark.createDataFrame([("dog", "word"), (",", "punct"), (" ", "punct")], "form string, kind string").write.parquet(str(tmp_path / "canonical_forms.parquet"))
+    got = {}
+    for r in queries.QUERIES["p2_forms"](spark, str(tmp_path)).collect():
+        got.setdefault(r.field_name, set()).add(r.form)
+    words = {f"{s}.word": {"dog"} for s in ("left", "match", "right", "tokens")} | {"tokens.word_all": {"dog"}}
+    assert got == words | {"left.punct": {","}, "match.punct": {" "}, "right.punct": {","}, "tokens.punct": {","}}
+    monkeypatch.setattr(cn, "MAX_FORMS", 2)
+    with pytest.raises(ValueError):
+        queries.QUERIES["p2_forms"](spark, str(tmp_path))
