@@ -10,7 +10,8 @@ from spanloom.tables import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shred.shred_responses(table(spark, sf_dir, "containing"), only=("capture", "info", "relation"))
+    """Every child object of a hit that was routed to one of the subtype tables of captures, infos and relations."""
+    rows = shred.shred_responses(table(spark, sf_dir, "containing"), only=("capture", "info", "relation")).supertype()
     nested = F.col("role") == "relation"
     return rows.select(
         "response_id",
@@ -21,11 +22,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _table(role: shred.Role, levels: tuple[str, ...], variant: str | None = None):
+def _entries(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("attributes", F.sort_array(F.map_entries("attributes"))) if "attributes" in rows.columns else rows
+
+
+def _table(role: shred.Role, depth: int, variant: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = shred.shred_responses(table(spark, sf_dir, "containing"), only=(role.name,))
-        rows = shred.subtype(rows, "response_id", role, levels, variant)
-        return rows.withColumn("attributes", F.sort_array(F.map_entries("attributes"))) if variant and "attributes" in rows.columns else rows
+        shredded = shred.shred_responses(table(spark, sf_dir, "containing"), only=(role.name,), variant=variant)
+        return _entries(shredded.subtype(role, variant, depth) if variant else shredded.table(role, depth))
 
     return run
 
@@ -91,42 +95,43 @@ P1_WHOLE_RELATIONS = P1_PARTS + f"""SELECT response_id, CASE WHEN json_exists(r,
   CAST(NULL AS VARCHAR) AS hit_name, CAST(no AS INTEGER) AS item_no, item_name, CAST(item_no AS INTEGER) AS nested_no, r ->> '$.name' AS nested_name, r ->> '$.type' AS kind_type, r ->> '$.relType' AS rel_type,
   {', '.join(_INT.format('r', f, c) for f, c in (('sourceStart', 'source_start'), ('sourceEnd', 'source_end'), ('targetStart', 'target_start'), ('targetEnd', 'target_end')))},
   CAST(r ->> '$.isRoot' AS BOOLEAN) AS is_root FROM relation WHERE json_type(r) = 'OBJECT'"""
+P1_VARIANTS = P1_PARTS + f""", d AS (SELECT response_id, json_extract(body, '$.docInfos') AS d FROM good), doc AS (
+  SELECT response_id FROM (SELECT response_id, unnest(CAST(d AS JSON[])) AS o FROM d WHERE json_type(d) = 'ARRAY') WHERE json_type(o) = 'OBJECT'
+  UNION ALL SELECT response_id FROM (SELECT response_id, unnest(json_keys(d)) AS k, d FROM d WHERE json_type(d) = 'OBJECT') WHERE json_type(json_extract(d, '$."' || k || '"')) = 'OBJECT'
+) SELECT 'response' AS role, 'plain' AS variant, count(*) AS n FROM good HAVING count(*) > 0
+UNION ALL SELECT 'hit', 'plain', count(*) FROM part HAVING count(*) > 0 UNION ALL SELECT 'doc', 'plain', count(*) FROM doc HAVING count(*) > 0
+UNION ALL SELECT 'capture', 'plain', count(*) FROM capture WHERE json_type(o) = 'OBJECT' HAVING count(*) > 0
+UNION ALL SELECT 'info', variant, count(*) FROM ({P1_WHOLE_INFOS}) GROUP BY variant UNION ALL SELECT 'relation', variant, count(*) FROM ({P1_WHOLE_RELATIONS}) GROUP BY variant"""
 
 
 def p1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(shred.RESPONSE, ())(spark, sf_dir).drop("variant")
+    return _table(shred.RESPONSE, 0)(spark, sf_dir).drop("variant")
 
 
 def p1_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(shred.HIT, ("hit",))(spark, sf_dir)
+    rows = _table(shred.HIT, 1)(spark, sf_dir)
     return rows.select("response_id", "hit_no", "doc_pid", "start_pos", "end_pos", F.array_join("match_word", " ").alias("match_words"), F.array_join("left_punct", "|").alias("left_punct"))
 
 
 def p1_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(shred.INFO, ("hit", "item"))(spark, sf_dir)
+    rows = shred.shred_responses(table(spark, sf_dir, "containing"), only=("info",)).table(shred.INFO, 2)
     who = F.element_at(F.col("attributes")["who"], 1)
     return rows.select("response_id", "variant", "hit_no", "item_name", "kind_type", "rel_type", "tag_name", who.alias("who"), "start_pos", "end_pos", "source_start", "target_end")
 
 
 def p1_whole_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with all their columns, the twelve context arrays element by element."""
-    return _table(shred.HIT, ("hit",))(spark, sf_dir).drop("variant")
-
-
-def p1_whole_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match infos with all their columns; all values of all attributes, as entries sorted by key."""
-    rows = _table(shred.INFO, ("hit", "item"))(spark, sf_dir)
-    return rows.withColumn("attributes", F.sort_array(F.map_entries("attributes")))
+    return _table(shred.HIT, 1)(spark, sf_dir).drop("variant")
 
 
 def p1_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(shred.RELATION, shred.RESPONSE_LEVELS)(spark, sf_dir)
+    rows = _table(shred.RELATION, 3)(spark, sf_dir)
     return rows.select("response_id", "variant", "hit_no", "item_name", "nested_no", "kind_type", "rel_type", "target_start", "target_end", "is_root")
 
 
 def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many objects of each role and variant there are."""
-    return shred.shred_responses(table(spark, sf_dir, "containing")).groupBy("role", "variant").agg(F.count("*").alias("n"))
+    """How many objects each subtype table holds."""
+    return shred.shred_responses(table(spark, sf_dir, "containing")).supertype().groupBy("role", "variant").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -134,16 +139,17 @@ QUERIES = {
     "p1_responses": p1_responses,
     "p1_hits": p1_hits,
     "p1_whole_hits": p1_whole_hits,
-    "p1_whole_infos": p1_whole_infos,
-    "p1_captures": _table(shred.CAPTURE, ("hit", "item")),
+    "p1_whole_infos": _table(shred.INFO, 2),
+    "p1_captures": _table(shred.CAPTURE, 2),
     "p1_infos": p1_infos,
     "p1_relations": p1_relations,
     "p1_variants": p1_variants,
 }
-SQL = {"p1_found": P1_SQL, "p1_responses": P1_RESPONSES, "p1_hits": P1_HITS, "p1_captures": P1_CAPTURES, "p1_infos": P1_INFOS, "p1_relations": P1_RELATIONS, "p1_whole_hits": P1_WHOLE_HITS, "p1_whole_infos": P1_WHOLE_INFOS}
+SQL = {"p1_found": P1_SQL, "p1_responses": P1_RESPONSES, "p1_hits": P1_HITS, "p1_captures": P1_CAPTURES, "p1_infos": P1_INFOS, "p1_relations": P1_RELATIONS, "p1_whole_hits": P1_WHOLE_HITS, "p1_whole_infos": P1_WHOLE_INFOS, "p1_variants": P1_VARIANTS}
 # one table per variant, with the columns that it can have
-for _name, _role, _levels, _sql in (("infos", shred.INFO, ("hit", "item"), P1_WHOLE_INFOS), ("relations", shred.RELATION, shred.RESPONSE_LEVELS, P1_WHOLE_RELATIONS)):
-    for _variant in (*(v for v, _ in _role.variants), "plain"):
-        _columns = ["response_id", "variant", *(f"{x}_{y}" for x in _levels for y in ("no", "name")), *(c.name for c in _role.columns_of(_variant))]
-        QUERIES[f"p1_{_name}_{_variant}"] = _table(_role, _levels, _variant)
+for _name, _role, _depth, _sql in (("infos", shred.INFO, 2, P1_WHOLE_INFOS), ("relations", shred.RELATION, 3, P1_WHOLE_RELATIONS)):
+    for _variant in _role.variant_names:
+        _places = [f"{x}_{y}" for x in shred.RESPONSE_LEVELS[:_depth] for y in ("no", "name")]
+        _columns = ["response_id", "variant", *_places, *(c.name for c in _role.columns_of(_variant))]
+        QUERIES[f"p1_{_name}_{_variant}"] = _table(_role, _depth, _variant)
         SQL[f"p1_{_name}_{_variant}"] = f"SELECT {', '.join(_columns)} FROM ({_sql}) WHERE variant = '{_variant}'"

@@ -1,8 +1,10 @@
 """Nested responses into flat tables: forms of collections, damage, redelivery, nulls."""
 
 import json
+import random
 
 import duckdb
+import pytest
 
 from spanloom.operators import shred
 from spanloom.plans import core_queries
@@ -13,7 +15,7 @@ SCHEMA = "response_id bigint, body string, role string, item_name string"
 
 def rows(spark, bodies, roles=("capture", "info", "relation")):
     df = spark.createDataFrame([(i, b, "x", "y") for i, b in bodies], SCHEMA)
-    out = shred.shred_responses(df, roles).collect()
+    out = shred.shred_responses(df, roles).supertype().collect()
     return sorted((r.response_id, r.hit_no, r.role, str(r.item_name), r.nested_no if r.role == "relation" else 0) for r in out)
 
 
@@ -49,14 +51,76 @@ def test_equal_siblings_stay(spark):
 
 def test_subtypes_and_types(spark):
     df = spark.createDataFrame([(1, json.dumps({"summary": {"numberOfHits": "7"}, "hits": [HIT], "docInfos": {"d": {"title": "t", "lengthInTokens": 5, "mayView": True}}}))], "response_id bigint, body string")
-    all_rows = shred.shred_responses(df)
-    info = shred.subtype(all_rows, "response_id", shred.INFO, ("hit", "item"), "tag").collect()
+    out = shred.shred_responses(df)
+    info = out.subtype(shred.INFO, "tag", 2).collect()
     assert [(r.item_name, r.tag_name, r.start_pos, r.hit_no) for r in info] == [("u", "u", 1, 0)]
-    cap = {r.item_name: r.start_pos for r in shred.subtype(all_rows, "response_id", shred.CAPTURE, ("hit", "item")).collect()}
+    cap = {r.item_name: r.start_pos for r in out.table(shred.CAPTURE, 2).collect()}
     assert cap == {"u": 1, None: None}  # numbers given as text are numbers
-    doc = shred.subtype(all_rows, "response_id", shred.DOC, ("hit",)).first()
+    doc = out.subtype(shred.DOC, "plain", 1).first()
     assert (doc.hit_name, doc.title, doc.length_tokens, doc.may_view) == ("d", ["t"], 5, True)
-    assert shred.subtype(all_rows, "response_id", shred.RESPONSE, ()).first().number_of_hits == 7
+    assert out.table(shred.RESPONSE, 0).first().number_of_hits == 7
+
+
+def test_subtypes_written_in_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([(1, json.dumps({"hits": [HIT]})), (1, json.dumps({"hits": [HIT]}))], "response_id bigint, body string")
+    out = shred.shred_responses(df)
+    out.write(str(tmp_path / "t"))
+    assert {p.name for p in (tmp_path / "t" / "role=info").iterdir()} == {"variant=tag", "variant=list"}
+    for role, variant in (("info", "tag"), ("info", "list"), ("relation", "target_only"), ("capture", "plain")):
+        role = {r.name: r for r in shred.RESPONSE_ROLES}[role]
+        got = shred.read_subtype(spark, str(tmp_path / "t"), "response_id", role, variant, shred.RESPONSE_LEVELS)
+        want = out.subtype(role, variant)
+        plain = lambda d: sorted(map(str, d.drop("attributes").collect()))
+        assert got.columns == want.columns and plain(got) == plain(want) != []
+
+
+def test_what_is_not_routed_is_not_found(spark, monkeypatch):
+    bodies = [(1, json.dumps({"hits": [HIT]}))]
+    assert [r[2] for r in rows(spark, bodies)] == ["capture", "capture", "info", "info", "relation"]
+    # relations of a variant whose table isn't wanted lie in no table, and so aren't found
+    df = spark.createDataFrame(bodies, "response_id bigint, body string")
+    wanted = [(r.name, v) for r in shred.RESPONSE_ROLES for v in r.variant_names if (r.name, v) not in (("relation", "target_only"), ("info", "tag"))]
+    left = shred.shred(df, "response_id", "body", shred.RESPONSE_ROLES, "response", shred.RESPONSE_LEVELS, wanted).supertype().collect()
+    assert sorted((r.role, r.variant) for r in left) == [("capture", "plain"), ("capture", "plain"), ("hit", "plain"), ("info", "list"), ("response", "plain")]
+
+
+def test_deep_and_wrapped_bodies(spark):
+    deep = lambda n: "[" * n + "]" * n
+    body = json.dumps({"hits": [HIT]})
+    want = [(1, 0, "capture", "None", 0), (1, 0, "capture", "u", 0), (1, 0, "info", "r", 0), (1, 0, "info", "u", 0), (1, 0, "relation", "r", 1)]
+    for n in (1_200, 5_000, 50_000):
+        assert rows(spark, [(1, body[:-1] + f', "odd": {deep(n)}' + "}")]) == want
+        assert rows(spark, [(1, body.replace('"tagName": "u"', f'"tagName": {deep(n)}'))]) == want
+    wrapped = body
+    for _ in range(10):
+        wrapped = json.dumps(wrapped)
+    assert rows(spark, [(1, wrapped)]) == want
+    assert rows(spark, [(1, '{"hits": ' + "[" * 50_000 + "]" * 49_999 + "}")]) == []
+    assert rows(spark, [(1, body.replace('"tagName": "u"', '"tagName": "\\ud800"'))]) == want  # half a surrogate pair
+
+
+def test_parsing_deep_json_equals_the_decoder():
+    r = random.Random(3)
+
+    def tree(d):
+        k = r.randint(0, 7)
+        if not d or k < 3:
+            return r.choice([None, True, 1, -2.5, 'a"b\\é ', "", {}, []])
+        return [tree(d - 1) for _ in range(r.randint(0, 3))] if k < 5 else {f"k{i}": tree(d - 1) for i in range(r.randint(0, 3))}
+
+    for _ in range(500):
+        value = tree(5)
+        text = json.dumps(value, indent=r.choice([None, 1]))
+        assert shred._parse_deep(text) == value and shred._dump_deep(value) == json.dumps(value, ensure_ascii=False)
+        i = r.randrange(len(text))
+        for bad in (text[:i], text[:i] + r.choice(",}]:x") + text[i + 1 :]):
+            try:
+                expected = json.loads(bad)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    shred._parse_deep(bad)
+            else:
+                assert shred._parse_deep(bad) == expected
 
 
 def test_whole_hits_and_infos(spark, tmp_path):
@@ -90,5 +154,6 @@ def test_a_table_per_variant(spark, tmp_path):
 def test_automaton_is_finite():
     s = shred.Shredder(shred.RESPONSE_ROLES, "response")
     for i in range(200):
-        list(s.rows({"hits": [dict(HIT, matchInfos={f"name{i}": {"type": "span", f"odd{i}": i}})]}))
-    assert len(s.automaton.kind) < 60
+        list(s.objects({"hits": [dict(HIT, matchInfos={f"name{i}": {"type": "span", f"odd{i}": i}})]}))
+        list(s.objects({"hits": [{"odd": json.loads("[" * (i + 1) + "]" * (i + 1))}], "matchInfos": {"infos": [{"infos": []}] * i}}))
+    assert len(s.automaton.shape) < 60
