@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -50,10 +54,48 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+#: Checkpoints that are still there, in the order they were made: session and file.
+_kept: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder; survives the loss of executors."""
+    """Cuts the lineage with a checkpoint in the shared folder; survives the loss of executors.
+
+    The file stays until `release`, `temporary` or the end of the program deletes it.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    held = df.checkpoint()
+    file = held._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _kept.append((df.sparkSession, file.get()))
+    return held
+
+
+def release(since: int = 0) -> int:
+    """Deletes checkpoints and says how many. DataFrames that read them can't be run any more."""
+    gone = 0
+    while len(_kept) > since:
+        spark, file = _kept.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            gone += 1
+        except Exception:  # noqa: BLE001  the session has ended; its folder is the cluster's to clean
+            continue
+    return gone
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Checkpoints made within are deleted at the end; what is computed from them must have been written by then."""
+    since = len(_kept)
+    try:
+        yield
+    finally:
+        release(since)
+
+
+atexit.register(release)
 
 
 def join_by_count(big: DataFrame, counts: DataFrame, keys: list[str], weight: str, total: int, hot_keys: int = 1000) -> DataFrame:
@@ -63,6 +105,7 @@ def join_by_count(big: DataFrame, counts: DataFrame, keys: list[str], weight: st
     rows, a bound that follows from the weights' sum; all others are shuffled, where none of them
     can fill more than that share of the rows. Nothing is dropped. Keys must not be null.
     """
+    counts = cut(counts)  # read three times
     limit = max(1, -(-total // hot_keys))
     hot = counts.where(F.col(weight) >= limit)
     few = F.broadcast(hot)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.session import importable
+from spanloom.session import cut, importable
+
+#: Keys that occur more than once are sent to the tasks up to this many, else their rows are shuffled.
+MOST_REPEATED = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,23 @@ def once(df: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame
     return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
+def single(df: DataFrame, key: str, most: int = MOST_REPEATED) -> DataFrame:
+    """One row per key, where rows of one key are equal in all that matters and few keys are redelivered.
+
+    Only keys are shuffled to find the repeated ones; rows of those alone are then merged, all others pass by. With more than `most`
+    repeated keys, a bound for what is sent to the tasks, all rows are shuffled instead, map-side combined. A row with
+    a null key is a record of its own.
+    """
+    repeated = cut(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    found = repeated.limit(most + 1).count()
+    if not found:
+        return df
+    if found > most:
+        return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    few = F.broadcast(repeated)
+    return df.join(few, key, "left_anti").unionByName(df.join(few, key, "left_semi").dropDuplicates([key]))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(table(spark, sf_dir, "docs"), ["doc_id"], "indexed_at")
 
