@@ -1,7 +1,7 @@
 """Frequencies of every distinct value, by a global integer dictionary and blockwise count arrays.
 
-1. Records are hashed into blocks by their key, redelivered ones merged before and after the shuffle. A block counts occurrences and record presence of its own values
-   in arrays over a local dictionary; a value that is in a third of all rows leaves a block as one entry.
+1. The records that a task reads are a block, without those redelivered; only keys are shuffled to find these. A block counts occurrences
+   and record presence of its own values in arrays over a local dictionary; a value that is in a third of all rows leaves a block as one entry.
 2. All distinct (field, value) pairs get dense integer ids: the global dictionary.
 3. Block entries are encoded with those ids and sent to the task of their identifier range, which sums
    them in two arrays per range.
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.dense import with_dense_ids
 from spanloom.session import cut
+from spanloom.tables import single
 
 #: Ids per range; the two arrays of a range take 16 bytes an id.
 RANGE = 1 << 16
@@ -113,12 +114,12 @@ def value_counts(df: DataFrame, key: str, fields: dict[str, str]) -> tuple[DataF
 
     fields: name in the result to an expression of array<string>. Result: field_name, term, occurrences,
     records. Null arrays and null values count for nothing, the empty string is a value like others, and values are
-    compared as stored. Records of one key count once (a null key is one record). An empty table gives no rows and 0.
+    compared as stored. Records of one key count once; a record without a key is one of its own. An empty table gives no rows and 0.
     """
     names = list(fields)
     rows = df.select(F.col(key), *[F.expr(e).alias(f"_{i}") for i, e in enumerate(fields.values())])
     # Arrow lists keep their offsets only without nulls among the lists
-    rows = rows.withColumnRenamed(key, "_key").dropDuplicates(["_key"])
+    rows = single(rows.withColumnRenamed(key, "_key"), "_key")
     rows = rows.select(*[F.coalesce(F.col(f"_{i}"), F.array().cast("array<string>")).alias(f"_{i}") for i in range(len(names))])
     blocks = cut(rows.mapInArrow(_count_blocks(len(names)), BLOCK_SCHEMA))
     n = blocks.where("field_no = -1").agg(F.sum("records")).first()[0] or 0

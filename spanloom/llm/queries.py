@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import canonical, frequency, mixture, quality, relevance, together, tokenizer
-from spanloom.tables import once, table
+from spanloom.tables import single, table
 
 P2_FIELDS = {"match.word": ("match.word", "word"), "left.punct": ("left.punct", "punct")}
 
@@ -58,32 +58,23 @@ def p3_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p3(spark, sf_dir)
 
 
-def _p4_colloc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "colloc").select("colloc_id", F.map_entries("tokenfrequencies").alias("e"), "received_at")
-    rows = once(rows, ["colloc_id"], "received_at").select(F.col("colloc_id").cast("string").alias("record"), F.explode("e").alias("e"))
-    return relevance.score_terms(rows.select("record", F.col("e.key").alias("term"), F.col("e.value").alias("tf")).where(F.col("term") != ""))
-
-
-def _p4_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(table(spark, sf_dir, "hits").select("hit_id", "docpid", F.col("match.lemma").alias("l")), ["hit_id"])
-    rows = rows.select(F.col("docpid").alias("record"), F.explode("l").alias("term"))
-    return relevance.score_terms(rows.where(F.col("term") != "").withColumn("tf", F.lit(1)))
-
-
-def _p4(spark: SparkSession, sf_dir: str, found: bool) -> DataFrame:
-    parts = []
-    for field, scored in (("tokenfrequencies", _p4_colloc(spark, sf_dir)), ("match.lemma", _p4_lemma(spark, sf_dir))):
-        rows = relevance.distinctive(scored, 6, 2, 4) if found else scored
-        parts.append(rows.withColumn("field_name", F.lit(field)).withColumnRenamed("record", "record_key"))
-    return parts[0].unionByName(parts[1])
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the terms of both kinds of record, two collections that are scored in one go."""
+    responses = single(table(spark, sf_dir, "colloc").select("colloc_id", "tokenfrequencies"), "colloc_id")
+    responses = responses.select(F.lit("tokenfrequencies").alias("collection"), F.col("colloc_id").cast("string").alias("record"), F.explode("tokenfrequencies").alias("term", "tf"))
+    hits = single(table(spark, sf_dir, "hits").select("hit_id", "docpid", F.col("match.lemma").alias("l")), "hit_id")
+    hits = hits.select(F.lit("match.lemma").alias("collection"), F.col("docpid").alias("record"), F.explode("l").alias("term"), F.lit(1).alias("tf"))
+    return relevance.score_terms(responses.unionByName(hits).where(F.col("term") != ""))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p4(spark, sf_dir, True).select("field_name", "record_key", "term")
+    found = relevance.distinctive(_p4(spark, sf_dir), 6, 2, 4)
+    return found.select(F.col("collection").alias("field_name"), F.col("record").alias("record_key"), "term")
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p4(spark, sf_dir, False).select("field_name", "record_key", "term", "tf", "df", "length", F.round("score", 6).alias("score"))
+    scored = _p4(spark, sf_dir)
+    return scored.select(F.col("collection").alias("field_name"), F.col("record").alias("record_key"), "term", "tf", "df", "length", F.round("score", 6).alias("score"))
 
 
 def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -109,6 +100,13 @@ def p5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p5_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas in the same document. The largest documents are huge baskets, and few items are sent, so that they are joined."""
+    words = table(spark, sf_dir, "tokens").groupBy("doc_id").agg(F.collect_set("lemma").alias("lemmas"))
+    pairs, _ = together.associations(words, "doc_id", "lemmas", least=10, per_thousand=5, most_sent=1000)
+    return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -184,6 +182,12 @@ _P5_ALL = (
   SELECT x.w AS item_a, y.w AS item_b, count(*) AS n_ab, any_value(x.c) AS n_a, any_value(y.c) AS n_b FROM k x JOIN k y ON x.hit_id = y.hit_id AND x.w < y.w GROUP BY ALL
 ) """
 )
+_P5_DOCUMENTS = """WITH b AS (SELECT DISTINCT doc_id, lemma AS w FROM tokens WHERE lemma IS NOT NULL), n AS (SELECT count(DISTINCT doc_id) AS n FROM tokens), f AS (
+  SELECT w, count(*) AS c FROM b GROUP BY w HAVING count(*) >= 10 AND 1000 * count(*) >= 5 * (SELECT n FROM n)
+), k AS (SELECT doc_id, w, c FROM b JOIN f USING (w)), p AS (
+  SELECT x.w AS item_a, y.w AS item_b, count(*) AS n_ab, any_value(x.c) AS n_a, any_value(y.c) AS n_b FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.w < y.w
+  GROUP BY ALL HAVING count(*) >= 10 AND 1000 * count(*) >= 5 * (SELECT n FROM n)
+) """
 
 QUERIES = {
     "p2_found": p2_found,
@@ -195,6 +199,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_pairs": p5_pairs,
     "p5_all_pairs": p5_all_pairs,
+    "p5_document_pairs": p5_document_pairs,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_report": p7_report,
@@ -212,5 +217,6 @@ SELECT field_name, record_key, term, tf, df, length,
   round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al)), 6) AS score FROM x JOIN a USING (field_name)""",
     "p5_found": _P5 + "SELECT item_a AS word_a, item_b AS word_b FROM p, n WHERE n * n_ab >= 6 * n_a * n_b",
     "p5_pairs": _P5 + "SELECT item_a, item_b, n_ab, n_a, n_b, round(n * n_ab / (n_a * n_b), 6) AS lift FROM p, n",
+    "p5_document_pairs": _P5_DOCUMENTS + "SELECT item_a, item_b, n_ab, n_a, n_b, round(n * n_ab / (n_a * n_b), 6) AS lift FROM p, n",
     "p5_all_pairs": _P5_ALL + "SELECT item_a, item_b, n_ab, n_a, n_b, round(n * n_ab / (n_a * n_b), 6) AS lift FROM p, n",
 }

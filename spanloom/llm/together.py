@@ -1,9 +1,9 @@
 """Items that appear together: pair counts over all baskets and their association.
 
 Baskets are encoded to sorted integer ids. An ordinary basket gives its pairs in one task. A huge one is
-split into chunks of items; each pair of chunks becomes a row of its own, the rows are spread over all tasks, and
-each gives the product of its two chunks. Both kinds are counted in arrays before they are shuffled, and then
-combined. Items that can't reach the least pair count asked for are left out before pairs are made, which
+split into chunks of items, once; the chunks are spread over all tasks, each is sent to every cell (chunk, chunk) that it takes part in, and
+each cell, wherever it lies, gives the product of its two chunks. No row holds more than two chunks. Both kinds are counted in
+arrays before they are shuffled, and then combined. Items that can't reach the least pair count asked for are left out before pairs are made, which
 changes no result: a pair is in no more baskets than each of its items.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.dense import with_dense_ids
 from spanloom.session import cut, join_by_count
+from spanloom.tables import single
 
 #: Items of a chunk; baskets of more items are split.
 CHUNK = 512
@@ -43,8 +44,11 @@ def _pairs_of(lists: pa.Array, others: pa.Array) -> np.ndarray:
         i, j = np.triu_indices(int(k), 1)
         block = values[rows[:, None] + np.arange(k)]
         out.append((block[:, i] << 32 | block[:, j]).ravel())
+    theirs = pc.list_flatten(others).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(others).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
     for at in np.flatnonzero(~alone):
-        a, b = values[starts[at] : starts[at] + size[at]], np.array(others[at].as_py(), np.int64)
+        a, b = values[starts[at] : starts[at] + size[at]], theirs[ends[at] - sizes[at] : ends[at]]
         x, y = np.repeat(a, len(b)), np.tile(b, len(a))
         out.append(np.minimum(x, y) << 32 | np.maximum(x, y))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -84,20 +88,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def pair_counts(encoded: DataFrame) -> DataFrame:
-    """encoded: `ids`, sorted distinct integers of each basket. Result: a, b, n with a < b, one row per pair."""
+def pair_counts(encoded: DataFrame, chunk: int = CHUNK, some_huge: bool = True) -> DataFrame:
+    """encoded: `ids`, sorted distinct integers of each basket. Result: a, b, n with a < b, one row per pair.
+
+    some_huge: whether any basket may have more than `chunk` items; if not, the look for them is saved.
+    """
     one, none = F.col("ids"), F.lit(None).cast("array<bigint>")
-    ordinary = encoded.where(F.size("ids") <= CHUNK).where(F.size("ids") > 1).select(one.alias("x"), none.alias("y"))
-    n = F.ceil(F.size("ids") / F.lit(CHUNK)).cast("int")
-    chunks = encoded.where(F.size("ids") > CHUNK).select("ids", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), n.alias("n"))
-    chunks = chunks.select("ids", "i", F.explode(F.sequence(F.col("i"), F.col("n") - 1)).alias("j"))
-    cell = lambda k: F.slice("ids", F.col(k) * CHUNK + 1, CHUNK)
-    products = chunks.select(cell("i").alias("x"), F.when(F.col("i") != F.col("j"), cell("j")).alias("y"))
-    products = products.repartition(int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = ordinary.unionByName(products).mapInArrow(_count, "a bigint, b bigint, n bigint")
+    ordinary = encoded.where(F.size("ids") <= chunk).where(F.size("ids") > 1).select(one.alias("x"), none.alias("y"))
+    if some_huge:
+        ordinary = ordinary.unionByName(_products(encoded.where(F.size("ids") > chunk), chunk))
+    parts = ordinary.mapInArrow(_count, "a bigint, b bigint, n bigint")
     return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _products(huge: DataFrame, chunk: int) -> DataFrame:
+    """The cells of huge baskets: x and y, two chunks, or one chunk and null for the pairs within it."""
+    n = F.ceil(F.size("ids") / F.lit(chunk)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("no"), F.slice(F.col("ids"), i * chunk + 1, chunk).alias("part")))
+    named = huge.withColumn("basket", F.monotonically_increasing_id())  # beside the explode it would number the chunks
+    rows = named.select("basket", n.alias("n"), F.explode(pieces).alias("c"))
+    chunks = cut(rows.select("basket", "n", "c.no", "c.part").repartition("basket", "no"))
+    cell = ["basket", "i", "j"]
+    left = chunks.select("basket", F.col("no").alias("i"), F.explode(F.sequence(F.col("no"), F.col("n") - 1)).alias("j"), F.col("part").alias("x"))
+    right = chunks.where("no > 0").select("basket", F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("i"), F.col("no").alias("j"), F.col("part").alias("y"))
+    within = left.where("i = j").select("x", F.lit(None).cast("array<bigint>").alias("y"))
+    return within.unionByName(left.where("i < j").join(right, cell).select("x", "y"))
+
+
 def _encode_sent(terms: pa.Array):
     """Encodes baskets with a dictionary that the task holds; the place of a term is its id."""
 
@@ -115,22 +132,24 @@ def _encode_sent(terms: pa.Array):
     return run
 
 
-def associations(df: DataFrame, key: str, items: str, least: int = 10, per_thousand: int = 0) -> tuple[DataFrame, int]:
+def associations(df: DataFrame, key: str, items: str, least: int = 10, per_thousand: int = 0, most_sent: int = MAX_SENT, chunk: int = CHUNK) -> tuple[DataFrame, int]:
     """Pairs of distinct items in the same basket, and the number of baskets.
 
     items: an expression of array<string>; repeated items of a basket count once, null items and null baskets
-    count for nothing, an empty string is an item. Baskets of one key count once. Only pairs in at least `least`
+    count for nothing, an empty string is an item. Baskets of one key count once, a basket without a key is one of its own. Only pairs in at least `least`
     baskets and at least `per_thousand` of each thousand baskets are given. Result: item_a < item_b by their UTF-8 bytes, n_ab, n_a,
     n_b, lift = N n_ab / (n_a n_b), pmi = log2(lift), npmi = pmi / -log2(n_ab / N). An empty table gives no rows and 0.
+
+    most_sent: more frequent items than this are joined to the baskets instead of being sent to the tasks; chunk: the
+    most items of a basket that are paired in one row. Neither changes the result.
     """
-    baskets = df.select(F.col(key).alias("_key"), F.array_distinct(F.filter(F.expr(items), lambda x: x.isNotNull())).alias("_items"))
-    baskets = cut(baskets.dropDuplicates(["_key"]).select(F.coalesce("_items", F.array().cast("array<string>")).alias("_items")))
-    total = baskets.count()
+    rows = df.select(F.col(key).alias("_key"), F.array_distinct(F.filter(F.expr(items), lambda x: x.isNotNull())).alias("_items"))
+    baskets = single(rows, "_key").select(F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
+    total, largest = baskets.agg(F.count("*"), F.max(F.size("_items"))).first()
     bar = max(least, -(-per_thousand * total // 1000))
-    singles = baskets.select(F.explode("_items").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= bar)
-    frequent = singles.limit(MAX_SENT + 1).collect()
-    if len(frequent) <= MAX_SENT:
-        frequent.sort(key=lambda r: r["term"].encode())
+    singles = cut(baskets.select(F.explode("_items").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= bar))
+    if singles.count() <= most_sent:
+        frequent = sorted(singles.collect(), key=lambda r: r["term"].encode())
         terms = pa.array([r["term"] for r in frequent], pa.string())
         encoded = baskets.mapInArrow(_encode_sent(terms), "ids array<bigint>")
         schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])
@@ -140,7 +159,7 @@ def associations(df: DataFrame, key: str, items: str, least: int = 10, per_thous
         ids = with_dense_ids(singles)
         rows = cut(baskets.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.explode("_items").alias("term")))
         encoded = join_by_count(rows, ids, ["term"], "n", rows.count()).groupBy("_b").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
-    pairs = pair_counts(encoded).where(F.col("n") >= bar)
+    pairs = pair_counts(encoded, chunk, (largest or 0) > chunk).where(F.col("n") >= bar)
     left = ids.select(F.col("id").alias("a"), F.col("term").alias("ta"), F.col("n").alias("na"))
     right = ids.select(F.col("id").alias("b"), F.col("term").alias("tb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")

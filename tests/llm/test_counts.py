@@ -22,14 +22,14 @@ def test_value_counts(spark):
     rows = make()
     df = spark.createDataFrame([(k, w, "clash", "clash") for k, w in rows] + [(None, ["nullkey"], "", ""), (None, ["nullkey"], "", "")], "id bigint, w array<string>, term string, records string")
     out, n = frequency.value_counts(df, "id", {"w": "w", "again": "w"})
-    occ, rec = Counter({"nullkey": 1}), Counter({"nullkey": 1})
+    occ, rec = Counter({"nullkey": 2}), Counter({"nullkey": 2})
     for _, w in {k: w for k, w in rows}.items():
         occ.update(x for x in w or [] if x is not None)
         rec.update({x for x in w or [] if x is not None})
     for field in ("w", "again"):
         got = {r.term: (r.occurrences, r.records) for r in out.where(F.col("field_name") == field).collect()}
         assert got == {t: (occ[t], rec[t]) for t in occ}
-    assert n == 301
+    assert n == 302
     marks = {r.term: r.mark for r in frequency.marked(out.where("field_name = 'w'"), n).collect()}
     assert all(marks[t] == ("rare" if rec[t] < 3 else "common" if rec[t] * 50 > n else None) for t in rec)
     empty, none = frequency.value_counts(df.limit(0), "id", {"w": "w"})
@@ -53,7 +53,8 @@ def test_dense_ids(spark):
 def test_relevance(spark):
     r = random.Random(3)
     rows = [(f"d{r.randint(0, 30)}", r.choice(["the", "the", f"t{r.randint(0, 20)}", ""]), r.randint(1, 4)) for _ in range(800)]
-    df = spark.createDataFrame(rows + [(None, "x", 1), ("d1", None, 1), ("d1", "zero", 0), ("d1", "nul", None)], "record string, term string, tf int").withColumn("df", F.lit("clash"))
+    df = spark.createDataFrame(rows + [(None, "x", 1), ("d1", None, 1), ("d1", "zero", 0), ("d1", "nul", None)], "record string, term string, tf int").withColumns({"df": F.lit("clash"), "collection": F.lit("one")})
+    df = df.unionByName(df.where("record <> 'd0'").withColumn("collection", F.lit("other"))).unionByName(df.withColumn("collection", F.lit(None).cast("string")))
     tf = Counter()
     for rec, t, n in rows:
         tf[rec, t] += n
@@ -62,13 +63,21 @@ def test_relevance(spark):
         length[rec] += n
         records[t].add(rec)
     avg, n = sum(length.values()) / len(length), len(length)
-    got = {(x.record, x.term): x for x in relevance.score_terms(df).collect()}
+    scored = relevance.score_terms(df)
+    got = {(x.record, x.term): x for x in scored.where("collection = 'one'").collect()}
     assert set(got) == set(tf)
     for (rec, t), x in got.items():
         idf = math.log(1 + (n - len(records[t]) + 0.5) / (len(records[t]) + 0.5))
         want = idf * tf[rec, t] * 2.2 / (tf[rec, t] + 1.2 * (0.25 + 0.75 * length[rec] / avg))
         assert (x.tf, x.df, x.length) == (tf[rec, t], len(records[t]), length[rec]) and x.score == pytest.approx(want)
+    assert scored.where("collection = 'other' AND record = 'd0'").count() == 0 < scored.where("collection = 'other'").count()
     assert relevance.score_terms(df.limit(0)).count() == 0
+    for low, few, many in ((2, 2, 4), (6, 1, 20), (1, 3, 3)):
+        found = {(x.record, x.term) for x in relevance.distinctive(scored.where("collection = 'one'"), low, few, many).collect()}
+        assert found == {(rec, t) for (rec, t), n in tf.items() if n >= low and few <= len(records[t]) <= many}
+    # the score decides: with another one, other terms are found
+    upside_down = scored.where("collection = 'one'").withColumn("score", -F.col("score"))
+    assert relevance.distinctive(upside_down, 6, 1, 20).count() == 0
 
 
 def brute(rows, least, per_thousand):
@@ -80,13 +89,12 @@ def brute(rows, least, per_thousand):
     return {(a, b): (n, one[a], one[b]) for (a, b), n in two.items() if n >= bar}, len(baskets)
 
 
-@pytest.mark.parametrize("chunk,sent", [(512, 200_000), (3, 200_000), (3, 2)])
-def test_pairs(spark, monkeypatch, chunk, sent):
-    monkeypatch.setattr(together, "CHUNK", chunk)  # small chunks: every basket is a huge one
-    monkeypatch.setattr(together, "MAX_SENT", sent)  # few items to send: they are joined
+@pytest.mark.parametrize("chunk,sent", [(512, 200_000), (3, 200_000), (3, 2), (1, 2)])
+def test_pairs(spark, chunk, sent):
+    # small chunks: every basket is a huge one; few items to send: they are joined
     rows = make(5)
     df = spark.createDataFrame([(k, w, "x") for k, w in rows], "id bigint, w array<string>, n string")
-    out, n = together.associations(df, "id", "w", least=3, per_thousand=10)
+    out, n = together.associations(df, "id", "w", 3, 10, sent, chunk)
     want, total = brute(rows, 3, 10)
     got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in out.collect()}
     assert got == want and n == total
@@ -111,3 +119,13 @@ def test_pairs_of_nothing(spark):
     lone = spark.createDataFrame([(1, ["a"]), (2, None), (None, ["a", "a", None])], "id bigint, w array<string>")
     out, n = together.associations(lone, "id", "w", least=1)
     assert out.count() == 0 and n == 3
+
+
+def test_huge_baskets_are_spread(spark):
+    wide = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(1, wide), (2, wide[:100]), (3, ["w0", "w1"])], "id bigint, w array<string>")
+    out, _ = together.associations(df, "id", "w", least=1)
+    assert out.count() == 3000 * 2999 // 2
+    assert {(r.n_ab, r.n_a, r.n_b) for r in out.where("item_a = 'w0' AND item_b = 'w1'").collect()} == {(3, 3, 3)}
+    cells = together._products(spark.createDataFrame([(list(range(3000)),)], "ids array<bigint>"), 512)
+    assert cells.count() == 21 and max(max(len(r.x), len(r.y or [])) for r in cells.collect()) == 512
