@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.session import cut, importable
 
 #: Keys that occur more than once are sent to the tasks up to this many, else their rows are shuffled.
-MOST_REPEATED = 1_000_000
+MOST_REPEATED = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
