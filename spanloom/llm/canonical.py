@@ -39,18 +39,29 @@ def invisible(ch: str) -> bool:
 
 
 def confusable_classes(spark: SparkSession) -> dict[str, str]:
-    """Each assigned letter, digit or sign and its UTS 39 skeleton, in one call to ICU; empty if ICU isn't there."""
+    """Each assigned letter, digit or sign and its UTS 39 skeleton, in one call to ICU in the driver's JVM.
+
+    Without a JVM at hand or ICU in it, look-alikes can't be told, and that is an error.
+    """
     jvm = getattr(spark, "_jvm", None)
     if jvm is None:
-        return {}
-    # a character that is canonically equal to others goes by them
-    chars = [c for c in map(chr, range(0x21, 0x20000)) if unicodedata.category(c)[0] in "LNPS" and unicodedata.decomposition(c)[:1] in ("", "<")]
-    try:
+        raise RuntimeError("look-alike characters come from ICU in the driver's JVM, which this session has no way to")
+    return _classes_of(jvm)
+
+
+_classes: dict[str, str] = {}
+
+
+def _classes_of(jvm) -> dict[str, str]:
+    if not _classes:
+        # a character that is canonically equal to others goes by them
+        chars = [c for c in map(chr, range(0x21, 0x20000)) if unicodedata.category(c)[0] in "LNPS" and unicodedata.decomposition(c)[:1] in ("", "<")]
         checker = jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
         skeletons = checker.getSkeleton("\n".join(chars)).split("\n")
-    except Exception:  # noqa: BLE001  py4j raises its own errors where the class is missing
-        return {}
-    return dict(zip(chars, skeletons)) if len(skeletons) == len(chars) else {}
+        if len(skeletons) != len(chars):
+            raise RuntimeError(f"ICU gave {len(skeletons)} skeletons for {len(chars)} characters")
+        _classes.update(zip(chars, skeletons))
+    return _classes
 
 
 def look_alikes(classes: dict[str, str], keep: Iterable[str] = ()) -> dict[str, str]:
@@ -100,8 +111,17 @@ class Spec:
 
     @staticmethod
     def of(classes: dict[str, str], keep: Iterable[str] = ()) -> Spec:
-        alikes = look_alikes(classes, keep)
-        kept = {c for form in keep for c in form if not c.isalnum()}
+        kept = frozenset(c for form in keep for c in form if not c.isalnum())
+        key = (hash(frozenset(classes.items())), kept)
+        if key not in _specs:
+            if len(_specs) > 15:
+                _specs.clear()
+            _specs[key] = Spec._made(classes, kept)
+        return _specs[key]
+
+    @staticmethod
+    def _made(classes: dict[str, str], kept: frozenset[str]) -> Spec:
+        alikes = look_alikes(classes, kept)
         pairs = []
         for code in range(0x80, cp.LIMIT):
             ch = chr(code)
@@ -123,6 +143,10 @@ class Spec:
         return Spec(hashlib.md5(repr(frozen).encode()).hexdigest(), *frozen)
 
 
+#: Made specs, by the look-alike data and the signs that are kept.
+_specs: dict[tuple, Spec] = {}
+
+
 class Canonicaliser:
     """The tables of one configuration. `skeleton` maps equal looks to equal text, `resolve` gives it back a script."""
 

@@ -49,6 +49,17 @@ def test_different_looks(tool, a, b):
     assert len(set(tool.forms(pa.array([a, b])).to_pylist())) == 2
 
 
+def test_without_icu_it_is_an_error(monkeypatch):
+    class NoClass:
+        def __getattr__(self, name):
+            raise RuntimeError("no such class")
+
+    monkeypatch.setattr(cn, "_classes", {})
+    for session in (object(), type("S", (), {"_jvm": None})(), type("S", (), {"_jvm": NoClass()})()):
+        with pytest.raises(RuntimeError):
+            cn.confusable_classes(session)
+
+
 def test_other_scripts_stay(tool):
     assert tool.forms(pa.array(["книга", "λόγος", "漢字", None, ""])).to_pylist() == ["книга", "λόγος", "漢字", None, ""]
 
