@@ -120,6 +120,11 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report
 
 
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source, language and topic was to get, what the fit gives it and what the draw gave it, in tokens."""
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).margins
+
+
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).documents
 
@@ -203,6 +208,7 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p7_margins": p7_margins,
     "p7_mixture": p7_mixture,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,

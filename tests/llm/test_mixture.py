@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import mixture as mx
 
@@ -34,14 +35,57 @@ def test_mix(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, chosen))
 
 
+def brute_short(spark, df, targets):
+    """The definition: size * max_repeats < share * total."""
+    sizes = mx.sized(df, targets).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    size, shares = {r["source"]: r["n"] for r in sizes}, mx.wanted_shares(targets)
+    total = sum(size.values())
+    return {s for s, (share, cap) in shares.items() if size.get(s, 0) * cap < share * total}
+
+
 def test_short_sources_against_definition(spark):
+    df = docs(spark, {"a": 30, "b": 3, "c": 12})
+    for weights in ((1.0, 1.0, 1.0), (1.0, 9.0, 3.0), (5.0, 0.1, 0.2)):
+        targets = spark.createDataFrame([("a", weights[0], 1), ("b", weights[1], 2), ("c", weights[2], 1), ("d", 0.0, 3)], "source string, target_weight double, max_repeats int")
+        got = {r.source for r in mx.mix(df, targets).report.where("is_short").collect()}
+        assert got == brute_short(spark, df, targets)
+
+
+def test_shortness_comes_from_the_fit(spark, monkeypatch):
     df = docs(spark, {"a": 30, "b": 3})
-    targets = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 2)], "source string, target_weight double, max_repeats int")
-    s = mx.source_sizes(mx.sized(df, targets), targets)
-    rows = {r.source: r for r in s.collect()}
-    total = sum(r["size"] for r in rows.values())
-    want = {k for k, r in rows.items() if r["size"] * r.max_repeats < 0.5 * total}
-    assert {r.source for r in mx.short_sources(s).collect()} == want
+    targets = spark.createDataFrame([("a", 1.0, 3), ("b", 1.0, 2)], "source string, target_weight double, max_repeats int")
+    assert {r.source for r in mx.mix(df, targets).report.where("is_short").collect()} == {"b"}
+    real = mx.rake
+    monkeypatch.setattr(mx, "rake", lambda *a: (real(*a)[0] * 0.5, 0.0))  # a fit that gives each cell half
+    assert {r.source for r in mx.mix(df, targets).report.where("is_short").collect()} == {"a", "b"}
+
+
+def test_margins(spark):
+    df = docs(spark, {"a": 900, "b": 500, "c": 10})
+    targets = spark.createDataFrame([("a", 2.0, 3), ("b", 3.0, 4), ("c", 1.0, 2)], "source string, target_weight double, max_repeats int")
+    m = mx.mix(df, targets)
+    rows = {(r.margin, r.value): r for r in m.margins.collect()}
+    assert {k[1] for k in rows if k[0] == "language"} == {"en", "nl", None, "None"} - {"None"} and {k[1] for k in rows if k[0] == "topic"} == {"news", "letter", None}
+    assert m.residual < 1e-3
+    for (kind, value), r in rows.items():
+        if kind != "source" and value is not None:
+            assert r.fitted == pytest.approx(r.wanted, rel=1e-2) and r.mixed_tokens == pytest.approx(r.fitted, rel=0.1)
+    for kind in ("source", "language", "topic"):
+        assert sum(r.mixed_tokens for k, r in rows.items() if k[0] == kind) == m.report.agg(F.sum("mixed_tokens")).first()[0]
+
+
+def test_many_cells_are_raked_with_joins(spark, monkeypatch):
+    df = docs(spark, {"a": 400, "b": 150, "c": 10})
+    targets = spark.createDataFrame([("a", 2.0, 3), ("b", 3.0, 4), ("c", 1.0, 2), ("none", 1.0, 5)], "source string, target_weight double, max_repeats int")
+    few = {r.source: r for r in mx.mix(df, targets).report.collect()}
+    monkeypatch.setattr(mx, "MOST_CELLS", 3)
+    monkeypatch.setattr(mx, "JOINED_ROUNDS", 6)
+    joined = mx.mix(df, targets)
+    many = {r.source: r for r in joined.report.collect()}
+    assert {s for s, r in many.items() if r.is_short} == {s for s, r in few.items() if r.is_short} == {"c", "none"}
+    for s in few:
+        assert many[s].mixed_tokens == pytest.approx(few[s].mixed_tokens, rel=0.01)
+    assert joined.residual < 0.01
 
 
 def test_nothing(spark):
@@ -56,9 +100,22 @@ def test_nothing(spark):
 
 def test_rake():
     rng = np.random.default_rng(2)
-    cells = rng.integers(0, 50, (3, 4, 2)).astype(float)
-    wanted = cells.sum((1, 2))[::-1] * 0.8
-    out = mx.rake(cells, wanted, np.array([3.0, 3.0, 3.0]))
-    assert np.allclose(out.sum((1, 2)), wanted) and (out <= cells * 3 + 1e-9).all()
-    goal = cells.sum((0, 2)) / cells.sum() * wanted.sum()
+    table = rng.integers(0, 50, (3, 4, 2)).astype(float)
+    s, l, g = (x.ravel() for x in np.indices(table.shape))
+    cells = table.ravel()
+    wanted = table.sum((1, 2))[::-1] * 0.8
+    flat, residual = mx.rake(s, [l, g], cells, wanted, np.array([3.0, 3.0, 3.0]))
+    out = flat.reshape(table.shape)
+    assert np.allclose(out.sum((1, 2)), wanted) and (flat <= cells * 3 + 1e-9).all() and residual < 0.01
+    goal = table.sum((0, 2)) / table.sum() * wanted.sum()
     assert np.allclose(out.sum((0, 2)), goal, rtol=0.01)
+
+
+def test_fill():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        most = rng.integers(0, 9, 6).astype(float)
+        out = np.minimum(rng.random(6) * 5, most)
+        wanted = float(rng.random() * 40)
+        got = mx.fill(out, most, wanted)
+        assert (got <= most + 1e-9).all() and got.sum() == pytest.approx(min(wanted, most.sum()))
