@@ -14,7 +14,7 @@ from spanloom.llm import codepoints as cp
 
 # Character classes, from the fine to the coarse: name, coarse class.
 CLASSES = (
-    ("lower", "letter"), ("upper", "upper"), ("accented", "letter"), ("cyrillic", "letter"), ("greek", "letter"), ("kana", "letter"), ("han", "letter"), ("letter", "letter"),
+    ("lower", "letter"), ("upper", "upper"), ("accented", "letter"), ("cyrillic", "letter"), ("greek", "letter"), ("hiragana", "letter"), ("katakana", "letter"), ("han", "letter"), ("letter", "letter"),
     ("mark", "letter"), ("digit", "digit"), ("blank", "blank"), ("tab", "tab"), ("line", "line"), ("stop", "stop"), ("comma", "comma"), ("colon", "comma"), ("quote", "quote"),
     ("bracket", "symbol"), ("dash", "dash"), ("slash", "symbol"), ("pipe", "tab"), ("relation", "symbol"), ("underscore", "symbol"), ("symbol", "symbol"), ("graphic", "graphic"), ("control", "graphic"),
 )
@@ -29,15 +29,18 @@ def _is(*names: str) -> np.ndarray:
     return np.isin(np.arange(len(NAMES)), [FINE[n] for n in names])
 
 
-_LETTERS = ("lower", "upper", "accented", "cyrillic", "greek", "kana", "han", "letter", "mark")
+_LETTERS = ("lower", "upper", "accented", "cyrillic", "greek", "hiragana", "katakana", "han", "letter", "mark")
 IS_WORD = _is(*_LETTERS, "digit")
 IS_SOLID = ~_is("blank", "line", "tab")
 IS_INDENT = _is("tab", "blank")
 #: Classes of a line's first and last characters.
-START = np.select([_is("upper"), _is("lower", "accented", "cyrillic", "greek", "letter"), _is("digit"), _is("dash"), _is("bracket"), _is("kana", "han"), _is("quote")], [0, 2, 3, 4, 5, 6, 7], 8)
+START = np.select([_is("upper"), _is("lower", "accented", "cyrillic", "greek", "letter"), _is("digit"), _is("dash"), _is("bracket"), _is("hiragana", "katakana", "han"), _is("quote")], [0, 2, 3, 4, 5, 6, 7], 8)
 END = np.select([_is("stop"), _is(*_LETTERS), _is("digit"), _is("comma"), _is("quote"), _is("bracket")], [0, 1, 2, 3, 4, 5], 6)
-#: Words longer than this are in no list of common words.
-LONGEST = 64
+#: Scripts written without blanks: where one of these ends and another begins, so does a word.
+UNSPACED = np.select([_is("hiragana"), _is("katakana"), _is("han")], [1, 2, 3], 0).astype(np.uint8)
+#: Bands of a language's common words, by rank; the last band of a distribution is for all other words.
+BANDS = (2, 3, 5, 9, 17, 33)
+N_BANDS = len(BANDS) + 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,8 +61,10 @@ def _class(ch: str) -> str:
             return "cyrillic"
         if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000:
             return "greek"
-        if 0x3040 <= code < 0x3100 or 0x31F0 <= code < 0x3200:
-            return "kana"
+        if 0x3040 <= code < 0x30A0:
+            return "hiragana"
+        if 0x30A0 <= code < 0x3100 or 0x31F0 <= code < 0x3200:
+            return "katakana"
         if 0x4E00 <= code < 0xA000 or 0x3400 <= code < 0x4DC0 or 0x20000 <= code:
             return "han"
         return "accented" if code < 0x250 else "letter"
@@ -107,31 +112,59 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(cps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word in lower case; 0 for words that are too long to be in a list."""
+    """A 64-bit hash of each word in lower case, of whatever length."""
     _, lower = tables()
-    power = np.cumprod(np.full(LONGEST, _BASE, np.uint64))
-    short = np.flatnonzero((sizes <= LONGEST) & (sizes > 0))
+    some = np.flatnonzero(sizes > 0)
     out = np.zeros(len(starts), np.uint64)
-    if len(short):
-        n = sizes[short].astype(np.int64)
+    if len(some):
+        n = sizes[some].astype(np.int64)
+        power = np.cumprod(np.full(int(n.max()), _BASE, np.uint64))
         first = np.cumsum(n) - n
         place = cp.ranges(np.zeros(len(n), np.int64), n)
-        chars = lower[cps[cp.ranges(starts[short].astype(np.int64), n)]].astype(np.uint64)
-        out[short] = np.add.reduceat((chars + np.uint64(1)) * power[place], first)
+        chars = lower[cps[cp.ranges(starts[some].astype(np.int64), n)]].astype(np.uint64)
+        out[some] = np.add.reduceat((chars + np.uint64(1)) * power[place], first)
     return out
 
 
-def list_hashes(words: list[str]) -> np.ndarray:
-    cps, offs = cp.from_arrow(pa.array([w for w in words if w], pa.string()))
-    return np.unique(word_hashes(cps, offs[:-1], np.diff(offs)))
+@dataclass(frozen=True)
+class CommonWords:
+    """Frequent words of some languages: sorted hashes of all of them, and for each word and language its band, or the last one."""
+
+    languages: tuple[str, ...]
+    hashes: np.ndarray
+    bands: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[str | None, str | None, int | None]]) -> CommonWords:
+        """rows: language, word, rank. Rows without language or word are left out, without a rank the word is in the last of its bands."""
+        best: dict[tuple[str, str], int] = {}
+        for lang, word, rank in rows:
+            if lang and word:
+                rank = 1 << 30 if rank is None else rank
+                best[lang, word] = min(best.get((lang, word), 1 << 30), rank)
+        languages = tuple(sorted({lang for lang, _ in best}))
+        if not best:
+            return CommonWords(languages, np.zeros(0, np.uint64), np.zeros((0, 0), np.int64))
+        keys = list(best)
+        cps, offs = cp.from_arrow(pa.array([w for _, w in keys], pa.string()))
+        each = word_hashes(cps, offs[:-1], np.diff(offs))
+        hashes, at = np.unique(each, return_inverse=True)
+        bands = np.full((len(hashes), len(languages)), N_BANDS - 1, np.int64)
+        ranked = np.searchsorted(np.array(BANDS), np.array([best[k] for k in keys]), side="right")
+        for i, (lang, _) in enumerate(keys):
+            j = languages.index(lang)
+            bands[at[i], j] = min(bands[at[i], j], ranked[i])
+        return CommonWords(languages, hashes, bands)
 
 
 @dataclass
 class Features:
-    """Of n texts: `counts`, name to array, and `shares`, name to an n x k array of distributions (rows of sum 1 or 0)."""
+    """Of n texts: `counts`, name to array; `shares`, name to an n x k array of distributions (rows of sum 1 or 0); and
+    `function`, an n x languages x N_BANDS array, the distribution of the words over each language's common words."""
 
     counts: dict[str, np.ndarray]
     shares: dict[str, np.ndarray]
+    function: np.ndarray
 
 
 def _rows(row: np.ndarray, value: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -147,30 +180,32 @@ def _bucket(x: np.ndarray, bounds: list[float]) -> np.ndarray:
     return np.searchsorted(np.array(bounds), x, side="right")
 
 
-SHARES = {"chars": len(CLASSES), "steps": len(COARSE) ** 2, "word_size": 12, "function": 6, "line_start": 9, "line_end": 7, "line_words": 9, "cells": 8, "repeat": 8}
+SHARES = {"chars": len(CLASSES), "steps": len(COARSE) ** 2, "word_size": 12, "line_start": 9, "line_end": 7, "line_words": 9, "cells": 8, "repeat": 8}
 
 
 #: Texts are done in slices of about so many characters, which fit a processor's cache.
 SLICE = 400_000
 
 
-def features(texts: pa.Array, common: np.ndarray) -> Features:
-    """common: sorted hashes of all languages' common words. Null texts count as empty."""
+def features(texts: pa.Array, common: CommonWords) -> Features:
+    """Null texts count as empty."""
     size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     slot = np.cumsum(size) // SLICE
     cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(texts)]
     parts = [_features(texts.slice(a, b - a), common) for a, b in zip(cuts[:-1], cuts[1:])]
     join = lambda what, name: np.concatenate([getattr(p, what)[name] for p in parts])
-    return parts[0] if len(parts) == 1 else Features({k: join("counts", k) for k in parts[0].counts}, {k: join("shares", k) for k in parts[0].shares})
+    if len(parts) == 1:
+        return parts[0]
+    return Features({k: join("counts", k) for k in parts[0].counts}, {k: join("shares", k) for k in parts[0].shares}, np.concatenate([p.function for p in parts]))
 
 
-def _features(texts: pa.Array, common: np.ndarray) -> Features:
+def _features(texts: pa.Array, common: CommonWords) -> Features:
     cps, offs = cp.from_arrow(texts)
     n, m = len(offs) - 1, len(cps)
     if m == 0:
         zero = np.zeros(n)
         names = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_share", "n_lines", "n_letters")
-        return Features({k: zero for k in names}, {k: np.zeros((n, d), np.float32) for k, d in SHARES.items()})
+        return Features({k: zero for k in names}, {k: np.zeros((n, d), np.float32) for k, d in SHARES.items()}, np.zeros((n, len(common.languages), N_BANDS), np.float32))
     kinds, lower = tables()
     kind = kinds[cps]
     row = cp.row_of(offs)
@@ -185,28 +220,33 @@ def _features(texts: pa.Array, common: np.ndarray) -> Features:
     steps = (row[1:] * (k * k) + (coarse[:-1] * np.uint8(k) + coarse[1:]))[inside]
     shares["steps"] = _share(np.bincount(steps, minlength=n * k * k).reshape(n, k * k).astype(np.float32))
 
-    # words: runs of letters, marks and digits
+    # words: runs of letters, marks and digits, cut where a script without blanks gives way to another
     wordy = IS_WORD[kind]
-    begin = wordy & edge[:m]
+    script = UNSPACED[kind]
+    turn = np.zeros(m + 1, bool)
+    turn[1:m] = script[1:] != script[:-1]
+    turn |= edge
+    begin = wordy & turn[:m]
     begin[1:] |= wordy[1:] & ~wordy[:-1]
     starts = np.flatnonzero(begin)
-    stop = wordy & edge[1:]
+    stop = wordy & turn[1:]
     stop[:-1] |= wordy[:-1] & ~wordy[1:]
     sizes = np.flatnonzero(stop) + 1 - starts
     word_row = row[starts]
     n_words = np.bincount(word_row, minlength=n)
     hashes = word_hashes(cps, starts, sizes)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        known = common[at] == hashes
-    else:
-        known = np.zeros(len(hashes), bool)
+    known = np.zeros(len(hashes), bool)
+    function = np.zeros((n, len(common.languages), N_BANDS), np.float32)
+    if len(common.hashes):
+        at = np.minimum(np.searchsorted(common.hashes, hashes), len(common.hashes) - 1)
+        known = common.hashes[at] == hashes
+        listed, owner = at[known], word_row[known]
+        for j in range(len(common.languages)):
+            own = _rows(owner, common.bands[listed, j], n, N_BANDS)
+            own[:, -1] += n_words - own.sum(1)
+            function[:, j] = _share(own)
     shares["word_size"] = _share(_rows(word_row, np.minimum(_bucket(sizes, [2, 3, 4, 5, 6, 7, 8, 10, 13, 18, 30]), 11), n, 12))
-    spaced = kind[starts] <= FINE["greek"]
-    state = np.where(known, 0, np.where(spaced, 1, 2))
     pair = word_row[1:] == word_row[:-1]
-    step = np.where((state[1:] < 2) & (state[:-1] < 2), state[:-1] * 2 + state[1:], np.where(state[1:] == 2, 4, 5))
-    shares["function"] = _share(_rows(word_row[1:][pair], step[pair], n, 6))
     same = pair & (hashes[1:] == hashes[:-1])
     one = inside & (cps[1:] == cps[:-1]) & (kind[1:] != FINE["blank"])
     two = np.zeros(m - 1, bool)
@@ -230,9 +270,9 @@ def _features(texts: pa.Array, common: np.ndarray) -> Features:
     first = np.full(n_lines, -1, np.int64)
     last = np.full(n_lines, -1, np.int64)
     line_of = line[solid]
-    turn = np.flatnonzero(line_of[1:] != line_of[:-1])
+    change = np.flatnonzero(line_of[1:] != line_of[:-1])
     if len(solid):
-        heads, tails = np.append(0, turn + 1), np.append(turn, len(solid) - 1)
+        heads, tails = np.append(0, change + 1), np.append(change, len(solid) - 1)
         first[line_of[heads]] = solid[heads]
         last[line_of[tails]] = solid[tails]
     real = np.flatnonzero(first >= 0)
@@ -276,4 +316,4 @@ def _features(texts: pa.Array, common: np.ndarray) -> Features:
         "n_lines": lines,
         "n_letters": by_class[:, : FINE["digit"]].sum(1),
     }
-    return Features(counts, shares)
+    return Features(counts, shares, function)
