@@ -143,11 +143,14 @@ def associations(df: DataFrame, key: str, items: str, least: int = 10, per_thous
     most_sent: more frequent items than this are joined to the baskets instead of being sent to the tasks; chunk: the
     most items of a basket that are paired in one row. Neither changes the result.
     """
-    rows = df.select(F.col(key).alias("_key"), F.array_distinct(F.filter(F.expr(items), lambda x: x.isNotNull())).alias("_items"))
-    baskets = single(rows, "_key").select(F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
-    total, largest = baskets.agg(F.count("*"), F.max(F.size("_items"))).first()
+    distinct = F.array_distinct(F.filter(F.expr(items), lambda x: x.isNotNull()))
+    baskets = single(df, key).select(F.coalesce(distinct, F.array().cast("array<string>")).alias("_items"))
+    total = baskets.count()
     bar = max(least, -(-per_thousand * total // 1000))
-    singles = cut(baskets.select(F.explode("_items").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= bar))
+    counted = baskets.select(F.size("_items").alias("size"), F.explode("_items").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.max("size").alias("largest"))
+    singles = cut(counted.where(F.col("n") >= bar))
+    largest = singles.agg(F.max("largest")).first()[0] or 0  # of the baskets that hold an item that is paired
+    singles = singles.drop("largest")
     if singles.count() <= most_sent:
         frequent = sorted(singles.collect(), key=lambda r: r["term"].encode())
         terms = pa.array([r["term"] for r in frequent], pa.string())
@@ -159,7 +162,7 @@ def associations(df: DataFrame, key: str, items: str, least: int = 10, per_thous
         ids = with_dense_ids(singles)
         rows = cut(baskets.withColumn("_b", F.monotonically_increasing_id()).select("_b", F.explode("_items").alias("term")))
         encoded = join_by_count(rows, ids, ["term"], "n", rows.count()).groupBy("_b").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
-    pairs = pair_counts(encoded, chunk, (largest or 0) > chunk).where(F.col("n") >= bar)
+    pairs = pair_counts(encoded, chunk, largest > chunk).where(F.col("n") >= bar)
     left = ids.select(F.col("id").alias("a"), F.col("term").alias("ta"), F.col("n").alias("na"))
     right = ids.select(F.col("id").alias("b"), F.col("term").alias("tb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b")
