@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from spanloom.operators import results as rs
 from spanloom.operators import spans as sp
 from spanloom.plans import contextql, docfilter, serialise
 from spanloom.plans.compiler import Compiler, Tables
-from spanloom.plans.nodes import Node
+from spanloom.plans.nodes import Any_, Node
 from spanloom.plans.parser import fill_template, parse, template_values
 from spanloom.plans.rewrite import normalise
 
@@ -24,6 +24,8 @@ class Hits:
     frame: DataFrame
     corpus: Corpus
     tree: Node | None = None
+    #: The tables that all hits of `tree` come from, while no hit has been left out.
+    whole: Tables | None = None
 
     def _next(self, df: DataFrame) -> Hits:
         return Hits(df, self.corpus, self.tree)
@@ -41,6 +43,8 @@ class Hits:
         return self._next(rs.window(self.frame, first, number))
 
     def group(self, by: str, keep: int = 0) -> DataFrame:
+        if not keep and self.tree == Any_() and rs.only_tokens(by) and self.whole is not None:
+            return rs.group_tokens(self.whole, by, self.corpus.docs)
         return rs.group_hits(self.frame, self.corpus.tables, by, self.corpus.docs, keep)
 
     def view_group(self, by: str, identity: list) -> Hits:
@@ -125,8 +129,9 @@ class Corpus:
         for text in (filter, also):
             if text:
                 wanted = docfilter.filter_documents(self.docs, text).select("doc_id")
-                t = Tables(sp.in_documents(t.tokens, wanted), sp.in_documents(t.spans, wanted) if t.spans is not None else None, sp.in_documents(t.relations, wanted) if t.relations is not None else None, t.annotations, None, t.fields, t.name, sp.in_documents(t.stored, wanted) if t.stored is not None else None)
-        hits = Hits(Compiler(t, functions=self.functions).hits(tree), self, tree)
+                inside = {x: sp.in_documents(d, wanted) for x in ("tokens", "spans", "relations", "stored") if (d := getattr(t, x)) is not None}
+                t = replace(t, **inside, lengths=None)
+        hits = Hits(Compiler(t, functions=self.functions).hits(tree), self, tree, t)
         if keep:
             hits.frame = hits.frame.persist()
             self._kept[key] = hits

@@ -72,18 +72,21 @@ def parse(text: str) -> list[Property]:
     return out
 
 
-def with_context(hits: DataFrame, tables: Tables, annotations: list[str], before: int, after: int, hit: bool = True) -> DataFrame:
-    """Adds `_ctx`, the sorted array of structs (_at, one field per annotation) around and in each hit.
+def with_context(hits: DataFrame, tables: Tables, annotations: list[str], before: int, after: int, also: list[tuple[Column, Column]] = ()) -> DataFrame:
+    """Adds `_ctx`, the sorted array of structs (_at, one field per annotation) around and in each hit, and in the spans of `also`,
+    which may lie outside of the hit.
 
     Contexts end at the document's edges. The work is an equi-join of the positions wanted with the tokens and
     a grouping by hit, both spread over all tasks; an array is as long as a hit with its context.
     """
     keys = [*sp.KEYS, *sp.captures(hits)]
-    first, last = F.greatest(F.lit(0), F.col("start_pos") - before), F.col("end_pos") + after - 1
+    none = F.array().cast("array<int>")
+    places = lambda a, z: F.when(a <= z, F.sequence(a, z)).otherwise(none)
+    at = places(F.greatest(F.lit(0), F.col("start_pos") - before), F.col("end_pos") + after - 1)
+    if also:
+        at = F.array_distinct(F.concat(at, *[F.coalesce(places(s, e - 1), none) for s, e in also]))
     ids = hits.withColumn("_h", F.struct(*keys))
-    want = ids.where(first <= last).select("_h", "doc_id", F.explode(F.sequence(first, last)).alias("_at"))
-    if not hit:
-        want = want.where((F.col("_at") < F.col("_h.start_pos")) | (F.col("_at") >= F.col("_h.end_pos")))
+    want = ids.select("_h", "doc_id", F.explode(at).alias("_at"))
     names = [a.replace("/", "_") for a in dict.fromkeys(annotations)]
     look = tables.rows().select("doc_id", F.col("pos").alias("_at"), *[F.col(tables.column(a)).alias(f"_v{i}") for i, a in enumerate(dict.fromkeys(annotations))])
     word = F.struct("_at", *[F.col(f"_v{i}").alias(a) for i, a in enumerate(names)])
@@ -113,14 +116,12 @@ def _parts(p: Property, name: str) -> Column:
         n = int(p.extra or CONTEXT)
         return _words(F.filter(ctx, lambda t: (t["_at"] >= e) & (t["_at"] < e + n)), name, p.sensitivity)
     if p.kind == "capture":
-        cap = F.col(f"c_{(p.extra or '').split(':')[0]}")
-        return _words(F.filter(ctx, lambda t: (t["_at"] >= cap["start"]) & (t["_at"] < cap["end"])), name, p.sensitivity)
+        low, high = span_of(p)
+        return _words(_between(ctx, low, high), name, p.sensitivity)
     out = []
     for part in (p.extra or "H").split(";"):  # ctx: parts B, A, H, E with word numbers from 1, such as H1-2;B1
         where, numbers = part[0].upper(), part[1:]
-        low, _, high = numbers.partition("-")
-        a = int(low) if low else 1
-        z = int(high) if high else (a if numbers and "-" not in numbers else 1 << 20)
+        a, z = _numbers(part)
         if where == "H":
             lo, hi = s + a - 1, F.least(e, s + z)
             out.append(_words(_between(ctx, lo, hi), name, p.sensitivity))
@@ -138,6 +139,30 @@ def _parts(p: Property, name: str) -> Column:
     return F.concat(*out)
 
 
+def _numbers(part: str) -> tuple[int, int]:
+    """The first and the last word of a context part, from 1. An open end of a part outside of the hit counts CONTEXT words on from word 1."""
+    low, dash, high = part[1:].partition("-")
+    a = int(low) if low else 1
+    if high or low and not dash:
+        return a, int(high) if high else a
+    return a, (1 << 20 if part[0].upper() in "HE" else CONTEXT + 1)
+
+
+#: The two ends of a relation that a capture property may name.
+ENDS = {"source": ("src_start", "src_end"), "target": ("tgt_start", "tgt_end"), "full": ("start", "end"), "": ("start", "end")}
+
+
+def span_of(p: Property) -> tuple[Column, Column]:
+    """Where a capture property looks: the capture's own span, or with `name:source` or `name:target` an end of its relation."""
+    name, _, mode = (p.extra or "").partition(":")
+    if mode not in ENDS:
+        raise PropertyError(f"unknown span mode {mode}")
+    if not name:
+        return F.col("start_pos"), F.col("end_pos")
+    low, high = ENDS[mode]
+    return F.col(f"c_{name}.{low}"), F.col(f"c_{name}.{high}")
+
+
 def _reach(properties: list[Property]) -> tuple[int, int]:
     before = after = 0
     for p in properties:
@@ -147,7 +172,7 @@ def _reach(properties: list[Property]) -> tuple[int, int]:
             after = max(after, int(p.extra or CONTEXT))
         elif p.kind == "ctx":
             for part in (p.extra or "H").split(";"):
-                n = max([int(x) for x in part[1:].split("-") if x] or [CONTEXT])
+                n = max(_numbers(part))
                 if part[0].upper() in "BL":
                     before = max(before, n)
                 elif part[0].upper() in "AR":
@@ -165,7 +190,8 @@ def columns(hits: DataFrame, tables: Tables, text: str, documents: DataFrame | N
     main = next(iter(tables.annotations))
     if contextual:
         before, after = _reach(contextual)
-        hits = with_context(hits, tables, [p.annotation or main for p in contextual], before, after)
+        also = [span_of(p) for p in contextual if p.kind == "capture" and p.extra]
+        hits = with_context(hits, tables, [p.annotation or main for p in contextual], before, after, also)
     fields = [p for p in properties if p.kind in ("field", "decade", "doc")]
     if fields:
         if documents is None:

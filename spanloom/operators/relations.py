@@ -62,13 +62,32 @@ def relation_hits(rows: DataFrame, name: str, mode: str = "source", direction: s
     return sp.distinct(hits.drop("_ts", "_te"))
 
 
-def _relation_captures(df: DataFrame) -> list[str]:
+def both_unique(a: DataFrame, b: DataFrame, names: list[str], name: str) -> DataFrame:
+    """AND of hits of relations, where the relation captured as `name` in b is none of those captured as `names` in a."""
+    out = sp.both(a, b)
+    for other in names:
+        if other != name:
+            out = out.where(F.col(f"c_{other}.rel_id") != F.col(f"c_{name}.rel_id"))
+    return out
+
+
+def any_order(hits: DataFrame | None, names: list[str]) -> DataFrame | None:
+    """One hit for each set of relations: of hits of one span that match the same relations in different order, the first one stays."""
+    if hits is None or len(names) < 2:
+        return hits
+    ids = F.array_sort(F.array(*[F.col(f"c_{x}.rel_id") for x in names]))
+    caps = sp.captures(hits)
+    first = hits.groupBy(*sp.KEYS, ids.alias("_ids")).agg(F.min(F.struct(*[f"c_{x}" for x in names], *[c for c in caps if c[2:] not in names])).alias("_first"))
+    return first.select(*sp.KEYS, *[F.col(f"_first.{c}").alias(c) for c in caps])
+
+
+def relation_captures(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.name.startswith("c_") and isinstance(f.dataType, T.StructType) and "rel_id" in f.dataType.names]
 
 
 def respan(hits: DataFrame, mode: str) -> DataFrame:
     """Moves hits to a place of their relation: source, target, full; or all: over every relation captured, and the hit itself."""
-    names = _relation_captures(hits)
+    names = relation_captures(hits)
     if not names:
         return hits
     one = names[-1]

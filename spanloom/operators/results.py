@@ -38,8 +38,18 @@ def window(df: DataFrame, first: int, number: int) -> DataFrame:
     return df.offset(first).limit(number) if first else df.limit(number)
 
 
+#: Samples of up to so many rows are taken as a top-k; larger ones by a threshold.
+SMALL_SAMPLE = 10_000
+#: Bits of the hash that the threshold is looked for in.
+SAMPLE_BITS = 14
+
+
 def sample(df: DataFrame, number: int | None = None, fraction: float | None = None, seed: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """A sample without replacement, the same for the same seed: the rows of the least hashes. fraction: of round(fraction * total) rows."""
+    """A sample without replacement, the same for the same seed: the rows of the least hashes. fraction: of round(fraction * total) rows.
+
+    For a large sample the hash up to which rows are taken is found on a histogram of 2^14 bins; the rows of the bin that
+    it falls into, a fraction of all, are settled by order. No task holds the sample.
+    """
     if (number is None) == (fraction is None):
         raise ValueError("give a number or a fraction")
     if fraction is not None:
@@ -47,8 +57,21 @@ def sample(df: DataFrame, number: int | None = None, fraction: float | None = No
             raise ValueError("a fraction is between 0 and 1")
         number = int(fraction * df.count() + 0.5)
     keys = keys or [c for c in sp.KEYS if c in df.columns] or df.columns
-    mark = F.xxhash64(F.lit(seed), *keys)
-    return df.withColumn("_m", mark).orderBy("_m", *keys).limit(number).drop("_m").orderBy(*keys)
+    marked = df.withColumn("_m", F.xxhash64(F.lit(seed), *keys))
+    if number <= SMALL_SAMPLE:
+        return marked.orderBy("_m", *keys).limit(number).drop("_m").orderBy(*keys)
+    marked = marked.withColumn("_bin", F.shiftright("_m", 64 - SAMPLE_BITS))
+    left, edge = number, None
+    for r in sorted(marked.groupBy("_bin").agg(F.count("*").alias("n")).collect()):
+        edge = r["_bin"]
+        if r["n"] >= left:
+            break
+        left -= r["n"]
+    else:
+        return df.orderBy(*keys)
+    inside = marked.where(F.col("_bin") < edge)
+    last = marked.where(F.col("_bin") == edge).orderBy("_m", *keys).limit(left)
+    return inside.unionByName(last).drop("_m", "_bin").orderBy(*keys)
 
 
 def hits_in_document(hits: DataFrame, doc_id: int) -> DataFrame:
@@ -188,12 +211,41 @@ def group_hits(hits: DataFrame, tables: Tables, by: str, documents: DataFrame |
     return out
 
 
+def group_tokens(tables: Tables, by: str, documents: DataFrame | None = None) -> DataFrame:
+    """`group_hits` of all single tokens, by annotations of the token and fields of its document: tokens are counted per document and value,
+    and no context is joined; document fields see counts."""
+    properties = pr.parse(by)
+    main = next(iter(tables.annotations))
+    if not only_tokens(by):
+        raise pr.PropertyError(f"{by} needs more than the tokens themselves")
+    keys = [(f"g{i}", F.coalesce(fold(F.col(tables.column(p.annotation or main)), p.sensitivity), F.lit(""))) for i, p in enumerate(properties) if p.kind == "hit"]
+    names = [k for k, _ in keys]
+    per = tables.tokens.select("doc_id", *[c.alias(k) for k, c in keys]).groupBy("doc_id", *names).agg(F.count("*").alias("n"))
+    others = [(i, p) for i, p in enumerate(properties) if p.kind != "hit"]
+    fields = [(i, p) for i, p in others if p.kind != "docid"]
+    if fields:
+        if documents is None:
+            raise pr.PropertyError("document properties need the documents")
+        looked = documents.select("doc_id", *[F.col("pid" if p.kind == "doc" else p.annotation).alias(f"_d{i}") for i, p in fields])
+        per = per.join(looked, "doc_id", "left")
+    for i, p in others:
+        c = F.col("doc_id") if p.kind == "docid" else F.col(f"_d{i}") if p.kind == "doc" else pr.decade(F.col(f"_d{i}")) if p.kind == "decade" else pr.field_value(per, f"_d{i}")
+        per = per.withColumn(f"g{i}", c)
+    return per.groupBy(*[f"g{i}" for i in range(len(properties))]).agg(F.sum("n").alias("size"), F.count("*").alias("docs"))
+
+
+def only_tokens(by: str) -> bool:
+    """Whether single tokens can be grouped by these properties without their contexts."""
+    return all(p.kind in ("hit", "field", "decade", "doc", "docid") for p in pr.parse(by))
+
+
 def sort_groups(groups: DataFrame, by: str = "size") -> DataFrame:
-    """by: `size` (the largest first) or `identity`, reversed by `-`."""
+    """Groups of hits or of documents. by: `size` (the largest first; of documents, how many there are) or `identity`, reversed by `-`."""
     (p,) = pr.parse(by)
     names = [c for c in groups.columns if c[:1] == "g" and c[1:].isdigit()]
     if p.kind == "size":
-        return groups.orderBy(F.col("size").desc() if p.reverse else F.col("size"), *names)
+        size = F.col("size" if "size" in groups.columns else "docs")
+        return groups.orderBy(size.desc() if p.reverse else size, *names)
     if p.kind == "identity":
         return groups.orderBy(*[F.col(n).desc() if p.reverse else F.col(n) for n in names])
     raise pr.PropertyError(f"groups can't be sorted by {p.kind}")
@@ -310,16 +362,26 @@ def autocomplete(tables: Tables, prefix: str, annotation: str | None = None, mos
     return tables.rows().select(term).where(F.col("term").startswith(fold_text(prefix, sensitivity))).distinct().orderBy("term").limit(most)
 
 
-def field_values(documents: DataFrame, name: str, most: int = 200) -> DataFrame:
-    """A metadata field's values and numbers of documents, the most frequent ones."""
+def field_values(documents: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """A metadata field's values and numbers of documents; with `most`, see `most_frequent`."""
     kind = dict(documents.dtypes)[name]
     value = F.explode(name) if kind.startswith("array") else F.col(name).cast("string")
-    return documents.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "value").limit(most)
+    counts = documents.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("docs"))
+    return counts if most is None else most_frequent(counts, "docs", most)
 
 
-def annotation_values(tables: Tables, annotation: str, most: int = 1000) -> DataFrame:
+def annotation_values(tables: Tables, annotation: str, most: int | None = None) -> DataFrame:
+    """An annotation's values and numbers of tokens; with `most`, see `most_frequent`."""
     name = tables.column(annotation)
-    return tables.tokens.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("freq")).orderBy(F.desc("freq"), "value").limit(most)
+    counts = tables.tokens.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("freq"))
+    return counts if most is None else most_frequent(counts, "freq", most)
+
+
+def most_frequent(counts: DataFrame, by: str, most: int) -> DataFrame:
+    """The `most` most frequent values, and in `truncated` whether there are more."""
+    top = counts.orderBy(F.desc(by), "value").limit(most + 1)
+    ranked = top.withColumn("_r", F.row_number().over(W.orderBy(F.desc(by), "value"))).withColumn("truncated", F.count("*").over(W.partitionBy()) > most)
+    return ranked.where(F.col("_r") <= most).drop("_r")
 
 
 def tokens_per_value(documents: DataFrame, name: str) -> DataFrame:

@@ -127,10 +127,40 @@ def expand(a: DataFrame, direction: str, low: int, high: int, lengths: DataFrame
         out = out.withColumn("start_pos", F.col("start_pos") - F.col("_k"))
         return distinct(out.drop("_k"), known)
     room = F.least(F.lit(high), F.col("length") - F.col("end_pos"))
-    out = a.join(lengths, "doc_id").where(F.col("length") - F.col("end_pos") >= low).withColumn("_k", F.explode(F.sequence(F.lit(low), room)))
+    out = at_block(a, lengths, "end_pos").where(F.col("length") - F.col("end_pos") >= low).withColumn("_k", F.explode(F.sequence(F.lit(low), room)))
     return distinct(out.withColumn("end_pos", F.col("end_pos") + F.col("_k")).drop("_k", "length"), known)
 
 
+def extended(a: DataFrame, b: DataFrame, direction: str) -> DataFrame:
+    """Hits of a as they are, and those with a hit of b directly behind (right) or before them (left).
+
+    One join: the hits of b are put together by the position where they would be joined on, and each hit of a becomes as many rows as there
+    are ways to go on, and one for staying as it is.
+    """
+    here, there = ("end_pos", "start_pos") if direction == "right" else ("start_pos", "end_pos")
+    caps = captures(b)
+    kinds = dict(b.dtypes)
+    way = F.struct(F.col(here).alias("_to"), *caps)
+    ways = b.groupBy(F.col("doc_id").alias("_d"), F.col(there).alias("_at")).agg(F.collect_set(way).alias("_ways"))
+    stay = F.struct(F.col(here).alias("_to"), *[F.lit(None).cast(kinds[c]).alias(c) for c in caps])
+    joined = a.join(ways, (F.col("doc_id") == F.col("_d")) & (F.col(here) == F.col("_at")), "left")
+    on = F.coalesce(F.col("_ways"), F.array().cast(ways.schema["_ways"].dataType))
+    rows = joined.withColumn("_way", F.explode(F.concat(F.array(stay), on)))
+    own = captures(a)
+    kept = [F.coalesce(F.col(c), F.col(f"_way.{c}")).alias(c) if c in caps else F.col(c) for c in own]
+    moved = {"end_pos": F.col("_way._to")} if direction == "right" else {"start_pos": F.col("_way._to")}
+    keys = [moved.get(k, F.col(k)).alias(k) for k in KEYS]
+    return distinct(rows.select(*keys, *kept, *[F.col(f"_way.{c}").alias(c) for c in caps if c not in own]))
+
+
+def at_block(a: DataFrame, lengths: DataFrame, column: str) -> DataFrame:
+    """Joins hits with the length of their document on (document, block of positions), so that a document that holds a third
+    of all hits is spread. Lengths are repeated once a block, a thousandth of the tokens."""
+    spread = lengths.withColumn("_lb", F.explode(F.sequence(F.lit(0), _block("length"))))
+    spread = spread.withColumnRenamed("doc_id", "_ld")
+    return a.join(spread, (F.col("doc_id") == F.col("_ld")) & (_block(column) == F.col("_lb"))).drop("_ld", "_lb")
+
+
 def of_length(a: DataFrame, low: int, high: int) -> DataFrame:
     return a.where((F.col("end_pos") - F.col("start_pos")).between(low, high))
 
@@ -173,27 +203,29 @@ def runs(a: DataFrame, low: int, high: int, size: int = 1) -> DataFrame:
     return starts.select("doc_id", "start_pos", F.explode(F.sequence(F.col("start_pos") + low, F.col("start_pos") + room)).alias("end_pos"))
 
 
-def repeat(a: DataFrame, low: int, high: int, steps: int = 1000) -> DataFrame:
+def repeat(a: DataFrame, low: int, high: int) -> DataFrame:
     """low to high hits of any length one after another. Captures of the last one stay.
 
-    Without an upper bound it goes on until a round finds nothing new; after `steps` rounds it raises rather than
-    leave hits out.
+    It goes on until a round finds nothing new, however many rounds that takes.
     """
     low = max(low, 1)
     if not captures(a) and high >= MANY:
-        return _closure(a, low, steps)
+        return _closure(a, low)
     current, found = a, [a] if low <= 1 else []
-    for n in range(2, min(high, steps) + 1):
+    n = 1
+    while n < high:
+        n += 1
         current = _then(current, a)
+        if high >= MANY or n > 6:
+            if n >= low and found:
+                current = current.subtract(either(found).select(*current.columns))  # what was found before has been gone on from
+            current = cut(current)
+            if current.isEmpty():
+                break
         if n >= low:
-            if high >= MANY or n > 6:
-                current = cut(current)
-                if current.isEmpty():
-                    break
             found.append(current)
-    else:
-        if high > steps:
-            raise RuntimeError(f"a repetition goes on after {steps} rounds")
+            if len(found) > 8:
+                found = [cut(either(found))]
     return either(found) if found else a.limit(0)
 
 
@@ -204,19 +236,19 @@ def _then(a: DataFrame, b: DataFrame) -> DataFrame:
     return distinct(joined.select("doc_id", "start_pos", F.col("_end_pos").alias("end_pos"), *[F.col(f"_{c}").alias(c) for c in captures(b)]))
 
 
-def _closure(a: DataFrame, low: int, steps: int) -> DataFrame:
-    """All chains of at least `low` hits: exact rounds up to `low`, then doubling of the distance covered."""
+def _closure(a: DataFrame, low: int) -> DataFrame:
+    """All chains of at least `low` hits: exact rounds up to `low`, then doubling of the distance covered until nothing is new."""
     a = cut(a.select(*KEYS))
     start = a
     for _ in range(low - 1):
         start = _then(start, a)
-    chains = a  # chains of 1 .. 2**k hits
-    for _ in range(steps):
-        new = cut(either([chains, _then(chains, chains)]))
-        if new.count() == chains.count():
-            break
-        chains = new
-    return either([start, _then(start, chains)])
+    chains, known = a, a.count()  # chains of 1 .. 2**k hits
+    while True:
+        longer = cut(either([chains, _then(chains, chains)]))
+        size = longer.count()
+        if size == known:
+            return either([start, _then(start, chains)])
+        chains, known = longer, size
 
 
 # -- conditions between intervals ------------------------------------------------------------------
@@ -279,7 +311,7 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
 def ngrams(by: DataFrame, operation: str, low: int, high: int, lengths: DataFrame) -> DataFrame:
     """All spans of low to high tokens that have the given place against a hit; made around the hits only."""
     low = max(low, 1)
-    rows = by.join(lengths, "doc_id").withColumnRenamed("start_pos", "fs").withColumnRenamed("end_pos", "fe")
+    rows = at_block(by, lengths, "start_pos").withColumnRenamed("start_pos", "fs").withColumnRenamed("end_pos", "fe")
     fs, fe, n = F.col("fs"), F.col("fe"), F.col("length")
     if operation in ("containing", "containing_at_end"):
         first, last = F.greatest(F.lit(0), fe - high), F.least(fs, n - low)

@@ -39,6 +39,8 @@ class Tables:
     lengths: DataFrame | None = None
     fields: dict[str, Tables] = field(default_factory=dict)
     name: str = "contents"
+    #: The classes of `relations`, where they are known.
+    relation_classes: tuple[str, ...] | None = None
     #: The tokens as stored, in which rows may be repeated. Conditions are checked there, so that they reach the scan, and
     #: only what matches is made distinct. Not needed where `tokens` itself is stored without repeats.
     stored: DataFrame | None = None
@@ -175,6 +177,9 @@ class Compiler:
         lengths = self.tables.length_table() if e.direction == "right" else None
         return sp.expand(self.hits(e.part), e.direction, e.low, e.high, lengths, n.extent(e.part).fixed)
 
+    def _extended(self, e: n.Extended) -> DataFrame:
+        return sp.extended(self.hits(e.base), self.hits(e.part), e.direction)
+
     def _capture(self, e: n.Capture) -> DataFrame:
         self.used.add(e.name)
         return sp.capture(self.hits(e.part), e.name)
@@ -258,7 +263,10 @@ class Compiler:
         return self.tables.relations
 
     def default_class(self) -> str:
-        """The first class by name but spans; `rel` without any. Found once per compiler."""
+        """The first class by name but spans; `rel` without any. Stored with the corpus, else looked for once per compiler."""
+        if self.relation_class is None and self.tables.relation_classes is not None:
+            named = sorted(c for c in self.tables.relation_classes if c and c != "__tag")
+            self.relation_class = named[0] if named else "rel"
         if self.relation_class is None:
             found = self.relations().where("rel_class <> '__tag'").agg(F.min("rel_class")).first()[0]
             self.relation_class = found or "rel"
@@ -299,10 +307,9 @@ class Compiler:
             if r.negated:
                 later.append(sp.uncovered(self.tables.tokens, hits.select(*sp.KEYS)))
                 continue
-            out = hits if out is None else sp.both(out, hits)
-            for other in names:  # children match different relations
-                out = out.where(F.col(f"c_{other}.rel_id") != F.col(f"c_{name}.rel_id"))
+            out = hits if out is None else rel.both_unique(out, hits, names, name)
             names.append(name)
+        out = rel.any_order(out, names)
         for free_tokens in later:
             out = free_tokens if out is None else sp.both(out, free_tokens)
         return out
@@ -333,8 +340,26 @@ class Compiler:
         return rel.capture_within(self.hits(e.part), self.relation_rows(e.type), e.capture, e.inside)
 
     def _call(self, e: n.Call) -> DataFrame:
+        if e.name == "rmatch" and len(e.arguments) > 1:
+            return self._matched(e.arguments)
         return self.hits(self.called(e))
 
+    def _matched(self, parts: tuple[Node, ...]) -> DataFrame:
+        """AND of relations: each part must match a relation of its own."""
+        out, names = None, []
+        for p in parts:
+            if isinstance(p, n.Default):
+                continue
+            hits = self.hits(p)
+            own = rel.relation_captures(hits)
+            name = own[-1].removeprefix("c_") if own else None
+            out = hits if out is None else rel.both_unique(out, hits, names, name) if name else sp.both(out, hits)
+            if name and name not in names:
+                names.append(name)
+        if out is None:
+            raise CompileError("rmatch: an argument is missing")
+        return rel.any_order(out, names)
+
     def called(self, e: n.Call) -> Node:
         """A function call as a tree; missing and `_` arguments take their defaults."""
         arguments = list(e.arguments)
@@ -358,7 +383,7 @@ class Compiler:
         if e.name == "rel":
             return n.RelationHits(text(0, ".*"), arguments[1] if given(1) else None, text(2, "source"), text(3, "") or None, text(4, "both"))
         if e.name == "rmatch":
-            return n.And(tuple(arguments)) if len(arguments) > 1 else pattern(0)
+            return pattern(0)
         if e.name == "rspan":
             return n.RelationSpan(pattern(0), text(1, "full"))
         if e.name == "rfield":

@@ -145,6 +145,8 @@ def repetition_to_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 hits_query("optional_parts", "'in' 'the'? [pos='JJ']? [pos='NN']", PRE + tok("i", is_word("in")) + tok("th", is_word("the")) + _AN + """, x AS (SELECT * FROM i UNION SELECT i.doc_id, i.s, th.e FROM i JOIN th ON i.doc_id = th.doc_id AND i.e = th.s),
  y AS (SELECT * FROM x UNION SELECT x.doc_id, x.s, a.e FROM x JOIN a ON x.doc_id = a.doc_id AND x.e = a.s), z AS (SELECT y.doc_id, y.s, b.e FROM y JOIN b ON y.doc_id = b.doc_id AND y.e = b.s)""" + out("z"))
+_OPT = ["the", "a", "an", "this", "that", "very", "so", "more", "most", "my", "his", "her"]
+hits_query("many_optional_parts", "'(in|of|to)' " + " ".join(f"'{w}'?" for w in _OPT) + " [pos='NN']", PRE + tok("i", _RE.format("in|of|to")) + ", x0 AS (SELECT * FROM i)" + "".join(f", o{k} AS (SELECT doc_id, pos FROM T WHERE {is_word(w)}), x{k + 1} AS (SELECT * FROM x{k} UNION SELECT x.doc_id, x.s, x.e + 1 FROM x{k} x JOIN o{k} o ON o.doc_id = x.doc_id AND o.pos = x.e)" for k, w in enumerate(_OPT)) + tok("b", "p = 'nn'") + f", z AS (SELECT x.doc_id, x.s, b.e FROM x{len(_OPT)} x JOIN b ON b.doc_id = x.doc_id AND b.s = x.e)" + out("z"))
 hits_query("expansion_right", "'kitchen' []{1,2}", PRE + tok("a", is_word("kitchen")) + ", c AS (SELECT a.doc_id, a.s, a.e + k AS e FROM a JOIN L USING (doc_id), (VALUES (1), (2)) v(k) WHERE a.e + k <= length)" + out("c"))
 hits_query("expansion_left", "[]{1,2} 'kitchen'", PRE + tok("a", is_word("kitchen")) + ", c AS (SELECT a.doc_id, a.s - k AS s, a.e FROM a, (VALUES (1), (2)) v(k) WHERE a.s >= k)" + out("c"))
 _PLACES = {
@@ -202,7 +204,7 @@ REL = PRE + """, N AS (SELECT doc_id, pos AS h FROM T WHERE a_pos LIKE 'NN%'), R
 
 def with_relations(spark: SparkSession, sf_dir: str) -> Tables:
     t = corpus(spark, sf_dir)
-    t.relations = derived_relations(t)
+    t.relations, t.relation_classes = derived_relations(t), ("dep",)
     return t
 
 
@@ -223,9 +225,18 @@ relation_query("relation_span_target", "rspan(_ -amod-> _, 'target')", REL + ",
 relation_query("relation_span_all", "rspan([pos='NN'] -amod-> _ ; -det-> _, 'all')", REL + ", c AS (SELECT a.doc_id, least(a.d, b.d) AS s, a.h + 1 AS e FROM R a JOIN R b ON a.doc_id = b.doc_id AND a.h = b.h JOIN T ON T.doc_id = a.doc_id AND pos = a.h WHERE a.rel_type = 'amod' AND b.rel_type = 'det' AND p = 'nn')" + out("c"))
 relation_query("relation_function", "rel('det', _, 'full', 'x', 'backward')", REL + ", c AS (SELECT doc_id, d AS s, h + 1 AS e FROM R WHERE rel_type = 'det')" + out("c"))
 relation_query("relation_match_function", "rmatch(rel('amod'), [pos='NN'])", REL + ", c AS (SELECT R.doc_id, h AS s, h + 1 AS e FROM R JOIN T ON T.doc_id = R.doc_id AND pos = h WHERE rel_type = 'amod' AND p = 'nn')" + out("c"))
+_TWO = "a JOIN R b ON a.doc_id = b.doc_id AND a.h = b.h AND a.rel_id <> b.rel_id"
+relation_query("rmatch_unique", "rmatch(rel('det'), rel('det'))", REL + f", c AS (SELECT a.doc_id, a.h AS s, a.h + 1 AS e FROM R {_TWO} WHERE a.rel_type = 'det' AND b.rel_type = 'det')" + out("c"))
 relation_query("adjusted_hits_setting", "@adjusthits=yes _ -det-> _", REL + ", c AS (SELECT doc_id, d AS s, h + 1 AS e FROM R WHERE rel_type = 'det')" + out("c"))
 
 
+@query("relation_sets", REL + f" SELECT doc_id, CAST(h AS INTEGER) AS start_pos, count(*) AS n FROM (SELECT DISTINCT a.doc_id, a.h, least(a.rel_id, b.rel_id) AS x, greatest(a.rel_id, b.rel_id) AS y FROM R {_TWO} WHERE NOT a.is_root AND NOT b.is_root) GROUP BY ALL")
+def relation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two children in either order are one hit."""
+    h = run("_ -.*-> _ ; -.*-> _", with_relations(spark, sf_dir))
+    return h.groupBy("doc_id", "start_pos").agg(F.count("*").alias("n"))
+
+
 @query("relations_captured_within", REL + ", c AS (SELECT S.doc_id, s, e, count(rel_id) AS n FROM (SELECT DISTINCT doc_id, s, e FROM S WHERE tag = 'entity') S LEFT JOIN R ON R.doc_id = S.doc_id AND least(h, d) >= s AND h + 1 <= e GROUP BY ALL) SELECT doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, n FROM c")
 def relations_captured_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = run("rcapture(<entity/>, 'rels')", with_relations(spark, sf_dir))
@@ -239,7 +250,9 @@ def relation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("relation_default_class", "SELECT 'dep' AS rel_class")
 def relation_default_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = Compiler(with_relations(spark, sf_dir)).default_class()
+    t = with_relations(spark, sf_dir)
+    t.relation_classes = None  # looked for in the relations themselves
+    name = Compiler(t).default_class()
     return spark.createDataFrame([(name,)], "rel_class string")
 
 
@@ -284,6 +297,21 @@ def alignment_other_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run("rfield([pos='JJ'] ==>up _, 'up')", parallel(spark, sf_dir)).select(*sp.KEYS).distinct()
 
 
+_BEST = """, h AS (SELECT DISTINCT doc_id, s, e FROM S WHERE tag = 's' AND e > s), rel AS (
+  SELECT h.doc_id, h.s, h.e, T.pos FROM h JOIN T ON T.doc_id = h.doc_id AND T.pos >= h.s AND T.pos < h.e WHERE a_pos LIKE 'NN%' OR a_pos = 'JJ'
+), tg AS (SELECT DISTINCT doc_id, s, e FROM S WHERE tag = 'u'), n AS (
+  SELECT rel.doc_id, rel.s, rel.e, tg.s AS ts, tg.e AS te, count(*) AS n FROM rel JOIN tg ON tg.doc_id = rel.doc_id AND rel.pos >= tg.s AND rel.pos < tg.e GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, s, e ORDER BY n DESC, te - ts, ts) AS r FROM n)
+SELECT doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, ts AS target_start, te AS target_end FROM r WHERE r = 1"""
+
+
+@query("alignment_best_target", PRE + _BEST)
+def alignment_best_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sentences aligned over many relations: of the utterances in the other version, the one that most of them touch."""
+    h = run("<s/> ==>up target:<u/>", parallel(spark, sf_dir))
+    return h.select(*sp.KEYS, F.col("c_target.start").alias("target_start"), F.col("c_target.end").alias("target_end")).distinct()
+
+
 # -- hits pipeline -----------------------------------------------------------------------------------
 
 _JN = PRE + ", h AS (SELECT a.doc_id, a.pos AS s, b.pos + 1 AS e, a.w || ' ' || b.w AS t FROM T a JOIN T b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.p = 'jj' AND b.p = 'nn')"
@@ -422,6 +450,23 @@ def group_by_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.group_hits(run("[pos='JJ'] n:[pos='NN']", t), t, "capture:word:i:n")
 
 
+group_query("group_by_context_open", "ctx:word:i:B1-;A3-", f"concat_ws(' ', nullif({_ctx_sql('h.s - 6', 'h.s', 'DESC')}, ''), nullif({_ctx_sql('h.e + 2', 'h.e + 6')}, '')) AS g0")
+
+
+@query("group_by_capture_outside", PRE + tok("a", "p = 'jj'") + """, f AS (SELECT a.doc_id, a.s, a.e, min(struct_pack(s := S.s, e := S.e)) AS around FROM a JOIN S ON S.doc_id = a.doc_id AND S.tag = 'entity' AND S.s <= a.s AND S.e >= a.e GROUP BY ALL),
+ h AS (SELECT doc_id, around.s AS s, around.e AS e FROM f), x AS (SELECT h.doc_id, """ + _ctx_sql("h.s", "h.e") + " AS g0 FROM h) SELECT g0, count(*) AS size, count(DISTINCT doc_id) AS docs FROM x GROUP BY 1")
+def group_by_capture_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the text of the span around the hit, most of which lies outside of it."""
+    t = corpus(spark, sf_dir)
+    return rs.group_hits(run("[pos='JJ'] within <entity/>", t), t, "capture:word:i:entity")
+
+
+@query("group_by_relation_target", REL + " SELECT t.w AS g0, coalesce(s.w, '') AS g1, count(*) AS size, count(DISTINCT R.doc_id) AS docs FROM R JOIN T t ON t.doc_id = R.doc_id AND t.pos = R.d JOIN T s ON s.doc_id = R.doc_id AND s.pos = R.h WHERE rel_type = 'amod' GROUP BY ALL")
+def group_by_relation_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = with_relations(spark, sf_dir)
+    return rs.group_hits(run("_ -amod-> _", t), t, "capture:word:i:amod:target,capture:word:i:amod:source")
+
+
 @query("group_with_stored_hits", _JN + ", r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS r FROM h) SELECT t AS g0, count(*) AS size, count(DISTINCT doc_id) AS docs, sum(s * 7 + e) FILTER (r <= 3) AS kept FROM r GROUP BY 1")
 def group_with_stored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, t = _jn(spark, sf_dir)
@@ -450,10 +495,33 @@ def view_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("token_frequencies_by_field", PRE + " SELECT w AS g0, coalesce(lang, '') AS g1, count(*) AS size, count(DISTINCT T.doc_id) AS docs FROM T LEFT JOIN D USING (doc_id) GROUP BY ALL")
 def token_frequencies_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any token, grouped by its text and a document's field: one grouping of the tokens, without a join of contexts."""
-    t, d = corpus(spark, sf_dir), tb.docs(spark, sf_dir)
-    rows = t.tokens.select("doc_id", rs.fold(F.col("word")).alias("g0")).groupBy("doc_id", "g0").agg(F.count("*").alias("n"))
-    meta = d.select("doc_id", pr.field_value(d, "lang").alias("g1"))
-    return rows.join(meta, "doc_id", "left").withColumn("g1", F.coalesce("g1", F.lit(""))).groupBy("g0", "g1").agg(F.sum("n").alias("size"), F.count("*").alias("docs"))
+    return _handle(spark, sf_dir).search("[]").group("hit:word:i,field:lang")
+
+
+@query("token_frequencies_in_filtered_documents", PRE + " SELECT l AS g0, D.doc_id AS g1, count(*) AS size, count(DISTINCT T.doc_id) AS docs FROM (SELECT doc_id, coalesce(l, '') AS l FROM T) T JOIN D USING (doc_id) WHERE lower(title) LIKE '%letter%' GROUP BY ALL")
+def token_frequencies_in_filtered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handle(spark, sf_dir).search("[]", "title:letter").group("hit:lemma:i,docid")
+
+
+@query("doc_groups_sorted", PRE + " SELECT coalesce(lang, '') AS g0, count(*) AS docs, CAST(coalesce(sum(coalesce(length_tokens, 0)), 0) AS BIGINT) AS tokens FROM D GROUP BY 1 ORDER BY docs DESC, g0 LIMIT 3")
+def doc_groups_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.window(rs.sort_groups(rs.group_docs(tb.docs(spark, sf_dir), "field:lang"), "size"), 0, 3)
+
+
+@query("doc_groups_by_identity", PRE + " SELECT coalesce(lang, '') AS g0, count(*) AS docs, CAST(coalesce(sum(coalesce(length_tokens, 0)), 0) AS BIGINT) AS tokens FROM D GROUP BY 1 ORDER BY g0 DESC LIMIT 4 OFFSET 1")
+def doc_groups_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.window(rs.sort_groups(rs.group_docs(tb.docs(spark, sf_dir), "field:lang"), "-identity"), 1, 4)
+
+
+@query("buckets_per_document", _JN + " SELECT doc_id, CAST(floor(s / 1024) AS INTEGER) AS block, count(*) AS n, min(s) AS first, max(s) AS last FROM h GROUP BY ALL")
+def buckets_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = sp.bucketed(_jn(spark, sf_dir)[0])
+    return b.select("doc_id", "block", F.size("hits").cast("bigint").alias("n"), F.element_at("hits", 1)["start_pos"].cast("bigint").alias("first"), F.element_at("hits", -1)["start_pos"].cast("bigint").alias("last"))
+
+
+@query("hits_of_the_same_span", PRE + " SELECT doc_id, s AS start_pos, e AS end_pos, count(*) AS hits FROM (SELECT DISTINCT doc_id, tag, s, e FROM S) GROUP BY ALL")
+def hits_of_the_same_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.same_span(tb.spans(spark, sf_dir).select("doc_id", "tag", *sp.KEYS[1:]).distinct())
 
 
 # -- documents and terms -----------------------------------------------------------------------------
@@ -540,6 +608,11 @@ def metadata_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.field_values(tb.docs(spark, sf_dir), "lang")
 
 
+@query("metadata_values_truncated", PRE + " SELECT title AS value, count(*) AS docs, true AS truncated FROM D WHERE title IS NOT NULL GROUP BY 1 ORDER BY docs DESC, value LIMIT 15")
+def metadata_values_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.field_values(tb.docs(spark, sf_dir), "title", 15)
+
+
 @query("annotation_values", PRE + " SELECT a_pos AS value, count(*) AS freq FROM T WHERE a_pos IS NOT NULL GROUP BY 1")
 def annotation_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.annotation_values(corpus(spark, sf_dir), "pos")

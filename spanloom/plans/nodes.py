@@ -122,6 +122,15 @@ class Expand(Node):
     high: int
 
 
+@dataclass(frozen=True)
+class Extended(Node):
+    """Hits of base as they are, and those with a hit of part on one side; direction: left or right."""
+
+    base: Node
+    part: Node
+    direction: str = "right"
+
+
 @dataclass(frozen=True)
 class Capture(Node):
     name: str
@@ -416,6 +425,9 @@ def extent(n: Node) -> Extent:
     if isinstance(n, Expand):
         e = extent(n.part)
         return Extent(e.low, _plus(e.high, n.high))
+    if isinstance(n, Extended):
+        e = extent(n.base)
+        return Extent(e.low, _plus(e.high, extent(n.part).high))
     if isinstance(n, OfLength):
         e = extent(n.part)
         return Extent(max(e.low, n.low), min(e.high, n.high))

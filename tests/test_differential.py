@@ -6,6 +6,7 @@ from itertools import product
 import pytest
 
 from spanloom.plans import nodes as n
+from spanloom.plans import rewrite
 from spanloom.plans.compiler import Compiler, Tables
 from spanloom.plans.rewrite import can_skip, normalise
 
@@ -88,7 +89,9 @@ def has_skips_inside(e: n.Node) -> bool:
 
 
 @pytest.mark.parametrize("seed", range(24))
-def test_random_patterns(t, seed):
+@pytest.mark.parametrize("few", [rewrite.FEW_OPTIONAL, 0])
+def test_random_patterns(t, seed, few, monkeypatch):
+    monkeypatch.setattr(rewrite, "FEW_OPTIONAL", few)  # with 0, optional parts are put on one by one
     r = random.Random(seed)
     pattern = random_pattern(r, 2)
     while has_skips_inside(pattern):

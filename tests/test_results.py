@@ -164,3 +164,17 @@ def test_spans_helpers(spark):
     assert {(r.start_pos, r.hits) for r in sp.same_span(a).collect()} == {(0, 2), (5, 1)}
     assert [len(r.hits) for r in sp.bucketed(a).collect()] == [3]
     assert at(sp.in_order(a)) == [(1, 0), (1, 0), (1, 5)]
+
+
+def test_large_samples_are_taken_by_threshold(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("start_pos"), F.lit(1).alias("end_pos"))
+    small = [rs.sample(df, n, seed=3).collect() for n in (0, 1, 700, 5000, 9000)]
+    monkeypatch.setattr(rs, "SMALL_SAMPLE", -1)
+    assert [rs.sample(df, n, seed=3).collect() for n in (0, 1, 700, 5000, 9000)] == small
+    assert [len(x) for x in small] == [0, 1, 700, 5000, 5000]
+
+
+def test_frequent_values_say_whether_there_are_more(spark):
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate("aaabbcd")], "doc_id int, f string")
+    assert [(r.value, r.docs, r.truncated) for r in rs.field_values(docs, "f", 2).orderBy("value").collect()] == [("a", 3, True), ("b", 2, True)]
+    assert {r.truncated for r in rs.field_values(docs, "f", 4).collect()} == {False} and rs.field_values(docs, "f").count() == 4
