@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
+from dataclasses import field as made
 from typing import Any
 
 
@@ -17,6 +18,11 @@ class Annotation:
     sensitivity: str = "sensitive_insensitive"
     sub: tuple[Annotation, ...] = ()
     map: tuple[tuple[str, str], ...] = ()
+    #: Each element at this path gives an annotation, named by `name_path`.
+    for_each: str = ""
+    name_path: str = ""
+    #: Whether it is seen in contexts, sorts and groups, and not just searched.
+    forward_index: bool = True
 
 
 @dataclass(frozen=True)
@@ -49,6 +55,24 @@ class InlineTag:
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     name: str = ""
+    #: Attributes of the span beside those of the element: name and path.
+    extra: tuple[tuple[str, str], ...] = ()
+    #: The path of an id by which standoff annotations refer to the token behind the tag.
+    token_id: str = ""
+
+
+@dataclass(frozen=True)
+class Linked:
+    """A file of metadata that each document names. values: paths in the document or names of its metadata fields, put for $1, $2 ... in `file`."""
+
+    name: str
+    file: str
+    format: str
+    values: tuple[str, ...] = ()
+    fields: tuple[str, ...] = ()
+    document: str = ""
+    missing: str = "fail"
+    store: bool = False
 
 
 @dataclass(frozen=True)
@@ -80,7 +104,11 @@ class Format:
     metadata: tuple[MetadataField, ...] = ()
     #: Tables: separator, quote, header, inline_tags, glue_tags, multiple_separator.
     options: tuple[tuple[str, Any], ...] = ()
-    extra: dict = field(default_factory=dict, compare=False)
+    extra: dict = made(default_factory=dict, compare=False)
+    field: str = "contents"
+    #: Other annotated fields of the same documents, as formats of their own.
+    further: tuple[Format, ...] = ()
+    linked: tuple[Linked, ...] = ()
 
     def option(self, name: str, default: Any = None) -> Any:
         return dict(self.options).get(name, default)
@@ -96,17 +124,37 @@ class FormatError(ValueError):
 def _annotation(d: dict) -> Annotation:
     sub = d.get("subannotations", d.get("subAnnotations", []))
     return Annotation(
-        d["name"], str(d.get("valuePath", d.get("value", ""))), tuple(d.get("process", ())), bool(d.get("multipleValues", False)),
+        d.get("name", ""), str(d.get("valuePath", d.get("value", ""))), tuple(d.get("process", ())), bool(d.get("multipleValues", False)),
         d.get("sensitivity", "sensitive_insensitive"), tuple(_annotation(s) for s in sub), tuple(sorted(d.get("mapValues", {}).items())),
+        d.get("forEachPath", ""), d.get("namePath", ""), bool(d.get("forwardIndex", True)),
     )
 
 
 def from_dict(name: str, d: dict) -> Format:
     """A format from the keys that descriptor files use."""
     fields = d.get("annotatedFields") or {"contents": {}}
-    if len(fields) != 1:
-        raise FormatError("one annotated field per descriptor; load parallel versions with one descriptor each")
-    (f,) = fields.values()
+    metadata = d.get("metadata", {})
+    blocks = metadata if isinstance(metadata, list) else [metadata]
+    fields_ = []
+    for b in blocks:
+        base = b.get("containerPath", "")
+        for m in b.get("fields", []):
+            path = m.get("valuePath", "")
+            fields_.append(MetadataField(m.get("name", ""), f"{base}/{path}" if base and path and path != "." else base or path, tuple(m.get("process", ())), m.get("forEachPath", ""), m.get("namePath", ""), m.get("type", "tokenized"), m.get("unknownCondition", "never").lower(), m.get("unknownValue", "unknown")))
+    options = tuple(sorted(d.get("fileTypeOptions", {}).items()))
+    linked = []
+    for link, x in d.get("linkedDocuments", {}).items():
+        values = x.get("linkValues", [])
+        linked.append(Linked(link, x["inputFile"], x.get("inputFormat", "cmdi"), tuple(v.get("valuePath", "") for v in values), tuple(v.get("valueField", "") for v in values), x.get("documentPath", ""), x.get("ifLinkPathMissing", "fail").lower(), bool(x.get("store", False))))
+    known = {m.value for m in fields_}
+    for link in linked:  # values that are no metadata of their own
+        fields_ += [MetadataField(f"_link_{link.name}_{i}", v) for i, v in enumerate(link.values) if v and v not in known]
+    forms = [_field(name, d, field_name, f) for field_name, f in fields.items()]
+    return replace(forms[0], options=options, metadata=tuple(fields_), extra=d.get("corpusConfig", {}), further=tuple(forms[1:]), linked=tuple(linked))
+
+
+def _field(name: str, d: dict, field_name: str, f: dict) -> Format:
+    """The part of a format that describes one annotated field."""
     standoff = []
     for s in f.get("standoffAnnotations", []):
         kind = s.get("type") or ("relation" if "targetPath" in s else "span" if "spanStartPath" in s else "token")
@@ -116,20 +164,13 @@ def from_dict(name: str, d: dict) -> Format:
                 s.get("spanNamePath", s.get("valuePath", "")), s.get("sourcePath", ""), s.get("targetPath", ""), s.get("relationClass", "rel"), tuple(_annotation(a) for a in s.get("annotations", [])),
             )
         )
-    metadata = d.get("metadata", {})
-    blocks = metadata if isinstance(metadata, list) else [metadata]
-    fields_ = []
-    for b in blocks:
-        base = b.get("containerPath", "")
-        for m in b.get("fields", []):
-            path = m.get("valuePath", "")
-            fields_.append(MetadataField(m.get("name", ""), f"{base}/{path}" if base and path and path != "." else base or path, tuple(m.get("process", ())), m.get("forEachPath", ""), m.get("namePath", ""), m.get("type", "tokenized"), m.get("unknownCondition", "never").lower(), m.get("unknownValue", "unknown")))
-    options = d.get("fileTypeOptions", {})
+    tags = []
+    for t in f.get("inlineTags", []):
+        extra = tuple((a["name"], a["valuePath"]) for a in t.get("attributes", t.get("extraAttributes", [])))
+        tags.append(InlineTag(t["path"], tuple(t.get("includeAttributes", ())), tuple(t.get("excludeAttributes", ())), t.get("displayAs", ""), extra, t.get("tokenIdPath", t.get("tokenPositionIdPath", ""))))
     return Format(
         name, d.get("fileType", "xml"), d.get("displayName", name), d.get("documentPath", "."), f.get("containerPath", "."), f.get("wordPath", ".//w"), f.get("punctPath", ""),
-        f.get("tokenIdPath", f.get("tokenPositionIdPath", "")), tuple(_annotation(a) for a in f.get("annotations", [{"name": "word", "valuePath": "."}])),
-        tuple(InlineTag(t["path"], tuple(t.get("includeAttributes", ())), tuple(t.get("excludeAttributes", ())), t.get("displayAs", "")) for t in f.get("inlineTags", [])),
-        tuple(standoff), tuple(fields_), tuple(sorted(options.items())), d.get("corpusConfig", {}),
+        f.get("tokenIdPath", f.get("tokenPositionIdPath", "")), tuple(_annotation(a) for a in f.get("annotations", [{"name": "word", "valuePath": "."}])), tuple(tags), tuple(standoff), field=field_name,
     )
 
 
@@ -145,7 +186,7 @@ def _simple(name: str, file_type: str, annotations: dict[str, str], **more: Any)
 
 _THREE = {"word": "word", "lemma": "lemma", "pos": "pos"}
 
-#: The formats that are known by name.
+#: The formats that are known by name. Column numbers, paths and names in them are fixed values of the formats.
 BUNDLED: dict[str, Format] = {
     f.name: f
     for f in (
@@ -155,6 +196,7 @@ BUNDLED: dict[str, Format] = {
         _simple("tsv-frog", "tabular", {"word": "2", "lemma": "3", "morph": "4", "pos": "5", "chunk": "8"}, options=(("header", False), ("separator", "\t"))),
         _simple("sketch-wpl", "tabular", {"word": "1", "pos": "2", "lemma": "3"}, options=(("header", False), ("separator", "\t"), ("inline_tags", True), ("glue_tags", True), ("document_tag", "doc"))),
         _simple("conll-u", "conll-u", {"word": "2", "lemma": "3", "pos": "4", "xpos": "5", "feats": "6"}),
+        _simple("commands", "commands", {"word": "word", "lemma": "lemma"}),
         _simple("chat", "chat", {"word": "word", "pos": "pos", "lemma": "lemma"}),
         _simple("tei-p5", "xml", {"word": ".", "lemma": "@lemma", "pos": "@pos|@type|@ana"}, document="//TEI", container=".//text", word=".//w|.//pc", token_id="@id", inline_tags=tuple(InlineTag(f".//{t}") for t in ("p", "s", "head", "u", "ab")), metadata=(MetadataField("title", ".//titleStmt/title"), MetadataField("author", ".//titleStmt/author"), MetadataField("pid", ".//publicationStmt/idno"))),
         _simple("tei-p4", "xml", {"word": ".", "lemma": "@lemma", "pos": "@type|@function"}, document="//TEI.2", container=".//text", word=".//w", inline_tags=tuple(InlineTag(f".//{t}") for t in ("p", "s", "head")), metadata=(MetadataField("title", ".//titleStmt/title"), MetadataField("author", ".//titleStmt/author"))),

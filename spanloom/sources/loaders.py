@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import os
+import re
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,14 +18,14 @@ from spanloom.functions import process
 from spanloom.plans.compiler import Tables
 from spanloom.session import importable
 from spanloom.sources import parsers
-from spanloom.sources.descriptor import BUNDLED, Format, FormatError
+from spanloom.sources.descriptor import BUNDLED, Annotation, Format, FormatError, Linked
 
 _VALUES = "map<string,array<string>>"
 DOCUMENT = (
-    "path string, doc_no int, error string, metadata map<string,array<string>>, raw string, "
+    "path string, doc_no int, field string, error string, metadata map<string,array<string>>, raw string, "
     f"tokens array<struct<pos:int,`values`:{_VALUES},punct:string,char_start:int,char_end:int>>, "
     "spans array<struct<tag:string,start_pos:int,end_pos:int,attrs:map<string,string>>>, "
-    "relations array<struct<rel_class:string,rel_type:string,src_start:int,src_end:int,tgt_start:int,tgt_end:int,attrs:map<string,string>>>"
+    "relations array<struct<rel_class:string,rel_type:string,src_start:int,src_end:int,tgt_start:int,tgt_end:int,attrs:map<string,string>,tgt_field:string>>"
 )
 FORMATS: dict[str, Format] = dict(BUNDLED)
 #: Stages that change a file's text before it is parsed, by name: converters and taggers.
@@ -38,25 +40,69 @@ def register_converter(name: str, f: Callable[[str], str]) -> None:
     CONVERTERS[name] = f
 
 
+ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".gz")
+
+
 def members(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     """The files in an archive, archives in archives too; any other file is its own member."""
+    return _members(path, io.BytesIO(data)) if path.lower().endswith(ARCHIVES) else iter([(path, data)])
+
+
+def _members(path: str, stream) -> Iterator[tuple[str, bytes]]:
+    """The files of an open archive, one at a time."""
     low = path.lower()
     if low.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(stream) as z:
             for i in z.infolist():
                 if not i.is_dir():
                     yield from members(f"{path}/{i.filename}", z.read(i))
     elif low.endswith((".tar", ".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        with tarfile.open(fileobj=stream, mode="r|*") as t:
             for i in t:
                 if i.isfile() and (f := t.extractfile(i)):
                     yield from members(f"{path}/{i.name}", f.read())
-    elif low.endswith(".gz"):
-        import gzip
-
-        yield path[:-3], gzip.decompress(data)
     else:
-        yield path, data
+        with gzip.open(stream) as f:
+            yield path[:-3], f.read()
+
+
+def _open(path: str):
+    """A file that tasks can reach, by its URL."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:/*", "/", path))
+    return system.open_input_file(inner)
+
+
+#: Bytes of members that leave a task at once.
+AT_ONCE = 32 << 20
+
+
+def expanded(archives: DataFrame) -> DataFrame:
+    """archives: path. The files in them as path and content, spread over all tasks. Archives are read as streams, of whatever size; one
+    that can't be read gives a row with a null content and its path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, contents, held = [], [], 0
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    with _open(path) as f:
+                        for name, data in _members(path, f):
+                            names.append(name)
+                            contents.append(data)
+                            held += len(data)
+                            if held > AT_ONCE:
+                                yield flush()
+                                names, contents, held = [], [], 0
+                except Exception:  # noqa: BLE001  one bad archive must not stop the load
+                    names.append(path)
+                    contents.append(None)
+        yield flush()
+
+    members_ = archives.select("path").mapInArrow(run, "path string, content binary")
+    return members_.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def decode(data: bytes) -> str:
@@ -70,8 +116,6 @@ def decode(data: bytes) -> str:
 
 def resolve_includes(text: str, folder: str, read: Callable[[str], str], depth: int = 8) -> str:
     """Replaces `<xi:include href="..."/>` by the files' contents without their XML declarations."""
-    import re
-
     if depth == 0:
         raise FormatError("includes go too deep")
 
@@ -83,17 +127,28 @@ def resolve_includes(text: str, folder: str, read: Callable[[str], str], depth:
     return re.sub(r"<(?:\w+:)?include\s[^>]*href=[\"']([^\"']+)[\"'][^>]*?(?:/>|>\s*</(?:\w+:)?include>)", put, text)
 
 
+_INCLUDE = re.compile(r"<(?:\w+:)?include\s")
+
+
+def _read_beside(path: str) -> str:
+    with _open(path) as f:
+        return decode(f.read())
+
+
 def _record(path: str, no: int, d: parsers.Document) -> dict:
     return {
-        "path": path, "doc_no": no, "error": None, "metadata": list(d.metadata.items()), "raw": d.raw,
+        "path": path, "doc_no": no, "field": d.field, "error": None, "metadata": list(d.metadata.items()), "raw": d.raw,
         "tokens": [{"pos": i, "values": list(v.items()), "punct": p, "char_start": a, "char_end": z} for i, (v, p, a, z) in enumerate(d.tokens)],
         "spans": [{"tag": t, "start_pos": s, "end_pos": e, "attrs": list(a.items())} for t, s, e, a in d.spans],
-        "relations": [{"rel_class": c, "rel_type": t, "src_start": s, "src_end": e, "tgt_start": ts, "tgt_end": te, "attrs": list(a.items())} for c, t, s, e, ts, te, a in d.relations],
+        "relations": [{"rel_class": c, "rel_type": t, "src_start": s, "src_end": e, "tgt_start": ts, "tgt_end": te, "attrs": list(a.items()), "tgt_field": other[0] if other else None} for c, t, s, e, ts, te, a, *other in d.relations],
     }
 
 
 def documents(files: DataFrame, form: Format, converter: str = "none") -> DataFrame:
-    """files: path, content (binary). One row per document; a file that can't be parsed gives one row with its error."""
+    """files: path, content (binary). One row per document and annotated field; a file that can't be parsed gives one row with its error.
+
+    Files that XML includes are read from beside it.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -106,10 +161,18 @@ def documents(files: DataFrame, form: Format, converter: str = "none") -> DataFr
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = []
                 try:
-                    for name, inner in members(path, data or b""):
-                        out += [_record(name, i, d) for i, d in enumerate(parsers.parse(convert(decode(inner)), form))]
+                    if data is None:
+                        raise FormatError("it can't be read")
+                    for name, inner in members(path, data):
+                        text = convert(decode(inner))
+                        if form.file_type == "xml" and _INCLUDE.search(text):
+                            text = resolve_includes(text, os.path.dirname(name), _read_beside)
+                        no = -1
+                        for d in parsers.parse(text, form):
+                            no += not d.further
+                            out.append(_record(name, no, d))
                 except Exception as e:  # noqa: BLE001  one bad file must not stop the load
-                    out.append({"path": path, "doc_no": -1, "error": f"{type(e).__name__}: {e}"[:500]} | {k: [] for k in ("metadata", "tokens", "spans", "relations")} | {"raw": None})
+                    out.append({"path": path, "doc_no": -1, "field": form.field, "error": f"{type(e).__name__}: {e}"[:500]} | {k: [] for k in ("metadata", "tokens", "spans", "relations")} | {"raw": None})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
@@ -117,8 +180,11 @@ def documents(files: DataFrame, form: Format, converter: str = "none") -> DataFr
 
 
 def read_files(spark: SparkSession, path: str | list[str], glob: str = "*", recursive: bool = True) -> DataFrame:
-    """Files of folders as path and content, read by the tasks."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path).select("path", "content")
+    """Files of folders as path and content, read by the tasks, and those in archives."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
+    packed = F.lower("path").rlike(r"\.(zip|tar|tgz|gz)$")
+    # contents of archives aren't read here, so they may be of any size
+    return found.where(~packed).select("path", "content").unionByName(expanded(found.where(packed).select("path")))
 
 
 class Loaded:
@@ -132,8 +198,8 @@ class Loaded:
         return self.parsed.where("error IS NOT NULL").select("path", "error")
 
     def docs(self) -> DataFrame:
-        good = self.parsed.where("error IS NULL")
-        fields = [m for m in self.form.metadata if m.name]
+        good = self.parsed.where((F.col("error").isNull()) & (F.col("field") == self.form.field))
+        fields = [m for m in self.form.metadata if m.name and not m.name.startswith("_link_")]
         own = [F.try_element_at("metadata", F.lit(m.name)) for m in fields]
         cols = []
         for m, values in zip(fields, own):
@@ -142,14 +208,29 @@ class Loaded:
             cols.append(process.unknown(v, m.unknown_condition, m.unknown_value).alias(m.name))
         names = {m.name for m in fields}
         pid = [] if "pid" in names else [F.coalesce(F.try_element_at(F.try_element_at("metadata", F.lit("pid")), F.lit(1)), F.concat_ws("#", "path", "doc_no")).alias("pid")]
-        return good.select("doc_id", *pid, *cols, "metadata", F.size("tokens").alias("length_tokens"), "raw")
-
-    def tokens(self) -> DataFrame:
-        rows = self.parsed.select("doc_id", F.explode("tokens").alias("t"))
+        return good.select("doc_id", *pid, *cols, "metadata", F.size("tokens").alias("length_tokens"), "raw", "path")
+
+    def _form(self, field: str | None) -> Format:
+        return next(f for f in (self.form, *self.form.further) if field in (None, f.field))
+
+    def _rows(self, field: str | None) -> DataFrame:
+        return self.parsed.where(F.col("field") == self._form(field).field)
+
+    def annotations(self, field: str | None = None) -> dict[str, Annotation]:
+        """The annotations of a field: those of the format, and those that are named in the files, of which there may be MOST_NAMED."""
+        form = self._form(field)
+        named = {n: a for n, a in form.all_annotations() if n} | {a.name: a for s in form.standoff if s.kind == "token" for a in s.annotations}
+        if any(a.for_each for _, a in form.all_annotations()):
+            keys = self._rows(field).select(F.explode("tokens").alias("t")).select(F.explode(F.map_keys("t.values")).alias("k")).distinct().limit(MOST_NAMED + 1).collect()
+            if len(keys) > MOST_NAMED:
+                raise FormatError(f"more than {MOST_NAMED} annotations")
+            named |= {k: Annotation(k) for k in sorted(r["k"] for r in keys) if k not in named}
+        return named
+
+    def tokens(self, field: str | None = None) -> DataFrame:
+        rows = self._rows(field).select("doc_id", F.explode("tokens").alias("t"))
         cols = []
-        names = [(n, a) for n, a in self.form.all_annotations()]
-        names += [(a.name, a) for s in self.form.standoff if s.kind == "token" for a in s.annotations]
-        for name, a in dict(names).items():
+        for name, a in self.annotations(field).items():
             values = F.try_element_at("t.values", F.lit(name))
             if a.process:
                 values = _processed(values, list(a.process))
@@ -157,20 +238,30 @@ class Loaded:
             cols += [F.try_element_at(values, F.lit(1)).alias(column), F.when(F.size(values) > 1, values).alias(f"{column}_all")]
         return rows.select("doc_id", "t.pos", *cols, F.col("t.punct").alias("punct"), "t.char_start", "t.char_end")
 
-    def spans(self) -> DataFrame:
-        return self.parsed.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    def spans(self, field: str | None = None) -> DataFrame:
+        return self._rows(field).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
 
-    def relations(self, field: str = "contents") -> DataFrame:
-        rows = self.parsed.select("doc_id", F.posexplode("relations").alias("rel_no", "r"))
+    def relations(self, field: str | None = None) -> DataFrame:
+        own = self._form(field).field
+        rows = self._rows(field).select("doc_id", F.posexplode("relations").alias("rel_no", "r"))
         root = F.col("r.src_start").isNull()
         return rows.select(
-            "doc_id", F.lit(field).alias("field"), F.xxhash64("doc_id", "rel_no").alias("rel_id"), "r.rel_class", "r.rel_type", F.transform_values("r.attrs", lambda k, v: F.array(v)).alias("attrs"), root.alias("is_root"),
-            F.coalesce("r.src_start", "r.tgt_start").alias("src_start"), F.coalesce("r.src_end", "r.tgt_end").alias("src_end"), F.lit(field).alias("tgt_field"), "r.tgt_start", "r.tgt_end",
+            "doc_id", F.lit(own).alias("field"), F.xxhash64("doc_id", F.lit(own), "rel_no").alias("rel_id"), "r.rel_class", "r.rel_type", F.transform_values("r.attrs", lambda k, v: F.array(v)).alias("attrs"), root.alias("is_root"),
+            F.coalesce("r.src_start", "r.tgt_start").alias("src_start"), F.coalesce("r.src_end", "r.tgt_end").alias("src_end"), F.coalesce("r.tgt_field", F.lit(own)).alias("tgt_field"), "r.tgt_start", "r.tgt_end",
         )
 
-    def tables(self) -> Tables:
-        names = list(dict.fromkeys([n for n, _ in self.form.all_annotations()] + [a.name for s in self.form.standoff if s.kind == "token" for a in s.annotations]))
-        return Tables(self.tokens(), self.spans(), self.relations(), {n: "a_pos" if n == "pos" else n for n in names} | {"punct": "punct"})
+    def tables(self, field: str | None = None) -> Tables:
+        """The tables to search in, those of the other annotated fields beside them."""
+        form = self._form(field)
+        names = self.annotations(field)
+        out = Tables(self.tokens(field), self.spans(field), self.relations(field), {n: "a_pos" if n == "pos" else n for n, a in names.items() if a.forward_index} | {"punct": "punct"}, name=form.field)
+        if field is None:
+            out.fields = {f.field: self.tables(f.field) for f in self.form.further}
+        return out
+
+
+#: Annotations whose names come from the files.
+MOST_NAMED = 1000
 
 
 def _processed(values, steps: list[dict]):
@@ -184,7 +275,46 @@ def load(spark: SparkSession, path: str | list[str], form: str | Format, glob: s
         if form not in FORMATS:
             raise FormatError(f"unknown format {form}")
         form = FORMATS[form]
-    return Loaded(documents(read_files(spark, path, glob), form, converter), form)
+    files = read_files(spark, path, glob)
+    parsed = documents(files, form, converter)
+    for link in form.linked:
+        parsed = with_linked(parsed, form, link)
+    return Loaded(parsed, form)
+
+
+def with_linked(parsed: DataFrame, form: Format, link: Linked) -> DataFrame:
+    """Adds the metadata of the files that documents name to theirs; fields that both have keep the document's own values.
+
+    A link's value is a field of the document's metadata, by `valueField` or as a metadata field of the value's path. The folder that all the linked files
+    are in is read by the tasks and joined by path. Of a file of several documents, that whose `pid` is the first value is taken, if there is one.
+    A document whose link has no value or no file is an error unless the descriptor says to ignore it.
+    """
+    spark = parsed.sparkSession
+    first = link.file.partition("$")[0]
+    folder = first.rpartition("/")[0] or "."
+    linked_form = FORMATS.get(link.format)
+    if linked_form is None:
+        raise FormatError(f"unknown format {link.format}")
+    paths_ = {m.value: m.name for m in form.metadata if m.name}
+    keys = [f or paths_.get(v) for f, v in zip(link.fields, link.values)]
+    if None in keys:
+        raise FormatError("a link's value must be a field of the metadata")
+    values = [F.try_element_at(F.try_element_at("metadata", F.lit(k)), F.lit(1)) for k in keys]
+    target: object = F.lit(link.file)
+    for i, v in enumerate(values, 1):
+        target = F.replace(target, F.lit(f"${i}"), v)
+    bare = lambda c: F.regexp_replace(c, r"^(file:)?/*", "")
+    others = documents(read_files(spark, folder), linked_form).where("error IS NULL")
+    known = others.select(bare("path").alias("_link"), F.try_element_at(F.try_element_at("metadata", F.lit("pid")), F.lit(1)).alias("_pid"), F.col("metadata").alias("_theirs"))
+    if not link.document:
+        known = known.dropDuplicates(["_link"])
+    joined = parsed.withColumn("_to", bare(target)).join(known, F.col("_to") == F.col("_link"), "left")
+    several = joined.where(F.col("_pid").isNull() | (F.col("_pid") == values[0]) | F.col("_link").isNull()) if link.document else joined
+    lost = F.col("error").isNull() & F.col("_theirs").isNull() & F.lit(link.missing == "fail") & (F.col("field") == form.field)
+    own = F.map_filter("_theirs", lambda k, v: ~F.array_contains(F.map_keys("metadata"), k))
+    merged = F.when(F.col("_theirs").isNotNull(), F.map_concat("metadata", own)).otherwise(F.col("metadata"))
+    out = several.withColumn("metadata", merged).withColumn("error", F.when(lost, F.concat(F.lit("linked file missing: "), F.coalesce("_to", F.lit("no value")))).otherwise(F.col("error")))
+    return out.select(*parsed.columns)
 
 
 def link_metadata(docs: DataFrame, other: DataFrame, on: str, key: str) -> DataFrame:

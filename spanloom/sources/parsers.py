@@ -14,14 +14,18 @@ from spanloom.sources.descriptor import Format, FormatError
 
 @dataclass
 class Document:
-    """What one document gives. tokens: (values by annotation, punct, char_start, char_end); spans: (tag, start, end, attributes);
-    relations: (class, type, source start, source end or None for roots, target start, end, attributes)."""
+    """What one document gives in one annotated field. tokens: (values by annotation, punct, char_start, char_end in `raw`); spans: (tag, start, end,
+    attributes); relations: (class, type, source start, source end or None for roots, target start, end, attributes) and, where the target
+    lies in another field, that field's name. Fields of one document follow each other; the first one has the metadata and the original."""
 
     metadata: dict[str, list[str]] = field(default_factory=dict)
     tokens: list[tuple[dict[str, list[str]], str, int | None, int | None]] = field(default_factory=list)
     spans: list[tuple[str, int, int, dict[str, str]]] = field(default_factory=list)
-    relations: list[tuple[str, str, int | None, int | None, int, int, dict[str, str]]] = field(default_factory=list)
+    relations: list[tuple] = field(default_factory=list)
     raw: str = ""
+    field: str = "contents"
+    #: Whether it is another field of the document before it.
+    further: bool = False
 
     def word(self, values: dict[str, list[str]], punct: str = " ", start: int | None = None, end: int | None = None) -> int:
         self.tokens.append((values, punct, start, end))
@@ -71,13 +75,8 @@ def tabular(text: str, form: Format) -> Iterator[Document]:
     header = form.option("header", form.option("columnNames", False))
     several = form.option("multiple_separator", form.option("multipleValuesSeparator", ";"))
     doc_tag = form.option("document_tag", form.option("documentTag"))
-    d, columns, stack, glue, any_row = Document(raw=text), None, [], False, False
-    reader: Iterator[list[str]]
-    if tags:
-        reader = ([line] if _TAG.match(line.strip()) else next(csv.reader([line], delimiter=separator, quotechar=quote)) for line in text.splitlines() if line.strip())
-    else:
-        reader = csv.reader(io.StringIO(text), delimiter=separator, quotechar=quote)
-    for row in reader:
+    d, columns, stack, glue, any_row, begin = Document(raw=text), None, [], False, False, 0
+    for row, first, behind in _rows(text, separator, quote, bool(tags)):
         if not row or row == [""]:
             continue
         m = _TAG.match(row[0].strip()) if tags and len(row) == 1 else None
@@ -87,10 +86,11 @@ def tabular(text: str, form: Format) -> Iterator[Document]:
                 glue = True
             elif name == doc_tag:
                 if closing:
+                    d.raw = text[begin:behind]
                     yield d
                     d, any_row = Document(), False
                 else:
-                    d = Document(metadata={k: [v] for k, v in _attributes(attributes).items()})
+                    d, begin = Document(metadata={k: [v] for k, v in _attributes(attributes).items()}), first
             elif empty:
                 d.spans.append((name, len(d.tokens), len(d.tokens), _attributes(attributes)))
             elif closing:
@@ -110,28 +110,49 @@ def tabular(text: str, form: Format) -> Iterator[Document]:
             at = int(a.value) - 1 if a.value.isdigit() else (columns or {}).get(a.value, -1)
             if 0 <= at < len(row):
                 values[name] = [v for v in re.split(several, row[at]) if v] if a.multiple else [row[at]]
-        d.word(values, "" if glue or not d.tokens else " ")
+        d.word(values, "" if glue or not d.tokens else " ", first - begin, behind - begin)
         glue, any_row = False, True
     if any_row or not doc_tag:
+        d.raw = d.raw or text[begin:]
         yield d
 
 
+def _rows(text: str, separator: str, quote: str, tagged: bool) -> Iterator[tuple[list[str], int, int]]:
+    """Rows with the characters they take up, without the line's end. A quoted cell may hold line ends, but not beside lines with tags."""
+    lines = text.splitlines(keepends=True)
+    at = [0]
+    for line in lines:
+        at.append(at[-1] + len(line))
+    end = lambda i: at[i + 1] - (len(lines[i]) - len(lines[i].rstrip("\r\n")))
+    if tagged:
+        for i, line in enumerate(lines):
+            if line.strip():
+                yield [line.strip()] if _TAG.match(line.strip()) else next(csv.reader([line.rstrip("\r\n")], delimiter=separator, quotechar=quote)), at[i], end(i)
+        return
+    reader = csv.reader(lines, delimiter=separator, quotechar=quote)
+    before = 0
+    for row in reader:
+        yield row, at[before], end(reader.line_num - 1)
+        before = reader.line_num
+
+
 @parser("conll-u")
 def conllu(text: str, form: Format) -> Iterator[Document]:
     """A treebank: sentences become spans `s`, HEAD and DEPREL relations of class `dep`; a head of 0 is a root relation."""
-    d, rows, comments = Document(raw=text), [], {}
+    d, rows, comments, begin = Document(raw=text), [], {}, 0
+    places: list[tuple[int, int]] = []
 
     def flush() -> None:
         nonlocal rows, comments
         if rows:
             first = len(d.tokens)
             at = {}
-            for cells in rows:
+            for cells, (a_, z_) in zip(rows, places):
                 if "-" in cells[0] or "." in cells[0]:
                     continue
                 values = {n: [cells[int(a.value) - 1]] for n, a in form.all_annotations() if a.value.isdigit() and int(a.value) <= len(cells) and cells[int(a.value) - 1] != "_"}
                 before = d.tokens and not glued.get(len(d.tokens) - 1)
-                at[cells[0]] = d.word(values, " " if before else "")
+                at[cells[0]] = d.word(values, " " if before else "", a_ - begin, z_ - begin)
                 if len(cells) > 9 and "SpaceAfter=No" in cells[9].split("|"):
                     glued[at[cells[0]]] = True
             for cells in rows:
@@ -144,9 +165,12 @@ def conllu(text: str, form: Format) -> Iterator[Document]:
                         d.relations.append(("dep", cells[7], source, source + 1, target, target + 1, {}))
             d.spans.append(("s", first, len(d.tokens), {k: v for k, v in comments.items() if k in ("sent_id", "text")}))
         rows, comments = [], {}
+        places.clear()
 
     glued: dict[int, bool] = {}
-    for line in text.splitlines():
+    behind = 0
+    for whole in text.splitlines(keepends=True):
+        first, behind, line = behind, behind + len(whole), whole.rstrip("\r\n")
         if not line.strip():
             flush()
         elif line.startswith("#"):
@@ -154,22 +178,25 @@ def conllu(text: str, form: Format) -> Iterator[Document]:
             if key.strip() == "newdoc id" or key.strip() == "newdoc":
                 flush()
                 if d.tokens:
+                    d.raw = text[begin:first]
                     yield d
-                d, glued = Document(), {}
+                d, glued, begin = Document(), {}, first
                 if value.strip():
                     d.metadata["pid"] = [value.strip()]
             else:
                 comments[key.strip()] = value.strip()
         else:
             rows.append(line.split("\t"))
+            places.append((first, first + len(line)))
     flush()
+    d.raw = text[begin:]
     yield d
 
 
 @parser("chat")
 def chat(text: str, form: Format) -> Iterator[Document]:
     """A transcript: `@` headers are metadata, `*SPK:` lines utterances (spans `u`), `%mor:` lines their parts of speech and lemmas."""
-    d, lines = Document(raw=text), []
+    d, lines, place = Document(raw=text), [], 0
     for line in text.splitlines():
         if line.startswith("\t") and lines:
             lines[-1] += " " + line.strip()
@@ -189,8 +216,11 @@ def chat(text: str, form: Format) -> Iterator[Document]:
         elif line.startswith("*"):
             who, _, said = line[1:].partition(":")
             start = len(d.tokens)
+            place = max(place, text.find(line[:20], place))
             for w in chat_words(said):
-                d.word({"word": [w]}, " " if d.tokens else "")
+                found = text.find(w, place)  # a replaced form is found where it is written
+                d.word({"word": [w]}, " " if d.tokens else "", *((found, found + len(w)) if found >= 0 else (None, None)))
+                place = found + len(w) if found >= 0 else place
             d.spans.append(("u", start, len(d.tokens), {"who": who, **{k: v for k, v in speakers.get(who, {}).items() if v}}))
             last = (start, len(d.tokens))
         elif line.startswith("%mor:") and last:
@@ -224,11 +254,27 @@ def xml(text: str, form: Format) -> Iterator[Document]:
     tree = paths.parse(text)
     documents = tree.find(tree.root, form.document) if form.document != "." else [tree.root]
     for root in documents:
-        yield xml_document(tree, root, form)
+        yield from xml_document(tree, root, form)
+
+
+def xml_document(tree: paths.Tree, root, form: Format) -> Iterator[Document]:
+    """A document for each annotated field; tokens of all are known before standoff annotations refer to them."""
+    begin, stop = (0, len(tree.text)) if form.document == "." else tree.place(root)
+    found = []
+    for i, f in enumerate((form, *form.further)):
+        d = Document(field=f.field, further=i > 0)
+        found.append((f, d, _xml_tokens(tree, root, f, d, begin or 0)))
+    everywhere = {d.field: ids for _, d, ids in found}
+    for f, d, ids in found:
+        _xml_standoff(tree, root, f, d, ids, everywhere)
+    first = found[0][1]
+    first.metadata, first.raw = xml_metadata(tree, root, form), tree.text[begin or 0 : stop]
+    for _, d, _ in found:
+        yield d
 
 
-def xml_document(tree: paths.Tree, root, form: Format) -> Document:
-    d = Document()
+def _xml_tokens(tree: paths.Tree, root, form: Format, d: Document, begin: int) -> dict[str, int]:
+    """Fills tokens and inline spans and gives the position of each token id and anchor."""
     containers = tree.find(root, form.container)
     ids: dict[str, int] = {}
     for c in containers:
@@ -247,12 +293,8 @@ def xml_document(tree: paths.Tree, root, form: Format) -> Document:
                 if id(x) in words:
                     e = words[id(x)]
                     before = re.sub(r"\s+", " ", "".join(pending))
-                    values = {}
-                    for name, a in form.all_annotations():
-                        found = tree.values(e, a.value) if a.multiple else [v for v in [tree.value(e, a.value)] if v is not None]
-                        if found:
-                            values[name] = [dict(a.map).get(v, v) for v in found]
-                    at = d.word(values, before if before.strip() or not d.tokens else before or " ")
+                    first, behind = tree.place(e)
+                    at = d.word(_values(tree, e, form), before if before.strip() or not d.tokens else before or " ", *((first - begin, behind - begin) if first is not None else (None, None)))
                     pending = []
                     inside += 1
                     for m in marks:
@@ -266,7 +308,10 @@ def xml_document(tree: paths.Tree, root, form: Format) -> Document:
                 for t, elements in tags:
                     if id(x) in elements:
                         attributes = {paths.local(k): v for k, v in x.attrib.items() if (not t.include or paths.local(k) in t.include) and paths.local(k) not in t.exclude}
+                        attributes |= {k: v for k, path in t.extra if (v := tree.value(x, path)) is not None}
                         open_tags[id(x)] = (t.name or paths.local(x.tag), len(d.tokens) - (1 if id(x) in words else 0), attributes)
+                        if t.token_id and (ref := tree.value(x, t.token_id)):
+                            marks.append(ref)
                 if paths.local(x.tag) == "anchor":
                     marks += [v for k, v in x.attrib.items() if paths.local(k) in ("synch", "id")]
             else:
@@ -277,6 +322,26 @@ def xml_document(tree: paths.Tree, root, form: Format) -> Document:
                     d.spans.append((tag, start, len(d.tokens), attributes))
         for m in marks:  # an anchor after the last token stands for the end
             ids.setdefault(m, len(d.tokens))
+    return ids
+
+
+def _values(tree: paths.Tree, e, form: Format) -> dict[str, list[str]]:
+    """The values of a word's annotations; an annotation for each element of a path has its name from there."""
+    values: dict[str, list[str]] = {}
+    for name, a in form.all_annotations():
+        if a.for_each:
+            for x in tree.find(e, a.for_each):
+                own, value = tree.value(x, a.name_path), tree.value(x, a.value)
+                if own and value is not None:
+                    values.setdefault(own, []).append(dict(a.map).get(value, value))
+            continue
+        found = tree.values(e, a.value) if a.multiple else [v for v in [tree.value(e, a.value)] if v is not None]
+        if found:
+            values[name] = [dict(a.map).get(v, v) for v in found]
+    return values
+
+
+def _xml_standoff(tree: paths.Tree, root, form: Format, d: Document, ids: dict[str, int], everywhere: dict[str, dict[str, int]]) -> None:
     ref = lambda s: ids.get((s or "").lstrip("#"))
     for s in form.standoff:
         for e in tree.find(root, s.path):
@@ -298,15 +363,16 @@ def xml_document(tree: paths.Tree, root, form: Format) -> Document:
                 attributes = {a.name: v for a in s.annotations if (v := tree.value(e, a.value)) is not None}
                 d.spans.append((tree.value(e, s.name) or "span" if s.name else "span", start, stop, attributes))
             else:
-                target = ref(tree.value(e, s.target))
+                target, other = ref(wanted := tree.value(e, s.target)), d.field
+                if target is None:  # a token of another version of the text
+                    key = (wanted or "").lstrip("#")
+                    other, target = next(((name, known[key]) for name, known in everywhere.items() if key in known), (d.field, None))
                 source = ref(tree.value(e, s.source)) if s.source else None
-                if target is None:
+                if target is None or s.source and source is None:
                     continue
                 attributes = {a.name: v for a in s.annotations if (v := tree.value(e, a.value)) is not None}
                 kind = tree.value(e, s.name) or "rel" if s.name else "rel"
-                d.relations.append((s.relation_class, kind, source, None if source is None else source + 1, target, target + 1, attributes))
-    d.metadata = xml_metadata(tree, root, form)
-    return d
+                d.relations.append((s.relation_class, kind, source, None if source is None else source + 1, target, target + 1, attributes, *([other] if other != d.field else [])))
 
 
 def _token_ids(tree: paths.Tree, root, form: Format) -> set[str]:
@@ -338,3 +404,45 @@ def metadata_only(text: str, form: Format) -> Iterator[Document]:
     tree = paths.parse(text)
     for root in tree.find(tree.root, form.document) if form.document != "." else [tree.root]:
         yield Document(metadata=xml_metadata(tree, root, form), raw=text)
+
+
+@parser("commands")
+def commands(text: str, form: Format) -> Iterator[Document]:
+    """One instruction a line: DOC_START, METADATA name value, FIELD_START name, VAL annotation value, ADVANCE n, SPAN type start end, FIELD_END, DOC_END.
+
+    What stands behind `#` is a comment. An unknown instruction is an error.
+    """
+    d: Document | None = None
+    values: dict[str, list[str]] = {}
+    begin = at = behind = 0
+    for whole in text.splitlines(keepends=True):
+        first, behind = behind, behind + len(whole)
+        words = whole.split("#", 1)[0].split(None, 2)
+        if not words:
+            continue
+        name, rest = words[0], whole.split("#", 1)[0].split(None, 1)[1].strip() if len(words) > 1 else ""
+        if name == "DOC_START":
+            d, begin = Document(), first
+        elif d is None:
+            raise FormatError(f"{name} outside of a document")
+        elif name == "DOC_END":
+            d.raw = text[begin:behind]
+            yield d
+            d = None
+        elif name == "METADATA":
+            d.metadata.setdefault(words[1], []).append(words[2].strip() if len(words) > 2 else "")
+        elif name == "FIELD_START":
+            d.field, values, at = words[1], {}, first
+        elif name == "VAL":
+            values.setdefault(words[1], []).append(words[2].strip() if len(words) > 2 else "")
+        elif name in ("ADVANCE", "FIELD_END"):
+            if values:
+                d.word(values, " " if d.tokens else "", at - begin, first - begin)
+                values, at = {}, behind
+            for _ in range(int(rest or 1) - 1 if name == "ADVANCE" else 0):
+                d.word({}, " ")
+        elif name == "SPAN":
+            tag, start, end = rest.split()
+            d.spans.append((tag, int(start), int(end), {}))
+        else:
+            raise FormatError(f"unknown instruction {name}")

@@ -151,3 +151,91 @@ def test_offsets(spark):
     df = spark.createDataFrame([(1, "Ab, cd!"), (2, ""), (3, None)], "doc_id int, text string")
     rows = [tuple(r) for r in text.tokens_with_offsets(df, "doc_id", "text").collect()]
     assert rows == [(1, 0, "Ab", "", 0, 2), (1, 1, "cd", ", ", 4, 6)]
+
+
+def test_originals_and_offsets():
+    """A token's characters in the document's original are its own, in every format."""
+    text = '<a>\n<doc pid="1"><w l="é">Ä é</w> <w>b</w></doc><doc pid="2"><s><w>c&amp;</w></s></doc></a>'
+    docs = parsers.parse(text, descriptor.BUNDLED["testformat"])
+    assert [d.raw for d in docs] == ['<doc pid="1"><w l="é">Ä é</w> <w>b</w></doc>', '<doc pid="2"><s><w>c&amp;</w></s></doc>']
+    assert [d.raw[a:z] for d in docs for _, _, a, z in d.tokens] == ['<w l="é">Ä é</w>', "<w>b</w>", "<w>c&amp;</w>"]
+    a, b = parsers.parse(CONLLU, descriptor.BUNDLED["conll-u"])
+    assert a.raw + b.raw == CONLLU and b.raw.startswith("# newdoc id = d2")
+    assert [a.raw[x:z].split("\t")[1] for _, _, x, z in a.tokens] == ["The", "dog", "barks", "."]
+    x, y = parsers.parse('<doc id="x">\nDon\tVB\tdo\n</doc>\n<doc id="y">\nA\tDT\ta\n</doc>', descriptor.BUNDLED["sketch-wpl"])
+    assert x.raw == '<doc id="x">\nDon\tVB\tdo\n</doc>' and y.raw == '<doc id="y">\nA\tDT\ta\n</doc>' and [y.raw[p:q] for _, _, p, q in y.tokens] == ["A\tDT\ta"]
+    t = parsers.parse('word\tlemma\tpos\r\nThe\tthe\tDT\r\n"do\nor"\tdog\tNN\r\n', descriptor.BUNDLED["tsv"])[0]
+    assert [t.raw[p:q] for _, _, p, q in t.tokens] == ["The\tthe\tDT", '"do\nor"\tdog\tNN']
+    c = parsers.parse("@Begin\n*CHI:\tI want want dat [: that] .\n", descriptor.BUNDLED["chat"])[0]
+    assert [c.raw[p:q] for _, _, p, q in c.tokens] == ["I", "want", "want", "that"]
+
+
+def test_commands():
+    text = "# all\nDOC_START\n METADATA title A test # here\n FIELD_START contents\n VAL word The\n VAL lemma the\n ADVANCE 1\n VAL word fox\n ADVANCE 2\n VAL word jumps\n SPAN ne 0 2\n FIELD_END\nDOC_END\n"
+    (d,) = parsers.parse(text, descriptor.BUNDLED["commands"])
+    assert [t[0] for t in d.tokens] == [{"word": ["The"], "lemma": ["the"]}, {"word": ["fox"]}, {}, {"word": ["jumps"]}] and d.spans == [("ne", 0, 2, {})] and d.metadata == {"title": ["A test"]}
+    with pytest.raises(descriptor.FormatError):
+        parsers.parse("DOC_START\nJUMP 1\n", descriptor.BUNDLED["commands"])
+
+
+PARALLEL = {
+    "documentPath": "//doc", "metadata": {"fields": [{"name": "pid", "valuePath": "@id"}]},
+    "annotatedFields": {
+        "contents__en": {"containerPath": "en", "wordPath": ".//w", "tokenIdPath": "@id", "annotations": [{"name": "word", "valuePath": "."}, {"forEachPath": "f", "namePath": "@n", "valuePath": "@v"}],
+         "inlineTags": [{"path": ".//s", "extraAttributes": [{"name": "words", "valuePath": "count(w)"}]}], "standoffAnnotations": [{"path": "al", "type": "relation", "sourcePath": "@a", "targetPath": "@b", "relationClass": "al", "valuePath": "@t"}]},
+        "contents__nl": {"containerPath": "nl", "wordPath": ".//w", "tokenIdPath": "@id", "annotations": [{"name": "word", "valuePath": "."}]},
+    },
+}
+
+
+def test_parallel_fields(spark, tmp_path):
+    (tmp_path / "p.xml").write_text('<r><doc id="d"><en><s><w id="e1">the</w><w id="e2">cat<f n="num" v="sg"/></w></s></en><nl><w id="n1">de</w><w id="n2">kat</w></nl><al a="e2" b="n2" t="word"/></doc></r>')
+    form = descriptor.from_dict("parallel", PARALLEL)
+    loaded = loaders.load(spark, str(tmp_path), form)
+    assert loaded.errors().count() == 0 and [(r.pid, r.length_tokens) for r in loaded.docs().collect()] == [("d", 2)]
+    c = Corpus(loaded.tables(), loaded.docs())
+    assert c.search("'cat' ==>nl 'kat'").frame.count() == 1 and c.search("'the' ==>nl 'kat'").frame.count() == 0
+    assert c.search("[num='sg']").frame.count() == 1 and c.search("<s words='2'/>").frame.count() == 1
+    assert [r.word for r in loaded.tokens("contents__nl").orderBy("pos").collect()] == ["de", "kat"]
+
+
+def test_linked_documents_and_includes(spark, tmp_path):
+    (tmp_path / "in").mkdir(), (tmp_path / "meta").mkdir(), (tmp_path / "parts").mkdir()
+    (tmp_path / "parts/body.xml").write_text("<?xml version='1.0'?><s><w>in</w><w>here</w></s>")
+    for i in (1, 2, 3):
+        (tmp_path / f"in/{i}.xml").write_text(f'<doc pid="d{i}"><ext id="m{i}"/><xi:include xmlns:xi="http://www.w3.org/2001/XInclude" href="../parts/body.xml"/></doc>')
+    for i in (1, 2):
+        (tmp_path / f"meta/m{i}.xml").write_text(f"<CMD><Components><speaker>S{i}</speaker><pid>no</pid></Components></CMD>")
+    base = {"documentPath": "//doc", "annotatedFields": {"contents": {"wordPath": ".//w"}}, "metadata": {"fields": [{"name": "pid", "valuePath": "@pid"}, {"name": "speaker", "valuePath": "none"}]}}
+    link = {"linkValues": [{"valuePath": "ext/@id"}], "inputFile": f"{tmp_path}/meta/$1.xml", "inputFormat": "cmdi"}
+    loaded = loaders.load(spark, str(tmp_path / "in"), descriptor.from_dict("x", base | {"linkedDocuments": {"metadata": link | {"ifLinkPathMissing": "ignore"}}}))
+    rows = {r.pid: r for r in loaded.docs().collect()}
+    assert {p: r.speaker for p, r in rows.items()} == {"d1": "S1", "d2": "S2", "d3": None} and all(r.length_tokens == 2 for r in rows.values())
+    strict = loaders.load(spark, str(tmp_path / "in"), descriptor.from_dict("x", base | {"linkedDocuments": {"metadata": link}}))
+    assert strict.docs().count() == 2 and "m3.xml" in strict.errors().first().error
+
+
+def test_archives_are_spread(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("deep.txt", "deep words here")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(20):
+            z.writestr(f"f{i}.txt", f"word {i}")
+        z.writestr("b.zip", inner.getvalue())
+    (tmp_path / "plain.txt").write_text("plain words")
+    (tmp_path / "broken.zip").write_bytes(b"PK no archive")
+    loaded = loaders.load(spark, str(tmp_path), "txt")
+    assert loaded.docs().count() == 22 and loaded.errors().count() == 1
+    assert loaders.read_files(spark, str(tmp_path)).where("path LIKE '%.zip/%'").rdd.glom().filter(len).count() > 1
+
+
+def test_snippets_from_xml_originals(spark, tmp_path):
+    (tmp_path / "x.xml").write_text('<doc pid="d"><s><w l="the">The</w> <w>old</w>, <w>cat</w> <w>sat</w></s></doc>')
+    loaded = loaders.load(spark, str(tmp_path), "testformat")
+    t = loaded.tables()
+    from spanloom.operators import results as rs
+    from spanloom.plans.compiler import run
+
+    s = rs.snippet(loaded.docs(), run("'old'", t), t, 1, 1).first().snippet
+    assert s == '<w l="the">The</w> <w>old</w>, <w>cat</w>'
