@@ -629,7 +629,7 @@ def plain_text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("doc_id", "word").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"))
 
 
-_STEPS = """SELECT doc_id, regexp_replace(title, 'the', 'THE', 'g') AS replaced, coalesce(nullif(trim(title), ''), 'unknown') AS defaulted, concat_ws('-', nullif(lang, ''), pid) AS appended,
+_STEPS = """SELECT doc_id, regexp_replace(title, 'the', 'THE', 'g') AS replaced, coalesce(nullif(trim(title), ''), 'unknown') AS defaulted, CASE WHEN pid IS NULL THEN lang ELSE concat_ws('-', pid, nullif(lang, '')) END AS appended,
  split_part(title, ' ', 1) AS first_word, regexp_replace(title, '^[ lt]+|[ lt]+$', '', 'g') AS stripped, CASE lang WHEN 'en' THEN 'English' WHEN 'nl' THEN 'Dutch' ELSE lang END AS mapped FROM D"""
 
 
@@ -641,7 +641,7 @@ def value_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         one("title", {"action": "replace", "find": "the", "replace": "THE"}).alias("replaced"),
         process.apply(F.trim("title"), [{"action": "default", "value": "unknown"}], d).alias("defaulted"),
-        F.concat_ws("-", F.nullif(F.col("lang"), F.lit("")), F.col("pid")).alias("appended"),
+        one("pid", {"action": "append", "field": "lang", "separator": "-"}).alias("appended"),
         one("title", {"action": "split", "separator": " "}).alias("first_word"),
         one("title", {"action": "strip", "chars": " lt"}).alias("stripped"),
         process.map_values(F.col("lang"), {"en": "English", "nl": "Dutch"}).alias("mapped"),

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.operators import results
-from spanloom.plans import core_queries, corpus_queries
+from spanloom.plans import core_queries, corpus_queries, source_queries
 from spanloom.plans.compiler import run
 
 
 def queries() -> dict:
-    return core_queries.QUERIES | corpus_queries.QUERIES
+    return core_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return core_queries.SQL | corpus_queries.SQL
+    return core_queries.SQL | source_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

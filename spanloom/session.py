@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -71,6 +72,13 @@ def cut(df: DataFrame) -> DataFrame:
     return held
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder, deleted like a checkpoint."""
+    path = f"{ensure_checkpoint_dir(spark)}/written-{uuid.uuid4()}"
+    _kept.append((spark, path))
+    return path
+
+
 def release(since: int = 0) -> int:
     """Deletes checkpoints and says how many. DataFrames that read them can't be run any more."""
     gone = 0

@@ -139,8 +139,9 @@ def from_dict(name: str, d: dict) -> Format:
     for b in blocks:
         base = b.get("containerPath", "")
         for m in b.get("fields", []):
-            path = m.get("valuePath", "")
-            fields_.append(MetadataField(m.get("name", ""), f"{base}/{path}" if base and path and path != "." else base or path, tuple(m.get("process", ())), m.get("forEachPath", ""), m.get("namePath", ""), m.get("type", "tokenized"), m.get("unknownCondition", "never").lower(), m.get("unknownValue", "unknown")))
+            path, each = m.get("valuePath", ""), m.get("forEachPath", "")
+            below = lambda p: f"{base}/{p}" if base and p and p != "." else base or p  # noqa: B023, E731
+            fields_.append(MetadataField(m.get("name", ""), path if each else below(path), tuple(m.get("process", ())), below(each) if each else "", m.get("namePath", ""), m.get("type", "tokenized"), m.get("unknownCondition", "never").lower(), m.get("unknownValue", "unknown")))
     options = tuple(sorted(d.get("fileTypeOptions", {}).items()))
     linked = []
     for link, x in d.get("linkedDocuments", {}).items():

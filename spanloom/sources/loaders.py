@@ -188,10 +188,11 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str = "*", recu
 
 
 class Loaded:
-    """The flat tables of parsed documents. The parse is cached while the tables are used; write them to keep them."""
+    """The flat tables of parsed documents. With `keep` the parse is cached while the tables are used; write them to keep them."""
 
-    def __init__(self, parsed: DataFrame, form: Format):
-        self.parsed = parsed.withColumn("doc_id", F.xxhash64("path", "doc_no")).cache()
+    def __init__(self, parsed: DataFrame, form: Format, keep: bool = True):
+        numbered = parsed.withColumn("doc_id", F.xxhash64("path", "doc_no"))
+        self.parsed = numbered.cache() if keep else numbered
         self.form = form
 
     def errors(self) -> DataFrame:

@@ -49,6 +49,11 @@ def parse(text: str, form: Format) -> list[Document]:
     return list(PARSERS[form.file_type](text, form))
 
 
+def _lines(text: str) -> list[str]:
+    """Lines with their ends, which are those of files: other signs that separate lines belong to the values."""
+    return list(io.StringIO(text, newline=""))
+
+
 @parser("text")
 def plain(text: str, form: Format) -> Iterator[Document]:
     d, last = Document(raw=text), 0
@@ -119,7 +124,7 @@ def tabular(text: str, form: Format) -> Iterator[Document]:
 
 def _rows(text: str, separator: str, quote: str, tagged: bool) -> Iterator[tuple[list[str], int, int]]:
     """Rows with the characters they take up, without the line's end. A quoted cell may hold line ends, but not beside lines with tags."""
-    lines = text.splitlines(keepends=True)
+    lines = _lines(text)
     at = [0]
     for line in lines:
         at.append(at[-1] + len(line))
@@ -169,7 +174,7 @@ def conllu(text: str, form: Format) -> Iterator[Document]:
 
     glued: dict[int, bool] = {}
     behind = 0
-    for whole in text.splitlines(keepends=True):
+    for whole in _lines(text):
         first, behind, line = behind, behind + len(whole), whole.rstrip("\r\n")
         if not line.strip():
             flush()
@@ -197,7 +202,7 @@ def conllu(text: str, form: Format) -> Iterator[Document]:
 def chat(text: str, form: Format) -> Iterator[Document]:
     """A transcript: `@` headers are metadata, `*SPK:` lines utterances (spans `u`), `%mor:` lines their parts of speech and lemmas."""
     d, lines, place = Document(raw=text), [], 0
-    for line in text.splitlines():
+    for line in (x.rstrip("\r\n") for x in _lines(text)):
         if line.startswith("\t") and lines:
             lines[-1] += " " + line.strip()
         elif line.strip():
@@ -415,7 +420,7 @@ def commands(text: str, form: Format) -> Iterator[Document]:
     d: Document | None = None
     values: dict[str, list[str]] = {}
     begin = at = behind = 0
-    for whole in text.splitlines(keepends=True):
+    for whole in _lines(text):
         first, behind = behind, behind + len(whole)
         words = whole.split("#", 1)[0].split(None, 2)
         if not words:
