@@ -113,6 +113,9 @@ hits_query("tag_leading_edge", "<u>", PRE + ", a AS (SELECT doc_id, s, s AS e FR
 hits_query("tag_trailing_edge", "</u>", PRE + ", a AS (SELECT doc_id, e AS s, e FROM S WHERE tag = 'u')" + out("a"))
 hits_query("hit_edge", n.Edge(n.Repeat(n.Is("pos", n.Value("NN", "literal")), 2, 2), True), PRE + ", a AS (SELECT x.doc_id, y.pos + 1 AS s, y.pos + 1 AS e FROM T x JOIN T y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE x.p = 'nn' AND y.p = 'nn')" + out("a"))
 
+hits_query("literal_string", 'l"kitchen"', PRE + tok("a", is_word("kitchen")) + out("a"))
+hits_query("flags_without_effect", "'the' %cd", PRE + tok("a", is_word("the")) + out("a"))
+
 # -- span algebra ------------------------------------------------------------------------------------
 
 _AN = tok("a", "p = 'jj'") + tok("b", "p = 'nn'")
@@ -176,6 +179,7 @@ hits_query("hit_length", n.OfLength(n.Tag("u"), 3, 6), PRE + ", c AS (SELECT doc
 _AB = ", c AS (SELECT a.doc_id, a.pos AS s, b.pos + 1 AS e, a.w AS aw, b.w AS bw, a.l AS al, b.l AS bl FROM T a JOIN T m ON a.doc_id = m.doc_id AND m.pos = a.pos + 1 JOIN T b ON b.doc_id = a.doc_id AND b.pos = a.pos + 2 WHERE m.p = 'cc')"
 hits_query("constraint_equal", "a:[] [pos='CC'] b:[] :: a.word = b.word", PRE + _AB + out("(SELECT * FROM c WHERE aw = bw)"))
 hits_query("constraint_compare", "a:[] [pos='CC'] b:[] :: a.lemma < b.lemma & !(b.word = 'the')", PRE + _AB + out("(SELECT * FROM c WHERE coalesce(al < bl, false) AND NOT coalesce(bw = 'the', false))"))
+hits_query("constraint_or", "a:[] [pos='CC'] b:[] :: a.word = b.word | b.lemma = 'the'", PRE + _AB + out("(SELECT * FROM c WHERE coalesce(aw = bw, false) OR coalesce(bl = 'the', false))"))
 hits_query("constraint_implication", "(c:'the')? a:[pos='JJ'] b:[pos='NN'] :: c -> a.word < b.word", PRE + ", x AS (SELECT a.doc_id, a.pos AS s, b.pos + 1 AS e, a.w AS aw, b.w AS bw FROM T a JOIN T b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.p = 'jj' AND b.p = 'nn'), c AS (SELECT doc_id, s, e FROM x UNION ALL SELECT x.doc_id, x.s - 1, e FROM x JOIN T ON T.doc_id = x.doc_id AND T.pos = x.s - 1 WHERE list_contains(ws, 'the') AND aw < bw)" + out("c"))
 hits_query("constraint_position", "a:[pos='NN'] []{0,5} b:[pos='NN'] :: start(b) > end(a) & a.word = b.word", PRE + ", c AS (SELECT a.doc_id, a.pos AS s, b.pos + 1 AS e FROM T a JOIN T b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 2 AND a.pos + 6 WHERE a.p = 'nn' AND b.p = 'nn' AND a.w = b.w)" + out("c"))
 
@@ -671,6 +675,22 @@ def pattern_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(from_json(to_json(parse("'the' [pos='NN']"))), corpus(spark, sf_dir)).select(*sp.KEYS).distinct()
 
 
+@query("pattern_from_text", PRE + _AN + ", c AS (SELECT a.doc_id, a.s, b.e FROM a JOIN b ON a.doc_id = b.doc_id AND b.s BETWEEN a.e + 1 AND a.e + 2)" + out("c"))
+def pattern_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern written as text again, and that parsed."""
+    from spanloom.plans.parser import parse
+    from spanloom.plans.serialise import to_text
+
+    return run(to_text(parse("[pos='JJ'] []{1,2} [pos='NN']")), corpus(spark, sf_dir)).select(*sp.KEYS).distinct()
+
+
+@query("first_hits", PRE + tok("a", is_word("the")) + " SELECT CAST(50 AS BIGINT) AS rows, count(*) > 50 AS more FROM a")
+def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit on hits and whether it was reached."""
+    some, more = rs.limited(run("'the'", corpus(spark, sf_dir)), 50)
+    return some.agg(F.count("*").alias("rows"), F.lit(more).alias("more"))
+
+
 def _handle(spark: SparkSession, sf_dir: str):
     from spanloom.corpus import Corpus
 

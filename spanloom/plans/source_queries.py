@@ -104,6 +104,12 @@ def load_tagged_lines_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(x, x.spans()).select("doc_id", "tag", "start_pos", "end_pos", F.col("attrs")["n"].alias("n"))
 
 
+@query("tags_by_range", _TENS + "SELECT doc_id, CAST(i * 10 AS INTEGER) AS start_pos, CAST(least(i * 10 + 10, m + 1) AS INTEGER) AS end_pos FROM M, unnest(range(CAST(m // 10 + 1 AS BIGINT))) q(i) WHERE i BETWEEN 2 AND 12")
+def tags_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _tagged(spark, sf_dir)
+    return named(x, run("<s n=in[2,12]/>", x.tables())).select(*sp.KEYS)
+
+
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;"))
 
 
