@@ -111,6 +111,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its source's name appended, encoded by going on from the text's own table."""
+    return tokenizer.encode_edited(table(spark, sf_dir, "documents"), "doc_id", "text", "length(text)", "0", "concat(' -- ', coalesce(source, 'no source'))")
+
+
+def p6_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with five characters of its middle replaced, of which only what is near is encoded again."""
+    return tokenizer.encode_edited(table(spark, sf_dir, "documents"), "doc_id", "text", "length(text) div 2", "5", "'an edit '")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return mixed.report.where("is_short").select("source")
@@ -206,6 +216,8 @@ QUERIES = {
     "p5_all_pairs": p5_all_pairs,
     "p5_document_pairs": p5_document_pairs,
     "p6_ids": p6_ids,
+    "p6_appended": p6_appended,
+    "p6_edited": p6_edited,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_margins": p7_margins,

@@ -286,14 +286,29 @@ class Encoder:
 
 @dataclass
 class EditableText:
-    """A text with its pieces and their tables, for exact appends and re-encoding near edits."""
+    """A text with its pieces and the tables of those that were edited, for exact appends and re-encoding near edits."""
 
     encoder: Encoder
     pieces: list[str] = field(default_factory=list)
-    tables: list[list[int]] = field(default_factory=list)
-    #: Pieces encoded since the start; shows that an edit costs what is near it.
+    #: A piece's table is made when an edit goes on from it.
+    tables: list[list[int] | None] = field(default_factory=list)
+    #: Pieces encoded by edits; shows that an edit costs what is near it.
     encoded: int = 0
 
+    @staticmethod
+    def of(encoder: Encoder, texts: pa.Array) -> Iterator[EditableText]:
+        """The texts of an array, all cut at once."""
+        cps, offs = cp.from_arrow(texts)
+        if len(cps) == 0:
+            yield from (EditableText(encoder) for _ in range(len(texts)))
+            return
+        bounds, first = cut_pieces(cps, offs)
+        data = cps.tobytes().decode("utf-32-le").encode("utf-8")
+        at = cp.byte_offsets(cps)[bounds]
+        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)).to_pylist()
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield EditableText(encoder, pieces[a:b], [None] * (b - a))
+
     #: A boundary depends on what follows by no more than this many pieces.
     REACH = 3
 
@@ -302,13 +317,14 @@ class EditableText:
         bounds, _ = cut_pieces(cps, offs)
         return [text[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
-    def _table(self, piece: str, old: tuple[str, list[int]] | None) -> list[int]:
+    def _table(self, piece: str, old: tuple[str, list[int] | None] | None) -> list[int]:
         """Goes on from an old piece's table, as far as the bytes agree."""
         data, table = piece.encode(), [-1]
         if old is not None:
             was = old[0].encode()
             same = next((i for i, (x, y) in enumerate(zip(data, was)) if x != y), min(len(data), len(was)))
-            table = old[1][: same + 1]
+            # without a table of the old piece, that of the common start is made now
+            table = old[1][: same + 1] if old[1] is not None else self.encoder.extend([-1], data[:same])
         self.encoded += 1
         return self.encoder.extend(table, data)
 
@@ -346,7 +362,7 @@ class EditableText:
         self.tables[a + same : end] = fresh
 
     def ids(self) -> list[int]:
-        return [i for t in self.tables for i in self.encoder.walk(t)]
+        return [i for p, t in zip(self.pieces, self.tables) for i in (self.encoder.encode_piece(p) if t is None else self.encoder.walk(t))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -378,6 +394,32 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
     return df.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"{key} {key_type}, ids array<int>")
 
 
+def encode_edited(df: DataFrame, key: str, text: str, at: str, remove: str, insert: str, path: str | None = None) -> DataFrame:
+    """Each text after an edit, encoded by going on from the tables of the text before it.
+
+    at, remove, insert: expressions of the first character replaced (from 0), how many are, and by what; an edit behind the end is an append. Result: the
+    key, `ids` of the edited text, `pieces` of it, and `encoded_again`, how many of them the edit encoded. Null texts and edits count as empty.
+    """
+    vocabulary = Vocabulary.load(path or default_path())
+    key_type = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(vocabulary)
+        for batch in batches:
+            ids, pieces, again = [], [], []
+            for kept, a, n, new in zip(EditableText.of(tool, batch.column(1)), *(batch.column(i).to_pylist() for i in range(2, 5))):
+                length = sum(map(len, kept.pieces))
+                start = min(max(a or 0, 0), length)
+                kept.replace(start, min(max(n or 0, 0), length - start), new or "")
+                ids.append(kept.ids())
+                pieces.append(len(kept.pieces))
+                again.append(kept.encoded)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(pieces, pa.int64()), pa.array(again, pa.int64())], names=[key, "ids", "pieces", "encoded_again"])
+
+    rows = df.select(F.col(key), F.col(text).alias("_text"), F.expr(at).cast("int").alias("_at"), F.expr(remove).cast("int").alias("_remove"), F.expr(insert).alias("_insert"))
+    return rows.mapInArrow(run, f"{key} {key_type}, ids array<int>, pieces bigint, encoded_again bigint")
+
+
 def count_tokens(df: DataFrame, text: str, into: str = "n_tokens", path: str | None = None) -> DataFrame:
     """Adds the number of tokens of the text; 0 for null and empty texts. `into` must not be a column yet."""
     if into in df.columns:

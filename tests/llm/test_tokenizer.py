@@ -71,3 +71,16 @@ def test_frames(spark):
     assert tk.encode(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         tk.count_tokens(df, "text", "ids")
+
+
+def test_edited_texts_are_encoded_like_new_ones(spark):
+    texts = ["", None, "Hello wörld, it's 1234 o'clock.\n\n  Next line", "漢字かな交じり文 and <|endoftext|> text", "a" * 3000, "x y " * 500]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
+    for at, remove, insert in (("length(text)", "0", "' -- more'"), ("length(text) div 2", "5", "'an edit '"), ("0", "1", "null"), ("-3", "99999", "'all'"), ("null", "null", "null")):
+        got = {r.doc_id: r for r in tk.encode_edited(df, "doc_id", "text", at, remove, insert).collect()}
+        edited = df.selectExpr("doc_id", f"coalesce(text, '') AS t", f"least(greatest(coalesce({at}, 0), 0), length(coalesce(text, ''))) AS a", f"greatest(coalesce({remove}, 0), 0) AS n", f"coalesce({insert}, '') AS i").collect()
+        new = spark.createDataFrame([(r.doc_id, r.t[: r.a] + r.i + r.t[r.a + r.n :]) for r in edited], "doc_id bigint, text string")
+        want = {r.doc_id: r.ids for r in tk.encode(new, "doc_id", "text").collect()}
+        assert {k: r.ids for k, r in got.items()} == want
+    near = {r.doc_id: r for r in tk.encode_edited(df, "doc_id", "text", "length(text) div 2", "5", "'an edit '").collect()}
+    assert near[5].encoded_again < 30 < near[5].pieces  # what is far from the edit isn't encoded again
