@@ -528,6 +528,35 @@ def hits_of_the_same_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.same_span(tb.spans(spark, sf_dir).select("doc_id", "tag", *sp.KEYS[1:]).distinct())
 
 
+# -- many hits: about a quarter of all tokens, and twice as many as there are tokens -------------------
+
+_MANY = PRE + ", h AS (SELECT doc_id, pos AS s, pos + 1 AS e, w AS t FROM T WHERE p LIKE 'n%')"
+
+
+def _many(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Tables]:
+    t = corpus(spark, sf_dir)
+    return run("[pos='N.*']", t), t
+
+
+@query("many_sorted_by_title", _MANY + " SELECT h.doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos FROM h LEFT JOIN D USING (doc_id) ORDER BY coalesce(title, ''), h.doc_id, s LIMIT 1000")
+def many_sorted_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, t = _many(spark, sf_dir)
+    return rs.window(rs.sort_hits(h, t, "field:title", tb.docs(spark, sf_dir)), 0, 1000)
+
+
+@query("many_sorted_by_right_context", _MANY + ", x AS (SELECT h.doc_id, s, e, coalesce(T1.w, '') || CASE WHEN T2.w IS NULL THEN '' ELSE ' ' || T2.w END AS r FROM h LEFT JOIN T T1 ON T1.doc_id = h.doc_id AND T1.pos = h.e LEFT JOIN T T2 ON T2.doc_id = h.doc_id AND T2.pos = h.e + 1) SELECT doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos FROM x ORDER BY r, doc_id, s LIMIT 1000")
+def many_sorted_by_right_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, t = _many(spark, sf_dir)
+    return rs.window(rs.sort_hits(h, t, "after:word:i:2"), 0, 1000)
+
+
+@query("many_grouped_by_text", PRE + ", g AS (SELECT doc_id, w AS t FROM T UNION ALL SELECT a.doc_id, a.w || ' ' || b.w FROM T a JOIN T b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1) SELECT t AS g0, count(*) AS size, count(DISTINCT doc_id) AS docs FROM g GROUP BY 1")
+def many_grouped_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of one and of two tokens by their text."""
+    t = corpus(spark, sf_dir)
+    return rs.group_hits(run("[]{1,2}", t), t, "hit:word:i")
+
+
 # -- documents and terms -----------------------------------------------------------------------------
 
 
