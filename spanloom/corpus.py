@@ -17,6 +17,10 @@ from spanloom.plans.parser import fill_template, parse, template_values
 from spanloom.plans.rewrite import normalise
 
 
+#: Relation classes that a corpus may have; they are names of layers, and few.
+MOST_CLASSES = 10_000
+
+
 @dataclass
 class Hits:
     """Hits of a pattern, with what can be done next. Each step is a new handle over a lazy plan."""
@@ -60,12 +64,36 @@ class Hits:
     def kwic(self, annotations: list[str] | None = None, before: int = 5, after: int = 5) -> DataFrame:
         return rs.kwic(self.frame, self.corpus.tables, annotations, before, after)
 
-    def concordance(self, before: int = 5, after: int = 5) -> DataFrame:
+    def concordance(self, before: int = 5, after: int = 5, original: bool = False) -> DataFrame:
+        """Running text around the hits, from the tokens or, with its markup, from the documents' originals."""
+        if original:
+            return rs.original_concordance(self.corpus.docs, self.frame, self.corpus.tables, before, after)
         return rs.concordance(self.frame, self.corpus.tables, before, after)
 
     def collocations(self, annotation: str | None = None, before: int = 5, after: int = 5, sensitivity: str = "i") -> DataFrame:
         return rs.collocations(self.frame, self.corpus.tables, annotation, before, after, sensitivity)
 
+    def csv(self, annotations: list[str] | None = None, before: int = 5, after: int = 5, summary: bool = True, declare_separator: bool = False, most: int = 100_000) -> str:
+        """A small result as CSV text, with a block in front that says what was asked and found."""
+        from spanloom.sources import sinks
+
+        block = {}
+        if summary:
+            n = self.count().first()
+            block = {"pattern": serialise.to_json(self.tree) if self.tree else "", "numberOfHits": n["hits"], "numberOfDocs": n["docs"], "contextBefore": before, "contextAfter": after}
+        return sinks.csv_text(self.kwic(annotations, before, after), declare_separator, most, block)
+
+    def contents(self, pid: str) -> str | None:
+        """A document's original with these hits marked in it."""
+        doc = self.corpus.docs.where(F.col("pid") == pid).select("doc_id", "raw").first()
+        if doc is None:
+            return None
+        own = self.frame.where(F.col("doc_id") == doc["doc_id"])
+        spots = rs.original_concordance(self.corpus.docs.where(F.col("pid") == pid), own, self.corpus.tables, 0, 0)
+        where = spots.join(self.corpus.tables.tokens.select("doc_id", F.col("pos").alias("start_pos"), "char_start"), ["doc_id", "start_pos"])
+        ranges = [(r["char_start"], r["char_start"] + len(r["match_raw"])) for r in where.select("char_start", "match_raw").collect()]
+        return rs.highlight(doc["raw"], ranges)
+
     def explain(self) -> str:
         """The pattern as it was, as it is run, and the plan."""
         plan = self.frame.sparkSession._jvm.PythonSQLUtils.explainString(self.frame._jdf.queryExecution(), "formatted")
@@ -96,7 +124,10 @@ class Corpus:
             raise FileNotFoundError(f"no tokens in {path}")
         structural = ("doc_id", "pos", "field", "char_start", "char_end")
         names = [c for c in tokens.columns if c not in structural and not (c.endswith(("_all", "_i")) and c.rpartition("_")[0] in tokens.columns)]
-        return Corpus(Tables(tokens, there("spans"), there("relations"), {"pos" if c == "a_pos" else c: c for c in names}), there("docs"), **options)
+        classes = there("relation_classes")
+        known = None if classes is None else tuple(r["rel_class"] for r in classes.limit(MOST_CLASSES).collect())
+        tables = Tables(tokens, there("spans"), there("relations"), {"pos" if c == "a_pos" else c: c for c in names}, there("lengths"), relation_classes=known)
+        return Corpus(tables, there("docs"), **options)
 
     def parse(self, pattern: str, language: str = "default") -> tuple[Node, str | None]:
         """A pattern and a filter from text in the pattern language, JSON, or contextual query language."""
@@ -145,6 +176,11 @@ class Corpus:
     def documents(self, filter: str | None = None) -> DataFrame:
         return self.docs if not filter else docfilter.filter_documents(self.docs, filter)
 
+    def contents(self, pid: str) -> str | None:
+        """A document's original."""
+        row = self.docs.where(F.col("pid") == pid).select("raw").first()
+        return row and row["raw"]
+
     def doc(self, pid: str) -> DataFrame:
         return self.docs.where(F.col("pid") == pid)
 

@@ -131,13 +131,26 @@ def concordance(hits: DataFrame, tables: Tables, before: int = 5, after: int = 5
 
 def snippet(raw: DataFrame, hits: DataFrame, tables: Tables, before: int = 20, after: int = 20) -> DataFrame:
     """Pieces of the original text by character offsets. raw: doc_id, raw; tokens need char_start and char_end."""
-    length = tables.length_table()
-    placed = hits.join(length, "doc_id").withColumns({"_a": F.greatest(F.lit(0), F.col("start_pos") - before), "_z": F.least(F.col("length"), F.col("end_pos") + after) - 1})
+    return original_concordance(raw, hits, tables, before, after).select(*sp.KEYS, F.concat("left_raw", "match_raw", "right_raw").alias("snippet"))
+
+
+def original_concordance(raw: DataFrame, hits: DataFrame, tables: Tables, before: int = 5, after: int = 5) -> DataFrame:
+    """The original left of, in and right of each hit, with its markup, cut by the character offsets of tokens.
+
+    Originals are joined once per document: its hits' character ranges are put together first, in blocks of positions, so that neither a text
+    is repeated for each of its hits nor a hot document's hits lie in one row.
+    """
+    placed = sp.at_block(hits.select(*sp.KEYS).distinct(), tables.length_table(), "start_pos")
+    placed = placed.withColumns({"_a": F.greatest(F.lit(0), F.col("start_pos") - before), "_z": F.least(F.col("length"), F.col("end_pos") + after) - 1, "_e": F.greatest("start_pos", F.col("end_pos") - 1)}).drop("length")
     t = tables.tokens
-    a = t.select("doc_id", F.col("pos").alias("_a"), F.col("char_start").alias("_from"))
-    z = t.select("doc_id", F.col("pos").alias("_z"), F.col("char_end").alias("_to"))
-    cut_out = placed.join(a, ["doc_id", "_a"]).join(z, ["doc_id", "_z"]).join(raw.select("doc_id", "raw"), "doc_id")
-    return cut_out.select(*sp.KEYS, F.substring("raw", F.col("_from") + 1, F.col("_to") - F.col("_from")).alias("snippet"))
+    for at, column, name in (("_a", "char_start", "_c0"), ("start_pos", "char_start", "_c1"), ("_e", "char_end", "_c2"), ("_z", "char_end", "_c3")):
+        look = t.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), F.col(column).alias(name))
+        placed = placed.join(look, (F.col("doc_id") == F.col("_d")) & (F.col(at) == F.col("_p"))).drop("_d", "_p")
+    spots = F.struct("start_pos", "end_pos", "_c0", "_c1", "_c2", "_c3")
+    packed = placed.groupBy("doc_id", F.floor(F.col("start_pos") / (sp.BLOCK * 16)).alias("_block")).agg(F.collect_list(spots).alias("_spots"))
+    piece = lambda s, a, z: F.substring(F.col("raw"), s[a] + 1, s[z] - s[a])
+    cut_out = packed.join(raw.select("doc_id", "raw"), "doc_id").select("doc_id", F.explode(F.transform("_spots", lambda s: F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), piece(s, "_c0", "_c1").alias("left_raw"), piece(s, "_c1", "_c2").alias("match_raw"), piece(s, "_c2", "_c3").alias("right_raw")))).alias("x"))
+    return cut_out.select("doc_id", "x.*")
 
 
 def highlight(text: str, spots: list[tuple[int, int]], before: str = "<hl>", after: str = "</hl>") -> str:

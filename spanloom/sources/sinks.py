@@ -27,8 +27,11 @@ def write_csv(df: DataFrame, path: str, separator: str = ",", single: bool = Fal
     (flat(df).coalesce(1) if single else flat(df)).write.mode("overwrite").option("header", True).option("sep", separator).option("escape", '"').csv(path)
 
 
-def csv_text(df: DataFrame, declare_separator: bool = False, most: int = 100_000) -> str:
-    """A small result as CSV text, optionally with a `sep=,` line for spreadsheets. Raises beyond `most` rows."""
+def csv_text(df: DataFrame, declare_separator: bool = False, most: int = 100_000, summary: dict | None = None) -> str:
+    """A small result as CSV text, optionally with a `sep=,` line for spreadsheets. Raises beyond `most` rows.
+
+    summary: names and values of a block behind the header, a row each, with the name in the first and the value in the second column.
+    """
     import csv
     import io
 
@@ -40,6 +43,8 @@ def csv_text(df: DataFrame, declare_separator: bool = False, most: int = 100_000
         out.write("sep=,\r\n")
     w = csv.writer(out)
     w.writerow(df.columns)
+    for name, value in (summary or {}).items():
+        w.writerow([f"summary.{name}", value, *[""] * (len(df.columns) - 2)])
     w.writerows([["" if v is None else v for v in r] for r in rows])
     return out.getvalue()
 
@@ -68,7 +73,7 @@ def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite
     """The tables as Parquet, tokens once per position. Tokens are clustered by document and position; a hot document is spread by blocks.
 
     Annotations named in `folded` get a column `<name>_i` without case and accents, and spans `tag_i`: insensitive equality and prefixes
-    then reach the scan, with dictionaries and statistics to skip row groups.
+    then reach the scan, with dictionaries and statistics to skip row groups. Lengths and relation classes are stored beside them.
     """
     for name, df in tables.items():
         if name == "spans":
@@ -77,6 +82,9 @@ def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite
             df = df.dropDuplicates(["doc_id", "pos"]).withColumns({f"{c}_i": fold(F.col(c)) for c in folded if c in df.columns})
             df = df.repartition("doc_id", F.floor(F.col("pos") / 65536)).sortWithinPartitions("doc_id", "pos")
         df.write.mode(mode).parquet(f"{path}/{name}.parquet")
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in store_lengths({n: spark.read.parquet(f"{path}/{n}.parquet") for n in tables}).items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
 
 def bucketed_tables(tables: dict[str, DataFrame], prefix: str, buckets: int = 200) -> None:
@@ -85,6 +93,14 @@ def bucketed_tables(tables: dict[str, DataFrame], prefix: str, buckets: int = 20
         df.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(f"{prefix}_{name}")
 
 
+def store_lengths(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The small tables that searching would otherwise compute each time: true lengths, and the classes of relations."""
+    more = {"lengths": tables["tokens"].groupBy("doc_id").agg((F.max("pos") + 1).alias("length"))} if "tokens" in tables else {}
+    if "relations" in tables:
+        more["relation_classes"] = tables["relations"].select("rel_class").distinct()
+    return more
+
+
 def delete_documents(tables: dict[str, DataFrame], text: str) -> dict[str, DataFrame]:
     """The tables without the documents that a filter matches; write them to another path."""
     gone = docfilter.filter_documents(tables["docs"], text).select("doc_id")

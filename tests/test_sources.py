@@ -239,3 +239,26 @@ def test_snippets_from_xml_originals(spark, tmp_path):
 
     s = rs.snippet(loaded.docs(), run("'old'", t), t, 1, 1).first().snippet
     assert s == '<w l="the">The</w> <w>old</w>, <w>cat</w>'
+
+
+def test_tool_contents_and_csv(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.xml").write_text('<all><doc pid="d" title="A"><s><w l="the">The</w> <w>old</w>, <w>cat</w> <w>sat</w></s></doc><doc pid="e" title="B"><w>old</w></doc></all>')
+    loaded = loaders.load(spark, str(tmp_path / "in"), "testformat")
+    out = str(tmp_path / "corpus")
+    sinks.write_corpus({"docs": loaded.docs(), "tokens": loaded.tokens(), "spans": loaded.spans(), "relations": loaded.relations()}, out)
+    c = Corpus.open(spark, out)
+    h = c.search("'old'")
+    assert h.contents("d") == '<doc pid="d" title="A"><s><w l="the">The</w> <w><hl>old</hl></w>, <w>cat</w> <w>sat</w></s></doc>'
+    assert c.contents("e") == '<doc pid="e" title="B"><w>old</w></doc>' and c.contents("no") is None
+    o = {r.left_raw: (r.match_raw, r.right_raw) for r in h.concordance(1, 1, original=True).collect()}
+    assert o == {'<w l="the">The</w> ': ("<w>old</w>", ", <w>cat</w>"), "": ("<w>old</w>", "")}
+    text = h.csv(before=1, after=1, declare_separator=True).splitlines()
+    assert text[0] == "sep=," and "summary.numberOfHits,2" in text[3] and len(text) == 9
+    from spanloom.tool import Tool
+
+    t = Tool(c)
+    lines = list(t.run(["'old'", ":filter pid:d", ":sort hit:word:i", ":group hit:word:i", ":docs", ":colloc", ":page 2", ":nosuch", "[bad", ":size 3", ":describe", ":help", ":quit", "'cat'"]))
+    assert any("The [old] cat sat" in x for x in lines) and "2 hits in 2 documents, page 1" in lines and "1 hits in 1 documents, page 1" in lines and "1\told" in lines and "1\td" in lines
+    assert sum(x.startswith("error") for x in lines) == 2 and not any("[cat]" in x for x in lines)
+    assert Tool(c).say(":docs") == ["error: no pattern yet"]
