@@ -79,20 +79,18 @@ def with_context(hits: DataFrame, tables: Tables, annotations: list[str], before
     Contexts end at the document's edges. The work is an equi-join of the positions wanted with the tokens and
     a grouping by hit, both spread over all tasks; an array is as long as a hit with its context.
     """
-    keys = [*sp.KEYS, *sp.captures(hits)]
     none = F.array().cast("array<int>")
     places = lambda a, z: F.when(a <= z, F.sequence(a, z)).otherwise(none)
     at = places(F.greatest(F.lit(0), F.col("start_pos") - before), F.col("end_pos") + after - 1)
     if also:
         at = F.array_distinct(F.concat(at, *[F.coalesce(places(s, e - 1), none) for s, e in also]))
-    ids = hits.withColumn("_h", F.struct(*keys))
-    want = ids.select("_h", "doc_id", F.explode(at).alias("_at"))
+    # the whole hit goes along as the key, so that nothing is joined back; hits are distinct
+    want = hits.select(F.struct(*hits.columns).alias("_h"), F.col("doc_id").alias("_d"), F.explode_outer(at).alias("_at"))
     names = [a.replace("/", "_") for a in dict.fromkeys(annotations)]
-    look = tables.rows().select("doc_id", F.col("pos").alias("_at"), *[F.col(tables.column(a)).alias(f"_v{i}") for i, a in enumerate(dict.fromkeys(annotations))])
-    word = F.struct("_at", *[F.col(f"_v{i}").alias(a) for i, a in enumerate(names)])
-    got = want.join(look, ["doc_id", "_at"]).groupBy("_h").agg(F.sort_array(F.collect_set(word)).alias("_ctx"))
-    empty = F.array().cast(got.schema["_ctx"].dataType)
-    return ids.join(got, "_h", "left").withColumn("_ctx", F.coalesce("_ctx", empty)).drop("_h")
+    look = tables.rows().select(F.col("doc_id").alias("_d"), F.col("pos").alias("_at"), F.lit(True).alias("_there"), *[F.col(tables.column(a)).alias(f"_v{i}") for i, a in enumerate(dict.fromkeys(annotations))])
+    word = F.when(F.col("_there"), F.struct("_at", *[F.col(f"_v{i}").alias(a) for i, a in enumerate(names)]))
+    got = want.join(look, ["_d", "_at"], "left").groupBy("_h").agg(F.sort_array(F.collect_set(word)).alias("_ctx"))
+    return got.select("_h.*", "_ctx")
 
 
 def _words(part: Column, name: str, sensitivity: str, backwards: bool = False) -> Column:

@@ -369,6 +369,38 @@ def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.sample(_jn(spark, sf_dir)[0], fraction=0.1, seed=5)
 
 
+def _sampled(rows: DataFrame, all_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What can be told of a sample without its hash: how many rows, how many of them distinct, and how many that were not there."""
+    known = rows.join(all_rows.select(*keys, F.lit(True).alias("_known")), keys, "left")
+    return known.agg(F.count("*").alias("rows"), F.count_distinct(*keys).alias("different"), F.count(F.when(F.col("_known").isNull(), 1)).alias("outside"))
+
+
+@query("sample_of_hits", _JN + " SELECT least(200, count(*)) AS rows, least(200, count(*)) AS different, CAST(0 AS BIGINT) AS outside FROM h")
+def sample_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _jn(spark, sf_dir)[0]
+    return _sampled(rs.sample(h, number=200, seed=5), h, sp.KEYS)
+
+
+@query("sample_of_many_hits", PRE + " SELECT CAST(floor(0.6 * count(*) + 0.5) AS BIGINT) AS rows, CAST(floor(0.6 * count(*) + 0.5) AS BIGINT) AS different, CAST(0 AS BIGINT) AS outside FROM T")
+def sample_of_many_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample too large for a top-k: by the threshold of a histogram."""
+    h = run("[]", corpus(spark, sf_dir))
+    return _sampled(rs.sample(h, fraction=0.6, seed=9), h, sp.KEYS)
+
+
+@query("sample_of_groups", _JN + " SELECT least(20, count(DISTINCT t)) AS rows, least(20, count(DISTINCT t)) AS different, CAST(0 AS BIGINT) AS outside FROM h")
+def sample_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, t = _jn(spark, sf_dir)
+    g = rs.group_hits(h, t, "hit:word:i")
+    return _sampled(rs.sample(g, number=20, keys=["g0"]), g, ["g0"])
+
+
+@query("sample_of_documents", PRE + " SELECT CAST(floor(0.1 * count(*) + 0.5) AS BIGINT) AS rows, CAST(floor(0.1 * count(*) + 0.5) AS BIGINT) AS different, CAST(0 AS BIGINT) AS outside FROM D")
+def sample_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.docs(spark, sf_dir)
+    return _sampled(rs.sample(d, fraction=0.1, keys=["doc_id"]), d, ["doc_id"])
+
+
 @query("count", _JN + " SELECT count(*) AS hits, count(DISTINCT doc_id) AS docs FROM h")
 def count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.count_hits(_jn(spark, sf_dir)[0])
