@@ -203,7 +203,8 @@ def snippets_of_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(x, rs.snippet(x.docs(), hits, t, 2, 2)).select(*sp.KEYS, "snippet")
 
 
-_PLAIN_T = PRE + f", P AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS n, pos, word FROM T WHERE regexp_full_match(word, '[A-Za-z]+') AND word NOT IN ('xxx', 'yyy', 'www'))"
+_PLAIN_T = PRE + """, Q AS (SELECT doc_id, pos, 0 AS x, word FROM T WHERE regexp_full_match(word, '[A-Za-z]+') AND word NOT IN ('xxx', 'yyy', 'www')
+  UNION ALL SELECT DISTINCT doc_id, pos // 8 * 8 + 7, 1, '.' FROM T), P AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, x) - 1 AS INTEGER) AS n, pos, word FROM Q)"""
 
 
 def _chat(spark: SparkSession, sf_dir: str) -> loaders.Loaded:
@@ -222,7 +223,7 @@ def load_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(x, x.tokens()).select("doc_id", "pos", "word")
 
 
-@query("load_transcript_utterances", _PLAIN_T + ", u AS (SELECT T.doc_id, T.pos // 8 AS k, count(P.n) AS words FROM T LEFT JOIN P ON P.doc_id = T.doc_id AND P.pos = T.pos GROUP BY ALL) SELECT doc_id, 'S' || (k % 3) AS who, CASE WHEN k % 3 = 1 THEN '2;03.10' END AS age, count(*) AS utterances, CAST(sum(words) AS BIGINT) AS words FROM u GROUP BY ALL")
+@query("load_transcript_utterances", _PLAIN_T + ", u AS (SELECT doc_id, pos // 8 AS k, count(*) AS words FROM P GROUP BY ALL) SELECT doc_id, 'S' || (k % 3) AS who, CASE WHEN k % 3 = 1 THEN '2;03.10' END AS age, count(*) AS utterances, CAST(sum(words) AS BIGINT) AS words FROM u GROUP BY ALL")
 def load_transcript_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _chat(spark, sf_dir)
     rows = named(x, x.spans()).groupBy("doc_id", F.col("attrs")["who"].alias("who"), F.col("attrs")["age"].alias("age"))

@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from spanloom.sources import paths
+from spanloom.sources import paths, transcripts
 from spanloom.sources.descriptor import Format, FormatError
 
 
@@ -200,60 +200,33 @@ def conllu(text: str, form: Format) -> Iterator[Document]:
 
 @parser("chat")
 def chat(text: str, form: Format) -> Iterator[Document]:
-    """A transcript: `@` headers are metadata, `*SPK:` lines utterances (spans `u`), `%mor:` lines their parts of speech and lemmas."""
-    d, lines, place = Document(raw=text), [], 0
-    for line in (x.rstrip("\r\n") for x in _lines(text)):
-        if line.startswith("\t") and lines:
-            lines[-1] += " " + line.strip()
-        elif line.strip():
-            lines.append(line)
-    last: tuple[int, int] | None = None
-    speakers: dict[str, dict[str, str]] = {}
-    for line in lines:
-        if line.startswith("@"):
-            key, _, value = line[1:].partition(":")
-            value = value.strip()
-            if key == "ID":
-                parts = (value.split("|") + [""] * 10)[:10]
-                speakers[parts[2]] = {"role": parts[7], "sex": parts[4], "age": parts[3]}
-            elif value:
-                d.metadata.setdefault(key.lower().replace(" ", "_"), []).append(value)
-        elif line.startswith("*"):
+    """A transcript, see `transcripts`: a span `u` for each utterance, with its number, its speaker and what the headers say at that point."""
+    d, headers, place, number = Document(raw=text), transcripts.Headers(), 0, 0
+    standing: list[int] = []
+    for line in transcripts.lines_of(text):
+        if line[0] == "@":
+            headers.read(line)
+        elif line[0] == "*":
             who, _, said = line[1:].partition(":")
-            start = len(d.tokens)
-            place = max(place, text.find(line[:20], place))
-            for w in chat_words(said):
+            start, standing = len(d.tokens), []
+            place = max(place, text.find("\n*" + who, place))
+            for w, stands in transcripts.words_of(said):
                 found = text.find(w, place)  # a replaced form is found where it is written
-                d.word({"word": [w]}, " " if d.tokens else "", *((found, found + len(w)) if found >= 0 else (None, None)))
+                at = d.word({"word": [w]}, " " if d.tokens else "", *((found, found + len(w)) if found >= 0 else (None, None)))
                 place = found + len(w) if found >= 0 else place
-            d.spans.append(("u", start, len(d.tokens), {"who": who, **{k: v for k, v in speakers.get(who, {}).items() if v}}))
-            last = (start, len(d.tokens))
-        elif line.startswith("%mor:") and last:
-            items = [m for m in line[5:].split() if "|" in m]
-            for at, item in zip(range(*last), items):
-                pos, _, lemma = item.partition("|")
-                d.tokens[at][0].update({"pos": [pos], "lemma": [re.split(r"[-&=~]", lemma)[0]]})
+                if stands:
+                    standing.append(at)
+            number += 1
+            d.spans.append(("u", start, len(d.tokens), {"who": who, "uttid": str(number), **headers.in_force(who)}))
+        elif line.startswith("%mor:"):
+            items = transcripts.mor_items(line[5:])
+            if len(items) == len(standing):  # else it can't be told which is which
+                for at, (pos, lemma) in zip(standing, items):
+                    d.tokens[at][0].update({"pos": [pos]} | ({"lemma": [lemma]} if lemma else {}))
+    d.metadata = headers.every
     yield d
 
 
-def chat_words(said: str) -> list[str]:
-    """The words of an utterance without codes: retraced parts, comments, events, pauses and terminators go, replaced forms are read as replaced."""
-    said = re.sub(r"\x15[^\x15]*\x15", " ", said)
-    said = re.sub(r"\S+\s*\[:+ ([^\]]*)\]", r"\1", said)
-    said = re.sub(r"<([^>]*)>\s*\[/+\??\]", " ", said)
-    said = re.sub(r"\S+\s*\[/+\??\]", " ", said)
-    said = re.sub(r"\[[^\]]*\]", " ", said)
-    said = re.sub(r"[<>()]", "", said)
-    out = []
-    for w in said.split():
-        if w.startswith(("&", "0", "+")) or w in ("xxx", "yyy", "www", "#"):
-            continue
-        w = re.sub(r"@\S*$", "", w).strip(".,!?;:„“\"‡")
-        if w:
-            out.append(w.replace("_", " "))
-    return out
-
-
 @parser("xml")
 def xml(text: str, form: Format) -> Iterator[Document]:
     tree = paths.parse(text)

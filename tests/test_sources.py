@@ -8,7 +8,7 @@ import pytest
 
 from spanloom.corpus import Corpus
 from spanloom.functions import analyzers, process
-from spanloom.sources import descriptor, loaders, parsers, paths, sinks, text
+from spanloom.sources import descriptor, loaders, parsers, paths, sinks, text, transcripts
 from spanloom.streaming import ingest
 from pyspark.sql import functions as F
 
@@ -49,8 +49,35 @@ def test_tables():
 
 def test_chat():
     d = parsers.parse("@Languages:\teng\n@ID:\teng|c|CHI|2;03.10|male|||Target_Child|||\n*CHI:\tI want [/] want &-um dat [: that] .\n%mor:\tpro|I v|want pro|that .\n@End\n", descriptor.BUNDLED["chat"])[0]
-    assert [t[0]["word"][0] for t in d.tokens] == ["I", "want", "that"] and d.tokens[1][0]["pos"] == ["v"]
-    assert d.spans == [("u", 0, 3, {"who": "CHI", "role": "Target_Child", "sex": "male", "age": "2;03.10"})]
+    assert [t[0]["word"][0] for t in d.tokens] == ["I", "want", "want", "that", "."]
+    assert [t[0].get("pos") for t in d.tokens] == [["pro"], None, ["v"], ["pro"], ["."]] and d.tokens[3][0]["lemma"] == ["that"]
+    assert d.spans == [("u", 0, 5, {"who": "CHI", "uttid": "1", "language": "eng", "corpus": "c", "age": "2;03.10", "months": "27", "sex": "male", "role": "Target_Child"})]
+
+
+SAID = {
+    "the (be)cause I (.) go (1.5) now .": "the because I go now .",
+    "<I want> [//] I need <a big> [?] dog [*] !": "I want I need a big dog !",
+    "no 0is &=laughs xxx www [+ bch] .": "no is xxx .",
+    "hap@o New_York wo^rd it~is +/.": "hap NewYork word it is",
+    "+< yes [= I mean so] , mommy [!!] ↑now ?": "yes , mommy now ?",
+    "goed [: went ran] [x 3] <to the> [<] [% comment]": "went ran to the",
+    "well \x15100_200\x15 \x150\x15 done +...": "well done",
+    "": "",
+}
+
+
+@pytest.mark.parametrize("said", list(SAID))
+def test_utterances(said):
+    assert " ".join(w for w, _ in transcripts.words_of(said)) == SAID[said]
+
+
+def test_headers_hold_until_they_change():
+    text = "@Begin\n@Participants:\tCHI Sara Target_Child, MOT Mother\n@Date:\t14-JUN-1998\n@Birth of CHI:\t01-jan-1996\n*MOT:\thi\n\tthere .\n@New Episode\n@Situation:\tat home\n*CHI:\they .\n@New Episode\n*CHI:\tyes .\n"
+    d = parsers.parse(text, descriptor.BUNDLED["chat"])[0]
+    a, b, c = (attrs for _, _, _, attrs in d.spans)
+    assert a == {"who": "MOT", "uttid": "1", "date": "1998-06-14", "role": "Mother"} and [t[0]["word"][0] for t in d.tokens[:3]] == ["hi", "there", "."]
+    assert b["new_episode"] == "1" and b["situation"] == "at home" and (b["name"], b["birth_of"]) == ("Sara", "1996-01-01") and c["new_episode"] == "2"
+    assert (transcripts.months("3;6.14"), transcripts.months("2"), transcripts.months("x"), transcripts.iso_date("soon")) == (42, 24, None, "soon")
 
 
 def test_xml_and_standoff():
@@ -167,7 +194,7 @@ def test_originals_and_offsets():
     t = parsers.parse('word\tlemma\tpos\r\nThe\tthe\tDT\r\n"do\nor"\tdog\tNN\r\n', descriptor.BUNDLED["tsv"])[0]
     assert [t.raw[p:q] for _, _, p, q in t.tokens] == ["The\tthe\tDT", '"do\nor"\tdog\tNN']
     c = parsers.parse("@Begin\n*CHI:\tI want want dat [: that] .\n", descriptor.BUNDLED["chat"])[0]
-    assert [c.raw[p:q] for _, _, p, q in c.tokens] == ["I", "want", "want", "that"]
+    assert [c.raw[p:q] for _, _, p, q in c.tokens] == ["I", "want", "want", "that", "."]
 
 
 def test_commands():
