@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,11 +86,11 @@ class Hits:
 
     def contents(self, pid: str) -> str | None:
         """A document's original with these hits marked in it."""
-        doc = self.corpus.docs.where(F.col("pid") == pid).select("doc_id", "raw").first()
+        doc = self.corpus.docs.where(F.col(self.corpus.pid) == pid).select("doc_id", "raw").first()
         if doc is None:
             return None
         own = self.frame.where(F.col("doc_id") == doc["doc_id"])
-        spots = rs.original_concordance(self.corpus.docs.where(F.col("pid") == pid), own, self.corpus.tables, 0, 0)
+        spots = rs.original_concordance(self.corpus.docs.where(F.col(self.corpus.pid) == pid), own, self.corpus.tables, 0, 0)
         where = spots.join(self.corpus.tables.tokens.select("doc_id", F.col("pos").alias("start_pos"), "char_start"), ["doc_id", "start_pos"])
         ranges = [(r["char_start"], r["char_start"] + len(r["match_raw"])) for r in where.select("char_start", "match_raw").collect()]
         return rs.highlight(doc["raw"], ranges)
@@ -105,6 +106,8 @@ class Corpus:
     tables: Tables
     docs: DataFrame | None = None
     functions: dict = field(default_factory=dict)
+    #: What the descriptor says about the corpus: names, special fields, groups of fields.
+    config: dict = field(default_factory=dict)
     _kept: dict = field(default_factory=dict)
 
     @staticmethod
@@ -127,8 +130,53 @@ class Corpus:
         classes = there("relation_classes")
         known = None if classes is None else tuple(r["rel_class"] for r in classes.limit(MOST_CLASSES).collect())
         tables = Tables(tokens, there("spans"), there("relations"), {"pos" if c == "a_pos" else c: c for c in names}, there("lengths"), relation_classes=known)
+        try:
+            options = {"config": json.loads(spark.read.text(f"{path}/config").first()[0])} | options
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
         return Corpus(tables, there("docs"), **options)
 
+    @staticmethod
+    def formats() -> dict[str, str]:
+        """The input formats that are known, with the names to show."""
+        from spanloom.sources import loaders
+
+        return {n: f.display_name or n for n, f in sorted(loaders.FORMATS.items())}
+
+    @staticmethod
+    def add(loaded, path: str) -> Corpus:
+        """Adds loaded documents to a written corpus, which is made if it isn't there. Documents that are there already must be deleted first."""
+        from spanloom.sources import sinks
+
+        tables = {"docs": loaded.docs(), "tokens": loaded.tokens(), "spans": loaded.spans(), "relations": loaded.relations()}
+        sinks.write_corpus(tables, path, "append", config=loaded.form.extra)
+        return Corpus.open(loaded.parsed.sparkSession, path)
+
+    def without(self, filter: str, path: str) -> Corpus:
+        """Writes the corpus without the documents of a filter to another place."""
+        from spanloom.sources import sinks
+
+        t = self.tables
+        left = sinks.delete_documents({"docs": self.docs, "tokens": t.tokens} | ({"spans": t.spans} if t.spans is not None else {}) | ({"relations": t.relations} if t.relations is not None else {}), filter)
+        sinks.write_corpus(left, path, config=self.config)
+        return Corpus.open(self.docs.sparkSession, path, functions=self.functions)
+
+    @property
+    def pid(self) -> str:
+        """The field that documents are named by."""
+        return self.config.get("specialFields", {}).get("pidField", "pid")
+
+    def field_info(self, name: str, most: int = 200) -> dict:
+        """What a metadata field or an annotation holds: its kind, its most frequent values with their numbers, and whether there are more."""
+        if self.docs is not None and name in self.docs.columns:
+            rows = rs.field_values(self.docs, name, most).collect()
+            return {"name": name, "is": "metadata", "type": dict(self.docs.dtypes)[name], "values": {r["value"]: r["docs"] for r in rows}, "truncated": bool(rows) and rows[0]["truncated"]}
+        rows = rs.annotation_values(self.tables, name, most).collect()
+        column = self.tables.column(name)
+        found = {r["value"]: r["freq"] for r in rows}
+        return {"name": name, "is": "annotation", "main": name == next(iter(self.tables.annotations)), "folded": f"{column}_i" in self.tables.tokens.columns, "several": f"{column}_all" in self.tables.tokens.columns, "values": found, "truncated": bool(rows) and rows[0]["truncated"]}
+
     def parse(self, pattern: str, language: str = "default") -> tuple[Node, str | None]:
         """A pattern and a filter from text in the pattern language, JSON, or contextual query language."""
         if language == "contextql":
@@ -178,11 +226,11 @@ class Corpus:
 
     def contents(self, pid: str) -> str | None:
         """A document's original."""
-        row = self.docs.where(F.col("pid") == pid).select("raw").first()
+        row = self.docs.where(F.col(self.pid) == pid).select("raw").first()
         return row and row["raw"]
 
     def doc(self, pid: str) -> DataFrame:
-        return self.docs.where(F.col("pid") == pid)
+        return self.docs.where(F.col(self.pid) == pid)
 
     def termfreq(self, annotation: str | None = None, sensitivity: str = "i", filter: str | None = None, terms: list[str] | None = None) -> DataFrame:
         return rs.term_frequencies(self.tables, annotation, sensitivity, self.documents(filter) if filter else None, terms)
@@ -201,4 +249,4 @@ class Corpus:
         """Annotations, metadata fields with their kinds, and sizes."""
         n = self.tables.tokens.agg(F.count("*").alias("tokens"), F.countDistinct("doc_id").alias("docs")).first()
         fields = {c: t for c, t in self.docs.dtypes if c != "raw"} if self.docs is not None else {}
-        return {"annotations": list(self.tables.annotations), "metadata": fields, "tokens": n["tokens"], "documents": n["docs"], "spans": self.tables.spans is not None, "relations": self.tables.relations is not None, "fields": list(self.tables.fields)}
+        return {"annotations": list(self.tables.annotations), "metadata": fields, "tokens": n["tokens"], "documents": n["docs"], "spans": self.tables.spans is not None, "relations": self.tables.relations is not None, "fields": list(self.tables.fields), "name": self.config.get("displayName", ""), "pidField": self.pid, "kept": len(self._kept)}

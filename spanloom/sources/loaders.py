@@ -28,16 +28,40 @@ DOCUMENT = (
     "relations array<struct<rel_class:string,rel_type:string,src_start:int,src_end:int,tgt_start:int,tgt_end:int,attrs:map<string,string>,tgt_field:string>>"
 )
 FORMATS: dict[str, Format] = dict(BUNDLED)
-#: Stages that change a file's text before it is parsed, by name: converters and taggers.
-CONVERTERS: dict[str, Callable[[str], str]] = {"none": lambda t: t}
+#: Stages before a file is parsed, by name: converters, from bytes or text to text, and taggers, from text to text.
+CONVERTERS: dict[str, Callable] = {"none": lambda t: t}
+#: The names of those that take bytes.
+BINARY: set[str] = set()
 
 
 def register_format(form: Format) -> None:
     FORMATS[form.name] = form
 
 
-def register_converter(name: str, f: Callable[[str], str]) -> None:
+def register_converter(name: str, f: Callable, binary: bool = False) -> None:
+    """A stage by name; one that is `binary` takes a file's bytes and must come first."""
     CONVERTERS[name] = f
+    (BINARY.add if binary else BINARY.discard)(name)
+
+
+def stages(names: str | list[str]) -> Callable[[bytes], str]:
+    """What brings a file's bytes through the named stages, one after another."""
+    names = [names] if isinstance(names, str) else list(names)
+    for n in names:
+        if n not in CONVERTERS:
+            raise FormatError(f"unknown converter {n}")
+    if any(n in BINARY for n in names[1:]):
+        raise FormatError("a converter of bytes must come first")
+    first = names[:1] if names and names[0] in BINARY else []
+    start, rest = (CONVERTERS[first[0]] if first else decode), [CONVERTERS[n] for n in names[len(first) :]]
+
+    def run(data: bytes) -> str:
+        text = start(data)
+        for f in rest:
+            text = f(text)
+        return text
+
+    return run
 
 
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".gz")
@@ -144,7 +168,7 @@ def _record(path: str, no: int, d: parsers.Document) -> dict:
     }
 
 
-def documents(files: DataFrame, form: Format, converter: str = "none") -> DataFrame:
+def documents(files: DataFrame, form: Format, converter: str | list[str] = "none") -> DataFrame:
     """files: path, content (binary). One row per document and annotated field; a file that can't be parsed gives one row with its error.
 
     Files that XML includes are read from beside it.
@@ -152,7 +176,7 @@ def documents(files: DataFrame, form: Format, converter: str = "none") -> DataFr
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    convert = CONVERTERS[converter]
+    convert = stages(converter)
     schema = StructType.fromDDL(DOCUMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +188,7 @@ def documents(files: DataFrame, form: Format, converter: str = "none") -> DataFr
                     if data is None:
                         raise FormatError("it can't be read")
                     for name, inner in members(path, data):
-                        text = convert(decode(inner))
+                        text = convert(inner)
                         if form.file_type == "xml" and _INCLUDE.search(text):
                             text = resolve_includes(text, os.path.dirname(name), _read_beside)
                         no = -1
@@ -269,7 +293,7 @@ def _processed(values, steps: list[dict]):
     return F.flatten(F.transform(values, lambda v: process.apply_all(v, steps)))
 
 
-def load(spark: SparkSession, path: str | list[str], form: str | Format, glob: str = "*", converter: str = "none") -> Loaded:
+def load(spark: SparkSession, path: str | list[str], form: str | Format, glob: str = "*", converter: str | list[str] = "none") -> Loaded:
     """Loads files in a format given by name or descriptor."""
     importable(spark)
     if isinstance(form, str):

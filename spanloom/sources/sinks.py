@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +71,12 @@ def export_metadata(docs: DataFrame, path: str) -> None:
     docs.drop("raw").write.mode("overwrite").json(path)
 
 
-def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite", folded: tuple[str, ...] = ("word", "lemma", "a_pos")) -> None:
+def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite", folded: tuple[str, ...] = ("word", "lemma", "a_pos"), config: dict | None = None) -> None:
     """The tables as Parquet, tokens once per position. Tokens are clustered by document and position; a hot document is spread by blocks.
 
     Annotations named in `folded` get a column `<name>_i` without case and accents, and spans `tag_i`: insensitive equality and prefixes
-    then reach the scan, with dictionaries and statistics to skip row groups. Lengths and relation classes are stored beside them.
+    then reach the scan, with dictionaries and statistics to skip row groups. Lengths and relation classes are stored beside them, and so is `config`,
+    what a descriptor says about the corpus as a whole.
     """
     for name, df in tables.items():
         if name == "spans":
@@ -85,6 +88,8 @@ def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite
     spark = next(iter(tables.values())).sparkSession
     for name, df in store_lengths({n: spark.read.parquet(f"{path}/{n}.parquet") for n in tables}).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    if config:
+        spark.createDataFrame([(json.dumps(config, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
 def bucketed_tables(tables: dict[str, DataFrame], prefix: str, buckets: int = 200) -> None:

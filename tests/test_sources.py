@@ -289,3 +289,30 @@ def test_tool_contents_and_csv(spark, tmp_path):
     assert any("The [old] cat sat" in x for x in lines) and "2 hits in 2 documents, page 1" in lines and "1 hits in 1 documents, page 1" in lines and "1\told" in lines and "1\td" in lines
     assert sum(x.startswith("error") for x in lines) == 2 and not any("[cat]" in x for x in lines)
     assert Tool(c).say(":docs") == ["error: no pattern yet"]
+
+
+def test_corpus_grows_and_shrinks(spark, tmp_path):
+    form = descriptor.from_dict("cfg", {"documentPath": "//doc", "annotatedFields": {"contents": {"wordPath": ".//w"}}, "metadata": {"fields": [{"name": "code", "valuePath": "@pid"}]}, "corpusConfig": {"displayName": "Small", "specialFields": {"pidField": "code"}}})
+    out = str(tmp_path / "corpus")
+    for i in (1, 2, 3):
+        (tmp_path / f"{i}").mkdir()
+        (tmp_path / f"{i}/x.xml").write_text(f'<doc pid="d{i}"><w>one</w><w>w{i}</w></doc>')
+        c = Corpus.add(loaders.load(spark, str(tmp_path / f"{i}"), form), out)
+    assert c.search("'one'").frame.count() == 3 and c.doc("d2").count() == 1 and c.contents("d3").startswith('<doc pid="d3">')
+    assert c.describe()["name"] == "Small" and c.describe()["pidField"] == "code"
+    info = c.field_info("word", 2)
+    assert info["is"] == "annotation" and info["main"] and info["folded"] and info["truncated"] and info["values"]["one"] == 3
+    assert c.field_info("code")["values"] == {"d1": 1, "d2": 1, "d3": 1} and not c.field_info("code")["truncated"]
+    less = c.without("code:d2", str(tmp_path / "less"))
+    assert less.search("'one'").frame.count() == 2 and less.config == c.config and "tei-p5" in Corpus.formats()
+
+
+def test_stages_before_parsing(spark, tmp_path):
+    loaders.register_converter("backwards", lambda data: data[::-1].decode(), binary=True)
+    loaders.register_converter("louder", str.upper)
+    (tmp_path / "a.txt").write_bytes(b"olleh")
+    got = loaders.load(spark, str(tmp_path), "txt", converter=["backwards", "louder"])
+    assert [r.word for r in got.tokens().collect()] == ["HELLO"]
+    for bad in (["nosuch"], ["louder", "backwards"]):
+        with pytest.raises(descriptor.FormatError):
+            loaders.load(spark, str(tmp_path), "txt", converter=bad)
