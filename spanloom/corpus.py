@@ -238,7 +238,7 @@ class Corpus:
     def autocomplete(self, prefix: str, annotation: str | None = None, most: int = 30) -> DataFrame:
         return rs.autocomplete(self.tables, prefix, annotation, most)
 
-    def relation_statistics(self, limit_values: int = 200) -> DataFrame:
+    def relation_statistics(self, limit_values: int | None = 200) -> DataFrame:
         rows = self.tables.relations
         if self.tables.spans is not None:
             spans = rl.span_relations(self.tables.spans)

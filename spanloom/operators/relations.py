@@ -176,10 +176,17 @@ def span_relations(spans: DataFrame, field: str = "contents") -> DataFrame:
     )
 
 
-def statistics(rows: DataFrame, limit_values: int = 200) -> DataFrame:
-    """Per class and type: the number of relations; and per attribute, the values' frequencies, the most frequent `limit_values`."""
+def statistics(rows: DataFrame, limit_values: int | None = None) -> DataFrame:
+    """Per class and type: the number of relations; and per attribute, the values' frequencies. With `limit_values` only so many of the most
+    frequent ones, and in `truncated` whether an attribute has more."""
     counts = rows.groupBy("rel_class", "rel_type").agg(F.count("*").alias("n")).select("rel_class", "rel_type", F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value"), "n")
     attrs = rows.select("rel_class", "rel_type", F.explode("attrs").alias("attribute", "values")).select("rel_class", "rel_type", "attribute", F.element_at("values", 1).alias("value"))
     values = attrs.groupBy("rel_class", "rel_type", "attribute", "value").agg(F.count("*").alias("n"))
-    top = W.partitionBy("rel_class", "rel_type", "attribute").orderBy(F.desc("n"), "value")
-    return counts.unionByName(values.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= limit_values).drop("_r"))
+    if limit_values is None:
+        return counts.unionByName(values)
+    # the first within salted parts, then the first of those: no task ranks all values of an attribute
+    own = ["rel_class", "rel_type", "attribute"]
+    top = lambda *more: W.partitionBy(*own, *more).orderBy(F.desc("n"), "value")
+    some = values.withColumn("_s", F.pmod(F.xxhash64("value"), F.lit(64))).withColumn("_r", F.row_number().over(top("_s"))).where(F.col("_r") <= limit_values + 1)
+    ranked = some.withColumn("_r", F.row_number().over(top())).where(F.col("_r") <= limit_values + 1).withColumn("truncated", F.max("_r").over(W.partitionBy(*own)) > limit_values)
+    return counts.withColumn("truncated", F.lit(False)).unionByName(ranked.where(F.col("_r") <= limit_values).drop("_r", "_s"))

@@ -435,9 +435,9 @@ def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str
     every = [(r.name, v) for r in roles for v in r.variant_names]
     tables = tuple(every if only is None else [t for t in every if t in set(only)])
     by_name = {r.name: r for r in roles}
-    key_type = dict(df.dtypes)[key]
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
-    fields = [pa.field(key, arrow_key), pa.field("role", STR), pa.field("variant", STR)]
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
+
+    fields = [pa.field(key, to_arrow_type(df.schema[key].dataType)), pa.field("role", STR), pa.field("variant", STR)]
     for level in levels:
         fields += [pa.field(f"{level}_no", pa.int32()), pa.field(f"{level}_name", STR)]
     # a struct needs a field, so each has one that says it is there
@@ -487,8 +487,6 @@ def shred(df: DataFrame, key: str, body: str, roles: tuple[Role, ...], root: str
                     common, values, rows_of = fresh()
         yield batch_of(common, values, rows_of)
 
-    from pyspark.sql.pandas.types import from_arrow_schema
-
     routed = df.select(key, body).where(F.col(body).isNotNull()).mapInArrow(run, from_arrow_schema(schema))
     return Shredded(routed, key, roles, levels, tables)
 

@@ -178,3 +178,11 @@ def test_frequent_values_say_whether_there_are_more(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate("aaabbcd")], "doc_id int, f string")
     assert [(r.value, r.docs, r.truncated) for r in rs.field_values(docs, "f", 2).orderBy("value").collect()] == [("a", 3, True), ("b", 2, True)]
     assert {r.truncated for r in rs.field_values(docs, "f", 4).collect()} == {False} and rs.field_values(docs, "f").count() == 4
+
+
+def test_relation_statistics_say_whether_there_are_more(spark):
+    rows = [("dep", "det", {"d": [str(i % 5)]}) for i in range(12)] + [("dep", "amod", {"d": ["1"]})]
+    df = spark.createDataFrame(rows, "rel_class string, rel_type string, attrs map<string,array<string>>")
+    got = {(r.rel_type, r.value): (r.n, r.truncated) for r in rl.statistics(df, 2).where("attribute IS NOT NULL").collect()}
+    assert got == {("det", "0"): (3, True), ("det", "1"): (3, True), ("amod", "1"): (1, False)}
+    assert rl.statistics(df).where("attribute = 'd'").count() == 6
