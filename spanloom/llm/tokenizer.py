@@ -16,9 +16,11 @@ import base64
 import hashlib
 import os
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -292,6 +294,8 @@ class EditableText:
     pieces: list[str] = field(default_factory=list)
     #: A piece's table is made when an edit goes on from it.
     tables: list[list[int] | None] = field(default_factory=list)
+    #: Each piece's ids.
+    known: list[tuple[int, ...]] = field(default_factory=list)
     #: Pieces encoded by edits; shows that an edit costs what is near it.
     encoded: int = 0
 
@@ -305,9 +309,13 @@ class EditableText:
         bounds, first = cut_pieces(cps, offs)
         data = cps.tobytes().decode("utf-32-le").encode("utf-8")
         at = cp.byte_offsets(cps)[bounds]
-        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)).to_pylist()
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            yield EditableText(encoder, pieces[a:b], [None] * (b - a))
+        pieces = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data)).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        encoded = [encoder.encode_piece(p) for p in distinct]  # each distinct piece of all texts once
+        codes, first = pieces.indices.to_pylist(), first.tolist()
+        for a, b in zip(first[:-1], first[1:]):
+            own = codes[a:b]
+            yield EditableText(encoder, [distinct[c] for c in own], [None] * (b - a), [encoded[c] for c in own])
 
     #: A boundary depends on what follows by no more than this many pieces.
     REACH = 3
@@ -328,15 +336,19 @@ class EditableText:
         self.encoded += 1
         return self.encoder.extend(table, data)
 
+    def __len__(self) -> int:
+        """Characters."""
+        return sum(map(len, self.pieces))
+
     def append(self, text: str) -> None:
-        self.replace(sum(map(len, self.pieces)), 0, text)
+        self.replace(len(self), 0, text)
 
     def replace(self, start: int, length: int, text: str) -> None:
         """Replaces `length` characters from `start`; only pieces near them are cut and encoded again."""
-        ends = np.cumsum([len(p) for p in self.pieces]) if self.pieces else np.zeros(0, np.int64)
-        a = max(0, int(np.searchsorted(ends, start, "left")) - self.REACH)
-        b = int(np.searchsorted(ends, start + length, "left")) + 1
-        begin = int(ends[a - 1]) if a else 0
+        ends = list(accumulate(map(len, self.pieces)))
+        a = max(0, bisect_left(ends, start) - self.REACH)
+        b = bisect_left(ends, start + length) + 1
+        begin = ends[a - 1] if a else 0
         more = self.REACH
         while True:
             stop = min(len(self.pieces), b + more)
@@ -360,9 +372,10 @@ class EditableText:
         end = stop - tail
         self.pieces[a + same : end] = middle
         self.tables[a + same : end] = fresh
+        self.known[a + same : end] = [self.encoder.walk(t) for t in fresh]
 
     def ids(self) -> list[int]:
-        return [i for p, t in zip(self.pieces, self.tables) for i in (self.encoder.encode_piece(p) if t is None else self.encoder.walk(t))]
+        return list(chain.from_iterable(self.known))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -408,7 +421,7 @@ def encode_edited(df: DataFrame, key: str, text: str, at: str, remove: str, inse
         for batch in batches:
             ids, pieces, again = [], [], []
             for kept, a, n, new in zip(EditableText.of(tool, batch.column(1)), *(batch.column(i).to_pylist() for i in range(2, 5))):
-                length = sum(map(len, kept.pieces))
+                length = len(kept)
                 start = min(max(a or 0, 0), length)
                 kept.replace(start, min(max(n or 0, 0), length - start), new or "")
                 ids.append(kept.ids())
