@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import canonical, frequency, mixture, quality, relevance, together, tokenizer
+from spanloom.session import cut
 from spanloom.tables import single, table
 
 P2_FIELDS = {"match.word": ("match.word", "word"), "left.punct": ("left.punct", "punct")}
@@ -102,7 +103,7 @@ def p5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lemmas in the same document. The largest documents are huge baskets, and few items are sent, so that they are joined."""
-    words = table(spark, sf_dir, "tokens").groupBy("doc_id").agg(F.collect_set("lemma").alias("lemmas"))
+    words = cut(table(spark, sf_dir, "tokens").groupBy("doc_id").agg(F.collect_set("lemma").alias("lemmas")))
     pairs, _ = together.associations(words, "doc_id", "lemmas", least=10, per_thousand=5, most_sent=1000)
     return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
