@@ -145,12 +145,20 @@ class TreeAutomaton:
         return self._accept[key]
 
 
+def _wide_int(digits: str) -> float | int:
+    """Numbers of more digits than Python reads as an integer are read as numbers without end."""
+    try:
+        return int(digits)
+    except ValueError:
+        return float(digits)
+
+
 _BLANK = re.compile(r"[ \t\n\r]*")
 
 
 def _parse_deep(text: str) -> object:
     """JSON of any depth, with an explicit stack; the decoder in C is faster but gives up on deep nesting."""
-    scalar = json.JSONDecoder().raw_decode
+    scalar = json.JSONDecoder(parse_int=_wide_int).raw_decode
     root: list = []
     stack: list[tuple[object, str | None]] = [(root, None)]  # containers, and the key that waits in each
     at, wants_value, first = _BLANK.match(text).end(), True, False
@@ -219,13 +227,13 @@ def parse_body(body: str | None) -> object:
         text = body[start:] if start else body
         try:
             body = json.loads(text)
-        except RecursionError:
+        except json.JSONDecodeError:
+            return None
+        except (RecursionError, ValueError):  # too deep, or a number too long, for the decoder
             try:
                 body = _parse_deep(text)
             except ValueError:
                 return None
-        except ValueError:
-            return None
     return body
 
 

@@ -95,6 +95,8 @@ def test_deep_and_wrapped_bodies(spark):
     for _ in range(10):
         wrapped = json.dumps(wrapped)
     assert rows(spark, [(1, wrapped)]) == want
+    assert rows(spark, [(1, body.replace('"tagName": "u"', '"odd": ' + "9" * 6_000))]) == want  # a number of 6,000 digits
+    assert rows(spark, [(1, body.replace('"start": 1, "end": 3', '"start": ' + "9" * 6_000))]) == want
     assert rows(spark, [(1, '{"hits": ' + "[" * 50_000 + "]" * 49_999 + "}")]) == []
     assert rows(spark, [(1, body.replace('"tagName": "u"', '"tagName": "\\ud800"'))]) == want  # half a surrogate pair
 
