@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 from xml.parsers import expat
 
@@ -65,9 +66,7 @@ class Tree:
     def _step(self, x, step: str) -> list:
         deep = step.startswith("//")
         step = step[2:] if deep else step
-        m = re.match(r"([^\[]*)((?:\[.*\])*)$", step, re.DOTALL)
-        name, conditions = m.group(1).strip(), [c for c in _split(m.group(2)[1:-1], "][") if c] if m.group(2) else []
-        name = name.replace("attribute::", "@")
+        name, conditions = _parts(step)
         if isinstance(x, str):
             return []
         if name == "..":
@@ -148,11 +147,17 @@ class Tree:
         return self.find(e, x)
 
     def values(self, at: ET.Element, path: str) -> list[str]:
+        if path[:1] == "@" and path[1:].isidentifier():  # the most frequent kind of path
+            v = at.attrib.get(path[1:])
+            if v is not None:
+                return [v]
         return [text_of(v) for v in self.find(at, path)]
 
     def value(self, at: ET.Element, path: str) -> str | None:
         if len(path) > 1 and path[0] == path[-1] and path[0] in "'\"":
             return path[1:-1]
+        if path[:1] == "@" and (v := at.attrib.get(path[1:])) is not None:
+            return v
         for part in _split(path, "|"):  # the first alternative that is there
             found = self.values(at, part.strip())
             if found:
@@ -216,8 +221,9 @@ def text_of(x) -> str:
     return x if isinstance(x, str) else re.sub(r"\s+", " ", "".join(x.itertext())).strip()
 
 
+@lru_cache(maxsize=4096)
 def _split(text: str, sign: str) -> list[str]:
-    """Splits outside brackets and quotes."""
+    """Splits outside brackets and quotes. The list is shared and must not be changed."""
     out, depth, quote, last, i = [], 0, "", 0, 0
     while i < len(text):
         ch = text[i]
@@ -238,6 +244,15 @@ def _split(text: str, sign: str) -> list[str]:
     return [*out, text[last:]]
 
 
+@lru_cache(maxsize=4096)
+def _parts(step: str) -> tuple[str, list[str]]:
+    """A step's name and its predicates."""
+    m = re.match(r"([^\[]*)((?:\[.*\])*)$", step, re.DOTALL)
+    conditions = [c for c in _split(m.group(2)[1:-1], "][") if c] if m.group(2) else []
+    return m.group(1).strip().replace("attribute::", "@"), conditions
+
+
+@lru_cache(maxsize=4096)
 def _steps(path: str) -> list[str]:
     out: list[str] = []
     deep = False
