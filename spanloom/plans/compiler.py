@@ -342,7 +342,7 @@ class Compiler:
     def _call(self, e: n.Call) -> DataFrame:
         if e.name == "rmatch" and len(e.arguments) > 1:
             return self._matched(e.arguments)
-        return self.hits(self.called(e))
+        return self.hits(normalise(self.called(e)))  # what a function gives is a new tree
 
     def _matched(self, parts: tuple[Node, ...]) -> DataFrame:
         """AND of relations: each part must match a relation of its own."""
@@ -350,7 +350,7 @@ class Compiler:
         for p in parts:
             if isinstance(p, n.Default):
                 continue
-            hits = self.hits(p)
+            hits = self.hits(normalise(p))
             own = rel.relation_captures(hits)
             name = own[-1].removeprefix("c_") if own else None
             out = hits if out is None else rel.both_unique(out, hits, names, name) if name else sp.both(out, hits)

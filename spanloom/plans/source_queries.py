@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom import tables as tb
@@ -10,6 +14,7 @@ from spanloom.corpus import Corpus
 from spanloom.functions import analyzers, process
 from spanloom.operators import results as rs
 from spanloom.operators import spans as sp
+from spanloom.plans import nodes as n
 from spanloom.plans.compiler import run
 from spanloom.plans.corpus_queries import _JN, PRE, QUERIES, SQL, corpus, is_word, out, query, tok
 from spanloom.session import importable, scratch
@@ -359,4 +364,71 @@ def dutch_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("t")).cast("bigint").alias("letters"))
 
 
+# -- extension points ----------------------------------------------------------------------------------
+
+
+@query("own_query_function", PRE + tok("a", is_word("the")) + tok("b", "p = 'nn'") + ", c AS (SELECT a.doc_id, a.s, b.e FROM a JOIN b ON a.doc_id = b.doc_id AND b.s BETWEEN a.e AND a.e + 1)" + out("c"))
+def own_query_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the query language that is registered by name: two patterns with at most one token between them."""
+    c = Corpus(corpus(spark, sf_dir), tb.docs(spark, sf_dir))
+    c.register("near", lambda a, b: n.Seq((a, n.Any_(0, 1), b)))
+    return c.search("near('the', [pos='NN'])").frame.select(*sp.KEYS).distinct()
+
+
+@query("own_analyzer", PRE + " SELECT doc_id, CAST(len(string_split(coalesce(title, ''), 'e')) AS BIGINT) AS pieces FROM D")
+def own_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    analyzers.register("at_e", lambda c: F.split(c, "e"))
+    return tb.docs(spark, sf_dir).select("doc_id", F.size(analyzers.analyze(F.coalesce("title", F.lit("")), "at_e")).cast("bigint").alias("pieces"))
+
+
+_TITLE_WORDS = PRE + r", x AS (SELECT doc_id, {0} AS t FROM D WHERE title IS NOT NULL), w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+(?:[''’-][\p{{L}}\p{{N}}]+)*')) AS word FROM x) "
+
+
+@query("own_stages", _TITLE_WORDS.format("upper(reverse(title))") + "SELECT doc_id, word, count(*) AS freq FROM w GROUP BY ALL")
+def own_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that go through a converter of bytes and a tagger before they are parsed."""
+    loaders.register_converter("reversed", lambda data: data.decode()[::-1], binary=True)
+    loaders.register_converter("capitals", str.upper)
+    d = tb.docs(spark, sf_dir).where("title IS NOT NULL").select(F.concat(F.lit("made/"), F.col("doc_id").cast("string")).alias("path"), F.encode("title", "UTF-8").alias("content"))
+    form = loaders.FORMATS["txt"]
+    importable(spark)
+    x = loaders.Loaded(loaders.documents(d, form, ["reversed", "capitals"]), form, keep=False)
+    return named(x, x.tokens()).groupBy("doc_id", "word").agg(F.count("*").alias("freq"))
+
+
+@query("watched_folder", _TITLE_WORDS.format("title") + "SELECT word, count(*) AS freq FROM w GROUP BY 1")
+def watched_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder, loaded as they come, each batch once."""
+    importable(spark)
+    folder, found, marks = scratch(spark), scratch(spark), scratch(spark)
+    tb.docs(spark, sf_dir).where("title IS NOT NULL").select("title").repartition(4).write.text(folder)
+    ingest.watch(spark, folder, "txt", found, marks, glob="part-*").awaitTermination()
+    return ingest.read(spark, found, "tokens").groupBy("word").agg(F.count("*").alias("freq"))
+
+
+@query("field_values_described", PRE + " SELECT lang AS value, count(*) AS n, false AS truncated FROM D WHERE lang IS NOT NULL GROUP BY 1")
+def field_values_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = Corpus(corpus(spark, sf_dir), tb.docs(spark, sf_dir)).field_info("lang")
+    return spark.createDataFrame([(v, k, info["truncated"]) for v, k in info["values"].items()], "value string, n bigint, truncated boolean")
+
+
+@query("hits_in_order", _JN + " SELECT count(*) AS hits, CAST(0 AS BIGINT) AS out_of_order FROM h")
+def hits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits sorted within their documents, without a sort of all."""
+    t = corpus(spark, sf_dir)
+    rows = sp.in_order(run("[pos='JJ'] [pos='NN']", t)).withColumn("_i", F.monotonically_increasing_id())
+    before = F.lag("start_pos").over(W.partitionBy("doc_id").orderBy("_i"))
+    return rows.withColumn("_late", before > F.col("start_pos")).agg(F.count("*").alias("hits"), F.count(F.when(F.col("_late"), 1)).alias("out_of_order"))
+
+
+@query("csv_with_summary", _JN + " SELECT 'summary.numberOfHits' AS name, CAST(count(*) AS VARCHAR) AS value FROM h UNION ALL SELECT 'summary.numberOfDocs', CAST(count(DISTINCT doc_id) AS VARCHAR) FROM h UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM h")
+def csv_with_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as CSV text, with the block that says what was found."""
+    hits = Corpus(corpus(spark, sf_dir), tb.docs(spark, sf_dir)).search("[pos='JJ'] [pos='NN']")
+    lines = list(csv.reader(io.StringIO(hits.csv(["lemma"], 1, 1, most=10_000_000))))[1:]
+    block = {r[0]: r[1] for r in lines if r[0].startswith("summary.")}
+    rows = [("summary.numberOfHits", block["summary.numberOfHits"]), ("summary.numberOfDocs", block["summary.numberOfDocs"]), ("rows", str(len(lines) - len(block)))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 __all__ = ["QUERIES", "SQL"]
