@@ -92,10 +92,11 @@ def write_corpus(tables: dict[str, DataFrame], path: str, mode: str = "overwrite
         spark.createDataFrame([(json.dumps(config, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
 
-def bucketed_tables(tables: dict[str, DataFrame], prefix: str, buckets: int = 200) -> None:
-    """Tables bucketed by document, for joins between them without a shuffle. Needs a catalog."""
+def bucketed_tables(tables: dict[str, DataFrame], prefix: str, path: str, buckets: int = 200) -> None:
+    """Tables of the catalog, bucketed by document and stored below `path`: joins between them on the document, such as filters and
+    originals, need no shuffle."""
     for name, df in tables.items():
-        df.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(f"{prefix}_{name}")
+        df.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", f"{path}/{name}").saveAsTable(f"{prefix}_{name}")
 
 
 def store_lengths(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -316,3 +316,16 @@ def test_stages_before_parsing(spark, tmp_path):
     for bad in (["nosuch"], ["louder", "backwards"]):
         with pytest.raises(descriptor.FormatError):
             loaders.load(spark, str(tmp_path), "txt", converter=bad)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x").alias("pid"))
+    tokens = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos"))
+    sinks.bucketed_tables({"docs": docs, "tokens": tokens}, "bucketed", str(tmp_path / "b"), 4)
+    try:
+        joined = spark.table("bucketed_tokens").hint("merge").join(spark.table("bucketed_docs"), "doc_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 200 and "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        for name in ("docs", "tokens"):
+            spark.sql(f"DROP TABLE bucketed_{name}")
