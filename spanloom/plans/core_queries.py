@@ -22,14 +22,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _entries(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("attributes", F.sort_array(F.map_entries("attributes"))) if "attributes" in rows.columns else rows
+def _flat(rows: DataFrame) -> DataFrame:
+    """Nested columns as JSON text, so that rows can be compared: lists element by element, maps as entries sorted by key."""
+    cols = []
+    for name, kind in rows.dtypes:
+        c = F.sort_array(F.map_entries(name)) if kind.startswith("map") else F.col(name)
+        cols.append((F.to_json(c) if kind.startswith(("map", "array")) else c).alias(name))
+    return rows.select(*cols)
 
 
 def _table(role: shred.Role, depth: int, variant: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         shredded = shred.shred_responses(table(spark, sf_dir, "containing"), only=(role.name,), variant=variant)
-        return _entries(shredded.subtype(role, variant, depth) if variant else shredded.table(role, depth))
+        return _flat(shredded.subtype(role, variant, depth) if variant else shredded.table(role, depth))
 
     return run
 
@@ -82,13 +87,14 @@ P1_HITS = P1_PARTS + f"""SELECT response_id, CAST(hit_no AS INTEGER) AS hit_no,
 P1_RESPONSES = P1_PARTS + "SELECT response_id, json_extract_string(body, '$.summary.searchParam.patt') AS pattern, TRY_CAST(json_extract_string(body, '$.summary.numberOfHits') AS BIGINT) AS number_of_hits FROM good"
 
 _TEXTS = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS VARCHAR[]) WHEN 'NULL' THEN NULL ELSE CASE WHEN {0} IS NOT NULL THEN [{0} ->> '$'] END END"
-_CONTEXT = ", ".join(_TEXTS.format(f"(h -> '$.{p}' -> '$.{a}')") + f" AS {p}_{a}" for p in ("left", "match", "right") for a in ("word", "lemma", "pos", "punct"))
+_SIDES = [(f"{p}_{a}", f"(h -> '$.{p}' -> '$.{a}')") for p in ("left", "match", "right") for a in ("word", "lemma", "pos", "punct")]
+_CONTEXT = ", ".join(f"CAST(to_json({_TEXTS.format(x)}) AS VARCHAR) AS {name}" for name, x in _SIDES)
 P1_WHOLE_HITS = P1_PARTS + f"""SELECT response_id, CAST(hit_no AS INTEGER) AS hit_no, CAST(NULL AS VARCHAR) AS hit_name, h ->> '$.docPid' AS doc_pid, {_INT.format('h', 'start', 'start_pos')}, {_INT.format('h', 'end', 'end_pos')},
   {_CONTEXT} FROM part"""
 P1_WHOLE_INFOS = P1_PARTS + f""", x AS (SELECT *, CASE WHEN json_exists(o, '$.infos') THEN 'list' WHEN json_exists(o, '$.relType') OR json_exists(o, '$.targetStart') OR json_exists(o, '$.sourceStart') THEN 'relation'
   WHEN json_exists(o, '$.tagName') OR json_exists(o, '$.attributes') THEN 'tag' WHEN json_exists(o, '$.start') OR json_exists(o, '$.end') OR json_exists(o, '$.type') THEN 'span' ELSE 'plain' END AS variant FROM info WHERE json_type(o) = 'OBJECT')
 SELECT response_id, variant, CAST(hit_no AS INTEGER) AS hit_no, CAST(NULL AS VARCHAR) AS hit_name, CAST(no AS INTEGER) AS item_no, item_name, o ->> '$.type' AS kind_type, o ->> '$.relType' AS rel_type, o ->> '$.tagName' AS tag_name,
-  CASE WHEN json_type(o -> '$.attributes') = 'OBJECT' THEN list_sort(list_transform(map_entries(CAST(o -> '$.attributes' AS MAP(VARCHAR, JSON))), lambda e: {{'key': e.key, 'value': coalesce({_TEXTS.format('e.value')}, [])}})) END AS attributes,
+  CASE WHEN json_type(o -> '$.attributes') = 'OBJECT' THEN CAST(to_json(list_sort(list_transform(map_entries(CAST(o -> '$.attributes' AS MAP(VARCHAR, JSON))), lambda e: {{'key': e.key, 'value': coalesce({_TEXTS.format('e.value')}, [])}}))) AS VARCHAR) END AS attributes,
   {', '.join(_INT.format('o', f, c) for f, c in (('start', 'start_pos'), ('end', 'end_pos'), ('sourceStart', 'source_start'), ('sourceEnd', 'source_end'), ('targetStart', 'target_start'), ('targetEnd', 'target_end')))} FROM x"""
 
 P1_WHOLE_RELATIONS = P1_PARTS + f"""SELECT response_id, CASE WHEN json_exists(r, '$.sourceStart') THEN 'edge' WHEN json_exists(r, '$.targetStart') THEN 'target_only' ELSE 'plain' END AS variant, CAST(hit_no AS INTEGER) AS hit_no,
@@ -109,7 +115,7 @@ def p1_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(shred.HIT, 1)(spark, sf_dir)
+    rows = shred.shred_responses(table(spark, sf_dir, "containing"), only=("hit",)).table(shred.HIT, 1)
     return rows.select("response_id", "hit_no", "doc_pid", "start_pos", "end_pos", F.array_join("match_word", " ").alias("match_words"), F.array_join("left_punct", "|").alias("left_punct"))
 
 
@@ -120,7 +126,7 @@ def p1_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_whole_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with all their columns, the twelve context arrays element by element."""
+    """Hits with all their columns, the twelve context arrays element by element, as JSON text."""
     return _table(shred.HIT, 1)(spark, sf_dir).drop("variant")
 
 

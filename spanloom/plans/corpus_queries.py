@@ -552,7 +552,7 @@ def doc_groups_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("buckets_per_document", _JN + " SELECT doc_id, CAST(floor(s / 1024) AS INTEGER) AS block, count(*) AS n, min(s) AS first, max(s) AS last FROM h GROUP BY ALL")
 def buckets_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = sp.bucketed(_jn(spark, sf_dir)[0])
-    return b.select("doc_id", "block", F.size("hits").cast("bigint").alias("n"), F.element_at("hits", 1)["start_pos"].cast("bigint").alias("first"), F.element_at("hits", -1)["start_pos"].cast("bigint").alias("last"))
+    return b.select("doc_id", "block", F.size("hits").cast("bigint").alias("n"), F.element_at("hits", 1)["start_pos"].alias("first"), F.element_at("hits", -1)["start_pos"].alias("last"))
 
 
 @query("hits_of_the_same_span", PRE + " SELECT doc_id, s AS start_pos, e AS end_pos, count(*) AS hits FROM (SELECT DISTINCT doc_id, tag, s, e FROM S) GROUP BY ALL")
