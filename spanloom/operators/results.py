@@ -13,6 +13,7 @@ from spanloom.functions.text import fold, fold_text
 from spanloom.operators import properties as pr
 from spanloom.operators import spans as sp
 from spanloom.plans.compiler import Tables
+from spanloom.sources.parsers import BLOCK
 
 # -- hits ------------------------------------------------------------------------------------------
 
@@ -137,15 +138,21 @@ def snippet(raw: DataFrame, hits: DataFrame, tables: Tables, before: int = 20, a
 def original_concordance(raw: DataFrame, hits: DataFrame, tables: Tables, before: int = 5, after: int = 5) -> DataFrame:
     """The original left of, in and right of each hit, with its markup, cut by the character offsets of tokens.
 
-    Originals are joined once per document: its hits' character ranges are put together first, in blocks of positions, so that neither a text
-    is repeated for each of its hits nor a hot document's hits lie in one row.
+    raw: doc_id and raw, or the blocks of `Loaded.originals`. Tokens are read once, for all places around the hits. Whole originals are joined
+    once per document: its hits' character ranges are put together first, in blocks of positions, so that neither a text
+    is repeated for each of its hits nor a hot document's hits lie in one row. Blocks are joined with what lies in them.
     """
-    placed = sp.at_block(hits.select(*sp.KEYS).distinct(), tables.length_table(), "start_pos")
-    placed = placed.withColumns({"_a": F.greatest(F.lit(0), F.col("start_pos") - before), "_z": F.least(F.col("length"), F.col("end_pos") + after) - 1, "_e": F.greatest("start_pos", F.col("end_pos") - 1)}).drop("length")
-    t = tables.tokens
-    for at, column, name in (("_a", "char_start", "_c0"), ("start_pos", "char_start", "_c1"), ("_e", "char_end", "_c2"), ("_z", "char_end", "_c3")):
-        look = t.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_p"), F.col(column).alias(name))
-        placed = placed.join(look, (F.col("doc_id") == F.col("_d")) & (F.col(at) == F.col("_p"))).drop("_d", "_p")
+    around = F.sequence(F.greatest(F.lit(0), F.col("start_pos") - before), F.greatest("start_pos", F.col("end_pos") - 1, F.col("end_pos") + after - 1))
+    wanted = hits.select(*sp.KEYS).distinct().select(*sp.KEYS, F.explode(around).alias("_p"))
+    look = tables.tokens.select(F.col("doc_id").alias("_d"), F.col("pos").alias("_at"), "char_start", "char_end")
+    found = wanted.join(look, (F.col("doc_id") == F.col("_d")) & (F.col("_p") == F.col("_at")))
+    last = F.greatest("start_pos", F.col("end_pos") - 1)
+    placed = found.groupBy(*sp.KEYS).agg(
+        F.min_by("char_start", "_p").alias("_c0"), F.max(F.when(F.col("_p") == F.col("start_pos"), F.col("char_start"))).alias("_c1"),
+        F.max(F.when(F.col("_p") == last, F.col("char_end"))).alias("_c2"), F.max_by("char_end", "_p").alias("_c3"),
+    ).where("_c1 IS NOT NULL AND _c2 IS NOT NULL")
+    if "block" in raw.columns:
+        return _of_blocks(raw, placed)
     spots = F.struct("start_pos", "end_pos", "_c0", "_c1", "_c2", "_c3")
     packed = placed.groupBy("doc_id", F.floor(F.col("start_pos") / (sp.BLOCK * 16)).alias("_block")).agg(F.collect_list(spots).alias("_spots"))
     piece = lambda s, a, z: F.substring(F.col("raw"), s[a] + 1, s[z] - s[a])
@@ -153,6 +160,24 @@ def original_concordance(raw: DataFrame, hits: DataFrame, tables: Tables, before
     return cut_out.select("doc_id", "x.*")
 
 
+def _of_blocks(raw: DataFrame, placed: DataFrame) -> DataFrame:
+    """The pieces of hits from blocks of originals: what lies in each block, put together again where a hit reaches over its edge."""
+    block = lambda c: F.floor(c / BLOCK).cast("int")
+    spread = placed.withColumn("block", F.explode(F.sequence(block(F.col("_c0")), block(F.greatest(F.col("_c0"), F.col("_c3") - 1)))))
+    begin = F.col("block") * BLOCK
+
+    def piece(a: str, z: str) -> Column:
+        first = F.greatest(F.col(a) - begin, F.lit(0))
+        return F.substring(F.col("raw"), first + 1, F.greatest(F.least(F.col(z) - begin, F.lit(BLOCK)) - first, F.lit(0)))
+
+    names = ("left_raw", "match_raw", "right_raw")
+    of = F.struct("block", *(piece(f"_c{i}", f"_c{i + 1}").alias(name) for i, name in enumerate(names)))
+    cut_out = spread.join(raw.select("doc_id", "block", "raw"), ["doc_id", "block"]).select(*sp.KEYS, of.alias("x"))
+    whole = cut_out.groupBy(*sp.KEYS).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    together = lambda name: F.array_join(F.transform("xs", lambda x: x[name]), "").alias(name)
+    return whole.select(*sp.KEYS, *map(together, names))
+
+
 def highlight(text: str, spots: list[tuple[int, int]], before: str = "<hl>", after: str = "</hl>") -> str:
     """Marks character ranges in XML without crossing its tags: a mark ends before a tag and goes on behind it."""
     import re

@@ -33,9 +33,15 @@ def files(rows: DataFrame, line: Column, separator: str = "\n", head: Column | N
     return lines.select(F.concat(F.lit("made/"), F.col("doc_id").cast("string")).alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
-def load(files_: DataFrame, form: str | descriptor.Format) -> loaders.Loaded:
+def pieces(lines: DataFrame) -> DataFrame:
+    """lines: doc_id, part, pos, line. The same files as pieces, each line with its end, in the order of part and pos. No row holds a file: a file's lines meet in a sort, which may spill."""
+    ordered = lines.repartition("doc_id").sortWithinPartitions("doc_id", "part", "pos")
+    return ordered.select(F.concat(F.lit("made/"), F.col("doc_id").cast("string")).alias("path"), F.col("line").alias("content"))
+
+
+def load(files_: DataFrame, form: str | descriptor.Format, pieces_: bool = False) -> loaders.Loaded:
     form = loaders.FORMATS[form] if isinstance(form, str) else form
-    return loaders.Loaded(loaders.documents(files_, form), form, keep=False)
+    return loaders.Loaded(loaders.documents(files_, form, pieces=pieces_), form, keep=False)
 
 
 def named(loaded: loaders.Loaded, rows: DataFrame) -> DataFrame:
@@ -44,6 +50,12 @@ def named(loaded: loaders.Loaded, rows: DataFrame) -> DataFrame:
     return rows.join(loaded.parsed.select("doc_id", own.alias("_own")).distinct(), "doc_id").withColumn("doc_id", F.col("_own")).drop("_own")
 
 
+def owned(loaded: loaders.Loaded) -> loaders.Loaded:
+    """The same with the document ids that the files were made from, which their paths end in; so no second parse is joined."""
+    own = F.expr("try_cast(regexp_extract(path, '(-?[0-9]+)$', 1) AS bigint)")
+    return loaders.Loaded(loaded.parsed.withColumn("doc_id", own), loaded.form, keep=False, numbered=True)
+
+
 def cell(name: str, missing: str = "_") -> Column:
     return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(missing))
 
@@ -53,13 +65,16 @@ def _conllu(spark: SparkSession, sf_dir: str) -> loaders.Loaded:
     head = F.when(F.col("pos") == 0, "0").otherwise(F.col("pos").cast("string"))
     relation = F.when(F.col("pos") == 0, "root").otherwise("next")
     line = F.concat_ws("\t", (F.col("pos") + 1).cast("string"), cell("word"), cell("lemma"), cell("a_pos"), F.lit("_"), F.lit("_"), head, relation, F.lit("_"), F.lit("_"))
-    return load(files(t, line, head=F.concat(F.lit("# newdoc id = "), F.col("doc_id").cast("string"), F.lit("\n")), tail=F.lit("\n\n")), "conll-u")
+    lines = t.select("doc_id", F.lit(1).alias("part"), "pos", F.concat(line, F.lit("\n")).alias("line"))
+    each = tb.table(spark, sf_dir, "tokens").select("doc_id").distinct()
+    around = F.array(F.struct(F.lit(0).alias("part"), F.concat(F.lit("# newdoc id = "), F.col("doc_id").cast("string"), F.lit("\n")).alias("line")), F.struct(F.lit(2).alias("part"), F.lit("\n").alias("line")))
+    edges = each.select("doc_id", F.explode(around).alias("x")).select("doc_id", "x.part", F.lit(0).alias("pos"), "x.line")
+    return load(pieces(lines.unionByName(edges)), "conll-u", True)
 
 
 @query("load_treebank", PRE + " SELECT doc_id, pos, word, nullif(lemma, '') AS lemma, nullif(a_pos, '') AS a_pos FROM T")
 def load_treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _conllu(spark, sf_dir)
-    return named(x, x.tokens()).select("doc_id", "pos", "word", "lemma", "a_pos")
+    return owned(_conllu(spark, sf_dir)).tokens().select("doc_id", "pos", "word", "lemma", "a_pos")
 
 
 @query("load_treebank_relations", PRE + " SELECT doc_id, CASE WHEN pos = 0 THEN 'root' ELSE 'next' END AS rel_type, pos = 0 AS is_root, greatest(pos - 1, 0) AS src_start, pos AS tgt_start FROM T")

@@ -1,4 +1,4 @@
-"""Loading of files and archives into corpus tables: one row per document from a single parse, then flat tables."""
+"""Loading of files and archives into corpus tables: one row per part of a document from a single parse, then flat tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ import os
 import re
 import tarfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,15 @@ from spanloom.plans.compiler import Tables
 from spanloom.session import importable
 from spanloom.sources import parsers
 from spanloom.sources.descriptor import BUNDLED, Annotation, Format, FormatError, Linked
+from spanloom.sources.held import Spool
 
 _VALUES = "map<string,array<string>>"
 DOCUMENT = (
     "path string, doc_no int, field string, error string, metadata map<string,array<string>>, raw string, "
     f"tokens array<struct<pos:int,`values`:{_VALUES},punct:string,char_start:int,char_end:int>>, "
     "spans array<struct<tag:string,start_pos:int,end_pos:int,attrs:map<string,string>>>, "
-    "relations array<struct<rel_class:string,rel_type:string,src_start:int,src_end:int,tgt_start:int,tgt_end:int,attrs:map<string,string>,tgt_field:string>>"
+    "relations array<struct<rel_class:string,rel_type:string,src_start:int,src_end:int,tgt_start:int,tgt_end:int,attrs:map<string,string>,tgt_field:string>>, "
+    "part int, last boolean, block int, related int"
 )
 FORMATS: dict[str, Format] = dict(BUNDLED)
 #: Stages before a file is parsed, by name: converters, from bytes or text to text, and taggers, from text to text.
@@ -159,46 +162,136 @@ def _read_beside(path: str) -> str:
         return decode(f.read())
 
 
-def _record(path: str, no: int, d: parsers.Document) -> dict:
-    return {
-        "path": path, "doc_no": no, "field": d.field, "error": None, "metadata": list(d.metadata.items()), "raw": d.raw,
-        "tokens": [{"pos": i, "values": list(v.items()), "punct": p, "char_start": a, "char_end": z} for i, (v, p, a, z) in enumerate(d.tokens)],
-        "spans": [{"tag": t, "start_pos": s, "end_pos": e, "attrs": list(a.items())} for t, s, e, a in d.spans],
-        "relations": [{"rel_class": c, "rel_type": t, "src_start": s, "src_end": e, "tgt_start": ts, "tgt_end": te, "attrs": list(a.items()), "tgt_field": other[0] if other else None} for c, t, s, e, ts, te, a, *other in d.relations],
-    }
+class _Rows:
+    """Parts of documents as batches of rows, built by columns."""
 
+    #: Tokens, spans and relations of a batch, about.
+    MOST = 8192
 
-def documents(files: DataFrame, form: Format, converter: str | list[str] = "none") -> DataFrame:
-    """files: path, content (binary). One row per document and annotated field; a file that can't be parsed gives one row with its error.
+    def __init__(self, schema: pa.Schema):
+        self.schema = schema
+        self._begin()
 
-    Files that XML includes are read from beside it.
+    def _begin(self) -> None:
+        self.names, self.parts, self.size = [], [], 0
+
+    def add(self, path: str | None, no: int, d: parsers.Document, error: str | None = None) -> None:
+        self.names.append((path, no, error))
+        self.parts.append(d)
+        self.size += 1 + len(d.tokens) + len(d.spans) + len(d.relations) + (len(d.raw or "") >> 5)
+
+    def extend(self, other: _Rows) -> None:
+        self.names += other.names
+        self.parts += other.parts
+        self.size += other.size
+
+    def full(self) -> bool:
+        return self.size >= self.MOST
+
+    def taken(self) -> pa.RecordBatch:
+        ps, type_ = self.parts, {f.name: f.type for f in self.schema}
+        at = lambda xs: pa.array(list(accumulate(xs, initial=0)), pa.int32())
+        texts = lambda xs: pa.array(xs, pa.string())
+
+        def lists(xs: list[list[str]], type_: pa.DataType) -> pa.Array:
+            return pa.ListArray.from_arrays(at(map(len, xs)), texts([v for x in xs for v in x]), type=type_)
+
+        def maps(xs: list[dict | None], type_: pa.DataType, items: Callable) -> pa.Array:
+            full = [x or {} for x in xs]
+            return pa.MapArray.from_arrays(at(map(len, full)), texts([k for x in full for k in x]), items([v for x in full for v in x.values()]), type=type_)
+
+        def rows(of: str, columns: list[pa.Array]) -> pa.Array:
+            struct = type_[of].value_type
+            return pa.ListArray.from_arrays(at(len(getattr(p, of)) for p in ps), pa.StructArray.from_arrays(columns, fields=list(struct)), type=type_[of])
+
+        def kind(of: str, name: str) -> pa.DataType:
+            return type_[of].value_type.field(name).type
+
+        ints = lambda xs: pa.array(xs, pa.int32())
+        t = [x for p in ps for x in p.tokens]
+        values = kind("tokens", "values")
+        tokens = [ints([i for p in ps for i in range(p.first, p.first + len(p.tokens))]), maps([x[0] for x in t], values, lambda v: lists(v, values.item_type)), texts([x[1] for x in t]), ints([x[2] for x in t]), ints([x[3] for x in t])]
+        s = [x for p in ps for x in p.spans]
+        spans = [texts([x[0] for x in s]), ints([x[1] for x in s]), ints([x[2] for x in s]), maps([x[3] for x in s], kind("spans", "attrs"), texts)]
+        r = [x for p in ps for x in p.relations]
+        relations = [*(texts([x[i] for x in r]) for i in (0, 1)), *(ints([x[i] for x in r]) for i in (2, 3, 4, 5)), maps([x[6] for x in r], kind("relations", "attrs"), texts), texts([x[7] if len(x) > 7 else None for x in r])]
+        known = {
+            "path": [n for n, _, _ in self.names], "doc_no": [n for _, n, _ in self.names], "field": [p.field for p in ps], "error": [e for _, _, e in self.names],
+            "metadata": [list(p.metadata.items()) if p.last else None for p in ps], "raw": [p.raw for p in ps], "part": [p.part for p in ps], "last": [p.last for p in ps], "block": [p.block for p in ps], "related": [p.related for p in ps],
+        }
+        nested = {"tokens": tokens, "spans": spans, "relations": relations}
+        arrays = [rows(f.name, nested[f.name]) if f.name in nested else pa.array(known[f.name], f.type) for f in self.schema]
+        self._begin()
+        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
+
+
+#: Batches of a file that are held in memory until all of it is parsed; more lie in a file.
+HELD = 8
+
+
+def documents(files: DataFrame, form: Format, converter: str | list[str] = "none", pieces: bool = False) -> DataFrame:
+    """files: path, content (binary). Rows for the parts of each document and annotated field; a file that can't be parsed gives one row with its error.
+
+    Files that XML includes are read from beside it. With `pieces`, contents are pieces of the files' text (string), and those of a file follow
+    each other in a partition; an include must lie in one piece. So neither side holds a large file as a whole.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    if pieces and converter not in ("none", ["none"], []):
+        raise FormatError("a converter needs whole files")
     convert = stages(converter)
     schema = StructType.fromDDL(DOCUMENT)
 
+    def included(text: str, name: str) -> str:
+        return resolve_includes(text, os.path.dirname(name), _read_beside) if form.file_type == "xml" and _INCLUDE.search(text) else text
+
+    def parsed(name: str, of: Callable[[], Iterator[parsers.Document]]) -> tuple[Spool, _Rows]:
+        """The batches of a large file, and the parts that don't fill one."""
+        held, rest, no = Spool(HELD), _Rows(to_arrow_schema(schema)), -1
+        for d in of():
+            no += not d.further and not d.part
+            rest.add(name, no, d)
+            if rest.full():
+                held.append(rest.taken())
+        return held, rest
+
+    def whole(path: str, data: bytes | None) -> Iterator[tuple[Spool, _Rows]]:
+        if data is None:
+            raise FormatError("it can't be read")
+        for name, inner in members(path, data):
+            text = [included(convert(inner), name)]
+            try:
+                yield parsed(name, lambda: parsers.parts(text, form))  # noqa: B023
+            except parsers.Nested:
+                yield parsed(name, lambda: parsers.parts(text, form, whole=True))  # noqa: B023
+
+    def piecewise(path: str, texts: Iterable[str | None]) -> Iterator[tuple[Spool, _Rows]]:
+        def read() -> Iterator[str]:
+            for x in texts:
+                if x is None:
+                    raise FormatError("it can't be read")
+                yield included(x, path)
+
+        yield parsed(path, lambda: parsers.parts(read(), form))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = []
-                try:
-                    if data is None:
-                        raise FormatError("it can't be read")
-                    for name, inner in members(path, data):
-                        text = convert(inner)
-                        if form.file_type == "xml" and _INCLUDE.search(text):
-                            text = resolve_includes(text, os.path.dirname(name), _read_beside)
-                        no = -1
-                        for d in parsers.parse(text, form):
-                            no += not d.further
-                            out.append(_record(name, no, d))
-                except Exception as e:  # noqa: BLE001  one bad file must not stop the load
-                    out.append({"path": path, "doc_no": -1, "field": form.field, "error": f"{type(e).__name__}: {e}"[:500]} | {k: [] for k in ("metadata", "tokens", "spans", "relations")} | {"raw": None})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        out = _Rows(to_arrow_schema(schema))
+        rows = (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        files_ = ((path, piecewise(path, (x for _, x in group))) for path, group in groupby(rows, lambda x: x[0])) if pieces else ((path, whole(path, data)) for path, data in rows)
+        for path, found in files_:
+            try:
+                for held, rest in found:
+                    yield from held
+                    out.extend(rest)
+                    if out.full():
+                        yield out.taken()
+            except Exception as e:  # noqa: BLE001  one bad file must not stop the load
+                out.add(path, -1, parsers.Document(raw=None, field=form.field), f"{type(e).__name__}: {e}"[:500])
+            if out.full():
+                yield out.taken()
+        if out.size:
+            yield out.taken()
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -212,18 +305,23 @@ def read_files(spark: SparkSession, path: str | list[str], glob: str = "*", recu
 
 
 class Loaded:
-    """The flat tables of parsed documents. With `keep` the parse is cached while the tables are used; write them to keep them."""
+    """The flat tables of parsed documents. With `keep` the parse is cached while the tables are used; write them to keep them.
+    Documents get an id from path and number, unless `numbered` says that they have one."""
 
-    def __init__(self, parsed: DataFrame, form: Format, keep: bool = True):
-        numbered = parsed.withColumn("doc_id", F.xxhash64("path", "doc_no"))
-        self.parsed = numbered.cache() if keep else numbered
+    def __init__(self, parsed: DataFrame, form: Format, keep: bool = True, numbered: bool = False):
+        rows = parsed if numbered else parsed.withColumn("doc_id", F.xxhash64("path", "doc_no"))
+        self.parsed = rows.cache() if keep else rows
         self.form = form
 
     def errors(self) -> DataFrame:
         return self.parsed.where("error IS NOT NULL").select("path", "error")
 
     def docs(self) -> DataFrame:
-        good = self.parsed.where((F.col("error").isNull()) & (F.col("field") == self.form.field))
+        rows = self.parsed.where(F.col("field") == self.form.field).groupBy("doc_id", "path", "doc_no")
+        blocks = F.sort_array(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("block", "raw"))))
+        good = rows.agg(
+            F.first("metadata", True).alias("metadata"), F.sum(F.size("tokens")).cast("int").alias("length_tokens"), F.array_join(F.transform(blocks, lambda x: x["raw"]), "").alias("raw"), F.max("error").alias("error")
+        ).where("error IS NULL")
         fields = [m for m in self.form.metadata if m.name and not m.name.startswith("_link_")]
         own = [F.try_element_at("metadata", F.lit(m.name)) for m in fields]
         cols = []
@@ -233,7 +331,11 @@ class Loaded:
             cols.append(process.unknown(v, m.unknown_condition, m.unknown_value).alias(m.name))
         names = {m.name for m in fields}
         pid = [] if "pid" in names else [F.coalesce(F.try_element_at(F.try_element_at("metadata", F.lit("pid")), F.lit(1)), F.concat_ws("#", "path", "doc_no")).alias("pid")]
-        return good.select("doc_id", *pid, *cols, "metadata", F.size("tokens").alias("length_tokens"), "raw", "path")
+        return good.select("doc_id", *pid, *cols, "metadata", "length_tokens", "raw", "path")
+
+    def originals(self) -> DataFrame:
+        """The originals in blocks of `parsers.BLOCK` characters, of which a task needn't hold all: doc_id, block, raw."""
+        return self.parsed.where((F.col("field") == self.form.field) & F.col("error").isNull() & F.col("raw").isNotNull()).select("doc_id", "block", "raw")
 
     def _form(self, field: str | None) -> Format:
         return next(f for f in (self.form, *self.form.further) if field in (None, f.field))
@@ -268,7 +370,7 @@ class Loaded:
 
     def relations(self, field: str | None = None) -> DataFrame:
         own = self._form(field).field
-        rows = self._rows(field).select("doc_id", F.posexplode("relations").alias("rel_no", "r"))
+        rows = self._rows(field).select("doc_id", "related", F.posexplode("relations").alias("rel_no", "r")).withColumn("rel_no", F.col("related") + F.col("rel_no"))
         root = F.col("r.src_start").isNull()
         return rows.select(
             "doc_id", F.lit(own).alias("field"), F.xxhash64("doc_id", F.lit(own), "rel_no").alias("rel_id"), "r.rel_class", "r.rel_type", F.transform_values("r.attrs", lambda k, v: F.array(v)).alias("attrs"), root.alias("is_root"),
@@ -329,13 +431,13 @@ def with_linked(parsed: DataFrame, form: Format, link: Linked) -> DataFrame:
     for i, v in enumerate(values, 1):
         target = F.replace(target, F.lit(f"${i}"), v)
     bare = lambda c: F.regexp_replace(c, r"^(file:)?/*", "")
-    others = documents(read_files(spark, folder), linked_form).where("error IS NULL")
+    others = documents(read_files(spark, folder), linked_form).where("error IS NULL AND last")
     known = others.select(bare("path").alias("_link"), F.try_element_at(F.try_element_at("metadata", F.lit("pid")), F.lit(1)).alias("_pid"), F.col("metadata").alias("_theirs"))
     if not link.document:
         known = known.dropDuplicates(["_link"])
     joined = parsed.withColumn("_to", bare(target)).join(known, F.col("_to") == F.col("_link"), "left")
     several = joined.where(F.col("_pid").isNull() | (F.col("_pid") == values[0]) | F.col("_link").isNull()) if link.document else joined
-    lost = F.col("error").isNull() & F.col("_theirs").isNull() & F.lit(link.missing == "fail") & (F.col("field") == form.field)
+    lost = F.col("error").isNull() & F.col("_theirs").isNull() & F.lit(link.missing == "fail") & (F.col("field") == form.field) & F.col("last")
     own = F.map_filter("_theirs", lambda k, v: ~F.array_contains(F.map_keys("metadata"), k))
     merged = F.when(F.col("_theirs").isNotNull(), F.map_concat("metadata", own)).otherwise(F.col("metadata"))
     out = several.withColumn("metadata", merged).withColumn("error", F.when(lost, F.concat(F.lit("linked file missing: "), F.coalesce("_to", F.lit("no value")))).otherwise(F.col("error")))
