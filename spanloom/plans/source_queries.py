@@ -165,17 +165,16 @@ def _xml(spark: SparkSession, sf_dir: str) -> loaders.Loaded:
     t = tb.tokens(spark, sf_dir)
     esc = lambda n: _escaped(F.coalesce(F.col(n), F.lit("")))
     word = F.concat(F.lit('<w id="w'), F.col("pos").cast("string"), F.lit('" w="'), esc("word"), F.lit('" l="'), esc("lemma"), F.lit('" p="'), esc("a_pos"), F.lit('"/>'))
-    words = t.select("doc_id", F.lit(0).alias("part"), "pos", word.alias("line"))
+    words = t.select("doc_id", F.lit(1).alias("part"), "pos", F.concat(word, F.lit("\n")).alias("line"))
     s = _whole_spans(t, tb.spans(spark, sf_dir))
     ends = F.concat(F.lit('from="w'), F.col("start_pos").cast("string"), F.lit('" to="#w'), (F.col("end_pos") - 1).cast("string"), F.lit('"/>'))
-    mark = F.concat(F.lit('<span type="'), F.col("tag"), F.lit('" '), ends, F.lit('<link type="ends" '), ends)
-    marks = s.select("doc_id", F.lit(1).alias("part"), F.col("start_pos").alias("pos"), mark.alias("line"))
-    both = words.unionByName(marks).groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("xs"))
-    both = both.select("doc_id", "part", F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("body")).groupBy("doc_id").agg(
-        F.max(F.when(F.col("part") == 0, F.col("body"))).alias("text"), F.coalesce(F.max(F.when(F.col("part") == 1, F.col("body"))), F.lit("")).alias("layer")
-    )
-    text = F.concat(F.lit('<?xml version="1.0"?>\n<all><doc pid="'), F.col("doc_id").cast("string"), F.lit('"><meta><f n="size" v="'), F.length("text").cast("string"), F.lit('"/></meta><text>'), F.col("text"), F.lit("</text><layer>"), F.col("layer"), F.lit("</layer></doc></all>"))
-    return load(both.select(F.concat(F.lit("made/"), F.col("doc_id").cast("string")).alias("path"), F.encode(text, "UTF-8").alias("content")), XML)
+    mark = F.concat(F.lit('<span type="'), F.col("tag"), F.lit('" '), ends, F.lit('<link type="ends" '), ends, F.lit("\n"))
+    marks = s.select("doc_id", F.lit(3).alias("part"), F.col("start_pos").alias("pos"), mark.alias("line"))
+    sizes = words.groupBy("doc_id").agg((F.sum(F.length("line")) - 1).cast("string").alias("size"))
+    head = F.concat(F.lit('<?xml version="1.0"?>\n<all><doc pid="'), F.col("doc_id").cast("string"), F.lit('"><meta><f n="size" v="'), F.col("size"), F.lit('"/></meta><text>'))
+    around = F.array(*(F.struct(F.lit(part).alias("part"), line.alias("line")) for part, line in ((0, head), (2, F.lit("</text><layer>")), (4, F.lit("</layer></doc></all>")))))
+    edges = sizes.select("doc_id", F.explode(around).alias("x")).select("doc_id", "x.part", F.lit(0).alias("pos"), "x.line")
+    return load(pieces(words.unionByName(marks).unionByName(edges)), XML, True)
 
 
 def _whole_spans(t: DataFrame, spans: DataFrame) -> DataFrame:
@@ -188,8 +187,7 @@ _WHOLE = PRE + ", W AS (SELECT DISTINCT S.doc_id, tag, s, e FROM S JOIN L USING
 
 @query("load_xml", PRE + " SELECT doc_id, pos, coalesce(word, '') AS word, coalesce(lemma, '') AS lemma, coalesce(a_pos, '') AS a_pos FROM T")
 def load_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _xml(spark, sf_dir)
-    return named(x, x.tokens()).select("doc_id", "pos", "word", "lemma", "a_pos")
+    return owned(_xml(spark, sf_dir)).tokens().select("doc_id", "pos", "word", "lemma", "a_pos")
 
 
 @query("load_xml_standoff_spans", _WHOLE + " SELECT doc_id, tag, s AS start_pos, e AS end_pos FROM W")
