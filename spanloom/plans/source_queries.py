@@ -192,8 +192,7 @@ def load_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("load_xml_standoff_spans", _WHOLE + " SELECT doc_id, tag, s AS start_pos, e AS end_pos FROM W")
 def load_xml_standoff_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _xml(spark, sf_dir)
-    return named(x, x.spans()).select("doc_id", "tag", "start_pos", "end_pos")
+    return owned(_xml(spark, sf_dir)).spans().select("doc_id", "tag", "start_pos", "end_pos")
 
 
 @query("load_xml_standoff_relations", _WHOLE + " SELECT doc_id, 'nav' AS rel_class, 'ends' AS rel_type, s AS src_start, e - 1 AS tgt_start FROM W")
