@@ -213,11 +213,10 @@ def load_xml_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snippets_of_originals", PRE + tok("h", is_word("kitchen")) + f", x AS (SELECT h.doc_id, h.s, h.e, string_agg({_PIECE}, chr(10) ORDER BY pos) AS snippet FROM h JOIN T ON T.doc_id = h.doc_id AND pos BETWEEN h.s - 2 AND h.e + 1 GROUP BY ALL) SELECT doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, snippet FROM x")
 def snippets_of_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits in loaded XML, shown by the characters of the original around them."""
-    x = _xml(spark, sf_dir)
-    t = x.tables()
+    x = owned(_xml(spark, sf_dir))
     own = corpus(spark, sf_dir)  # every value at a position counts, of which the files have the first
-    hits = run("'kitchen'", own).select(F.xxhash64(F.concat(F.lit("made/"), F.col("doc_id").cast("string")), F.lit(0)).alias("doc_id"), "start_pos", "end_pos")
-    return named(x, rs.snippet(x.docs(), hits, t, 2, 2)).select(*sp.KEYS, "snippet")
+    hits = run("'kitchen'", own).select(*sp.KEYS)
+    return rs.snippet(x.originals(), hits, x.tables(), 2, 2).select(*sp.KEYS, "snippet")
 
 
 _PLAIN_T = PRE + """, Q AS (SELECT doc_id, pos, 0 AS x, word FROM T WHERE regexp_full_match(word, '[A-Za-z]+') AND word NOT IN ('xxx', 'yyy', 'www')
