@@ -85,8 +85,7 @@ def load_treebank_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("load_treebank_documents", PRE + " SELECT doc_id, CAST(doc_id AS VARCHAR) AS pid, CAST(count(*) AS INTEGER) AS length_tokens FROM T GROUP BY ALL")
 def load_treebank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _conllu(spark, sf_dir)
-    return named(x, x.docs()).select("doc_id", "pid", "length_tokens")
+    return owned(_conllu(spark, sf_dir)).docs().select("doc_id", "pid", "length_tokens")
 
 
 def _quoted(name: str) -> Column:
