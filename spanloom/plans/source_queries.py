@@ -205,8 +205,7 @@ _PIECE = f"""'<w id="w' || pos || '" w="' || {_escaped_sql('word')} || '" l="' |
 
 @query("load_xml_metadata", PRE + f" SELECT doc_id, CAST(doc_id AS VARCHAR) AS pid, CAST(length(string_agg({_PIECE}, chr(10) ORDER BY pos)) AS VARCHAR) AS size FROM T GROUP BY doc_id")
 def load_xml_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _xml(spark, sf_dir)
-    return named(x, x.docs()).select("doc_id", "pid", F.element_at(F.col("metadata")["size"], 1).alias("size"))
+    return owned(_xml(spark, sf_dir)).docs().select("doc_id", "pid", F.element_at(F.col("metadata")["size"], 1).alias("size"))
 
 
 @query("snippets_of_originals", PRE + tok("h", is_word("kitchen")) + f", x AS (SELECT h.doc_id, h.s, h.e, string_agg({_PIECE}, chr(10) ORDER BY pos) AS snippet FROM h JOIN T ON T.doc_id = h.doc_id AND pos BETWEEN h.s - 2 AND h.e + 1 GROUP BY ALL) SELECT doc_id, CAST(s AS INTEGER) AS start_pos, CAST(e AS INTEGER) AS end_pos, snippet FROM x")
