@@ -79,8 +79,7 @@ def load_treebank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("load_treebank_relations", PRE + " SELECT doc_id, CASE WHEN pos = 0 THEN 'root' ELSE 'next' END AS rel_type, pos = 0 AS is_root, greatest(pos - 1, 0) AS src_start, pos AS tgt_start FROM T")
 def load_treebank_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _conllu(spark, sf_dir)
-    return named(x, x.relations()).select("doc_id", "rel_type", "is_root", "src_start", "tgt_start")
+    return owned(_conllu(spark, sf_dir)).relations().select("doc_id", "rel_type", "is_root", "src_start", "tgt_start")
 
 
 @query("load_treebank_documents", PRE + " SELECT doc_id, CAST(doc_id AS VARCHAR) AS pid, CAST(count(*) AS INTEGER) AS length_tokens FROM T GROUP BY ALL")
