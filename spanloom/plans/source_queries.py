@@ -195,8 +195,7 @@ def load_xml_standoff_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("load_xml_standoff_relations", _WHOLE + " SELECT doc_id, 'nav' AS rel_class, 'ends' AS rel_type, s AS src_start, e - 1 AS tgt_start FROM W")
 def load_xml_standoff_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _xml(spark, sf_dir)
-    return named(x, x.relations()).select("doc_id", "rel_class", "rel_type", "src_start", "tgt_start")
+    return owned(_xml(spark, sf_dir)).relations().select("doc_id", "rel_class", "rel_type", "src_start", "tgt_start")
 
 
 _PIECE = f"""'<w id="w' || pos || '" w="' || {_escaped_sql('word')} || '" l="' || {_escaped_sql('lemma')} || '" p="' || {_escaped_sql('a_pos')} || '"/>'"""
